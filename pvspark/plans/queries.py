@@ -6,6 +6,7 @@ Results are rounded only here, for the comparison with the SQL oracle; the opera
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -545,22 +546,16 @@ def fit_ridge(spark, sf):
 @query
 def importance_topk(spark, sf):
     prepared, names = _prepared(spark, sf)
-    out = None
-    for fitted in learn.fit_models(prepared, names, ["decision_tree"]):
-        top = learn.top_importances(fitted)
-        out = top if out is None else out.unionByName(top)
-    return out
+    return reduce(DataFrame.unionByName, map(learn.top_importances, learn.fit_models(prepared, names, ["decision_tree"])))
 
 
 def _search(spark, sf, estimator, settings, folds):
     prepared, _ = _prepared(spark, sf)
-    train = prepared.filter(F.col("split") == "train")
-    out = None
-    for plant in learn.plants_of(train):
-        found = learn.search(train.filter(F.col(PLANT) == plant), estimator, settings, folds)
-        part = learn.search_results(found, settings, plant)
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def one(plant, rows):
+        return learn.search_results(learn.search(rows, estimator, settings, folds), settings, plant)
+
+    return reduce(DataFrame.unionByName, learn.for_each_plant(prepared.filter(F.col("split") == "train"), one))
 
 
 @query
@@ -581,12 +576,12 @@ def search_grid(spark, sf):
 def forecast_day_ahead(spark, sf):
     series, n = checked_small(split.chrono_split(fx.plant_series(spark, sf)))
     windows = sequences.sequence_windows(series, [PLANT, "split"], TIME, longest=n)
-    rows = cut(learn.day_ahead_rows(windows, sequences.STEPS_PER_DAY))
-    out = None
-    for plant in learn.plants_of(rows):
-        mine = rows.filter(F.col(PLANT) == plant)
+    rows = cut(learn.spread(learn.day_ahead_rows(windows, sequences.STEPS_PER_DAY)))
+
+    def one(_, mine):
         model = learn.fit_day_ahead(mine.filter(F.col("split") == "train"), maxIter=10, maxDepth=4)
-        part = model.transform(learn.assemble_day_ahead(mine.filter(F.col("split") != "train")))
-        part = metrics.limit_predictions(part, learn.PREDICTION, None)
-        out = part if out is None else out.unionByName(part)
-    return metrics.evaluate(out, "y", learn.PREDICTION, (PLANT, "split"))
+        predicted = model.transform(learn.assemble_day_ahead(mine.filter(F.col("split") != "train")))
+        return metrics.limit_predictions(predicted, learn.PREDICTION, None)
+
+    scored = reduce(DataFrame.unionByName, learn.for_each_plant(rows, one))
+    return metrics.evaluate(scored, "y", learn.PREDICTION, (PLANT, "split"))
