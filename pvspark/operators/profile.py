@@ -276,7 +276,8 @@ def scatter_density(
 
     def cell(v: str, n: int) -> Column:
         width = (F.col(f"{v}_hi") - F.col(f"{v}_lo")) / n
-        return F.coalesce(F.least(F.floor(F.try_divide(F.col(v) - F.col(f"{v}_lo"), width)), F.lit(n - 1)), F.lit(0)).cast("int")
+        steps = F.coalesce(F.floor(F.try_divide(F.col(v) - F.col(f"{v}_lo"), width)), F.lit(0))
+        return F.least(steps, F.lit(n - 1)).cast("int")
 
     return (
         join_side(known, spans, by, "inner")

@@ -81,8 +81,8 @@ def running_sum(
 
     # Equal-width slices of each long series; an ordinary series is its own slice 0.
     n_slices = f"ceil(_n * {SLICES_PER_SEGMENT} / {max_rows})"
-    share = f"try_divide({position(df, order[0])} - _lo, _hi - _lo)"
-    number = f"CAST(coalesce(least(floor({share} * {n_slices}), {n_slices} - 1), 0) AS BIGINT)"
+    share = f"coalesce(try_divide({position(df, order[0])} - _lo, _hi - _lo), 0D)"
+    number = f"CASE WHEN _n IS NULL THEN 0L ELSE CAST(least(floor({share} * {n_slices}), {n_slices} - 1) AS BIGINT) END"
     sliced = df.join(long, keys, "left").withColumns({_SLICE: F.expr(number), "_cut": F.expr("_n IS NOT NULL")})
     sliced = sliced.drop("_n", "_lo", "_hi")
     # One row per slice: max_rows / SLICES_PER_SEGMENT input rows become one.

@@ -82,3 +82,10 @@ def test_text_position_keeps_the_order(spark):
     got = {r.s: r.p for r in df.withColumn("p", F.expr(S.position(df, "s"))).collect()}
     ordered = sorted(names, key=lambda n: n.encode())
     assert all(got[a] <= got[b] for a, b in zip(ordered, ordered[1:], strict=False))
+
+
+@pytest.mark.parametrize("max_rows", [2, 1000])
+def test_rows_without_order_value_come_first(spark, max_rows):
+    df = spark.createDataFrame([("a", None)] + [("a", i) for i in range(9)] + [("b", 5)] * 1, "k string, t int")
+    out = {(r.k, r.t): r.n for r in S.row_index(df, ["k"], ["t"], "n", max_rows).collect()}
+    assert out["a", None] == 1 and all(out["a", i] == i + 2 for i in range(9)) and out["b", 5] == 1
