@@ -44,12 +44,14 @@ def join_weather(
     return out
 
 
-def _fill_side(instants: DataFrame, side: DataFrame, plant: str, time: str, cols: list[str], max_rows: int) -> DataFrame:
-    """The side table with a filled row at every instant where generation has rows."""
+def _fill_side(
+    instants: DataFrame, side: DataFrame, plant: str, time: str, cols: list[str], max_rows: int
+) -> tuple[DataFrame, int | None]:
+    """The side table with a filled row at every instant where generation has rows, and its size if counted."""
     known = side.select(plant, time, *cols).filter(F.col(time).isNotNull())
     missing = instants.join(known.select(plant, time), [plant, time], "left_anti")
     both, n = checked_small(known.unionByName(missing, allowMissingColumns=True))
-    return fill_linear(both, [plant], [time], cols, "time", max_rows, n)
+    return fill_linear(both, [plant], [time], cols, "time", max_rows, n), n
 
 
 def clean(
@@ -65,10 +67,12 @@ def clean(
     generation = drop_bad_times(generation, time)
     if fill == "time":
         instants, _ = checked_small(generation.select(plant, time).distinct())
-        sensor = _fill_side(instants, sensor, plant, time, SENSOR_COLS, max_rows)
-        if weather is not None:
-            weather = _fill_side(instants, weather, plant, time, columns_with_prefix(weather, "om_"), max_rows)
-        return join_weather(generation, sensor, weather, plant, time)
+        out = generation
+        for side, cols in ((sensor, SENSOR_COLS), (weather, [] if weather is None else columns_with_prefix(weather, "om_"))):
+            if side is not None:
+                filled, n = _fill_side(instants, side, plant, time, cols, max_rows)
+                out = join_side(out, filled, [plant, time], rows=n)
+        return out
     if fill == "row":
         joined = join_weather(generation, sensor, weather, plant, time)
         cols = SENSOR_COLS + columns_with_prefix(joined, "om_")

@@ -111,9 +111,9 @@ def forecast_curve(
     y: str = "ac_power", p: str = "prediction",
 ) -> DataFrame:
     """Actual and predicted power of each plant's first test device over its first `days` days."""
-    first = scored.groupBy(plant).agg(F.min(F.struct(time, source)).alias("_first"))
-    first = first.select(plant, F.col("_first")[source].alias(source), F.col("_first")[time].alias("_start"))
+    start, _ = checked_small(scored.groupBy(plant).agg(F.min(time).alias("_start")))
     # One row per plant; the sample is a selective join, not a per-plant window.
+    first = scored.join(start, plant).filter(F.col(time) == F.col("_start")).groupBy(plant, "_start").agg(F.min(source).alias(source))
     first, _ = checked_small(first)
     end = F.col("_start") + F.expr(f"interval {days} days")
     return (

@@ -107,32 +107,50 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: list[str]) -> DataFra
 
     keys = [S.q(k) for k in by]
     params = means.selectExpr(*keys, *[f"`_m_{c}`" for c in cols], *[f"`_varies_{c}`" for c in cols])
+    # v: centred value, 0 where unknown; k: 1 where known. Free of nulls, so the sums stay short code.
     centred = df.select(*by, *cols).join(params, by).selectExpr(
-        *keys, *[f"`{c}` - `_m_{c}` AS v{i}" for i, c in enumerate(cols)], *[f"`_varies_{c}`" for c in cols]
+        *keys, *[f"coalesce(`{c}` - `_m_{c}`, 0D) AS v{i}" for i, c in enumerate(cols)],
+        *[f"if(`{c}` IS NULL, 0D, 1D) AS k{i}" for i, c in enumerate(cols) if c in gaps],
+        *[f"`_varies_{c}`" for c in cols],
     )
 
     sums: dict[str, str] = {}
 
     def total(name: str, value: str, known: tuple[int, ...]) -> str:
-        """Sum of `value` over the rows where the columns with gaps among `known` are not null."""
-        known = tuple(i for i in known if cols[i] in gaps)
-        alias = "_".join([name, *[f"if{i}" for i in known]])
-        where = " AND ".join(f"v{i} IS NOT NULL" for i in known)
-        sums[alias] = f"sum(CASE WHEN {where} THEN {value} END)" if where else f"sum({value})"
+        """Sum of `value` over the rows where the columns with gaps among `known` are known."""
+        masks = [f"k{i}" for i in known if cols[i] in gaps]
+        alias = "_".join([name, *masks])
+        sums[alias] = f"sum({' * '.join([value, *masks])})"
         return alias
 
-    entries = [f"struct('{c}' AS col_a, '{c}' AS col_b, CASE WHEN `_varies_{c}` THEN 1D END AS r)" for c in cols]
-    for (i, a), (j, b) in combinations(enumerate(cols), 2):
-        n = total("n", "1D", (i, j))
-        sx, sy = total(f"s{i}", f"v{i}", (j,)), total(f"s{j}", f"v{j}", (i,))
-        qx, qy = total(f"q{i}", f"v{i} * v{i}", (j,)), total(f"q{j}", f"v{j} * v{j}", (i,))
-        p = total(f"p{i}x{j}", f"v{i} * v{j}", ())
-        spread = f"sqrt(greatest({qx} - {sx} * {sx} / {n}, 0D) * greatest({qy} - {sy} * {sy} / {n}, 0D))"
-        r = f"CASE WHEN {n} > 0 AND `_varies_{a}` AND `_varies_{b}` THEN try_divide({p} - {sx} * {sy} / {n}, {spread}) END"
-        entries += [f"struct('{x}' AS col_a, '{y}' AS col_b, {r} AS r)" for x, y in ((a, b), (b, a))]
-    varies = [f"first(`_varies_{c}`) AS `_varies_{c}`" for c in cols]
-    one = centred.groupBy(*by).agg(*[F.expr(f"{v} AS {k}") for k, v in sums.items()], *map(F.expr, varies))
-    return one.selectExpr(*keys, f"inline(array({', '.join(entries)}))")
+    pairs = list(combinations(range(len(cols)), 2))
+    places: dict[str, list[str]] = {k: [] for k in ("n", "sx", "sy", "qx", "qy", "p")}
+    for i, j in pairs:
+        places["n"].append(total("n", "1D", (i, j)))
+        places["sx"].append(total(f"s{i}", f"v{i}", (j,)))
+        places["sy"].append(total(f"s{j}", f"v{j}", (i,)))
+        places["qx"].append(total(f"q{i}", f"v{i} * v{i}", (j,)))
+        places["qy"].append(total(f"q{j}", f"v{j} * v{j}", (i,)))
+        places["p"].append(total(f"p{i}x{j}", f"v{i} * v{j}", ()))
+    # One formula over positions in the array of sums, not one expression per pair.
+    at = {k: f"_s[array({', '.join(str(list(sums).index(v)) for v in names)})[i]]" for k, names in places.items()}
+    spread = "sqrt(greatest({qx} - {sx} * {sx} / {n}, 0D) * greatest({qy} - {sy} * {sy} / {n}, 0D))"
+    r = ("if({n} > 0, try_divide({p} - {sx} * {sy} / {n}, " + spread + "), NULL)").format(**at)
+    varies = f"array({', '.join(f'first(`_varies_{c}`)' for c in cols)})"
+    # Where the entry of (a, b) lies in the array of r; the diagonal is 1 wherever the column varies.
+    order = {**{p: k for k, p in enumerate(pairs)}, **{(j, i): k for k, (i, j) in enumerate(pairs)}}
+    cells = [(i, j, order.get((i, j), -1)) for i in range(len(cols)) for j in range(len(cols))]
+    cell = f"explode(array({', '.join(f'struct({i} AS i, {j} AS j, {k} AS k)' for i, j, k in cells)})) AS _c"
+    names = f"array({', '.join(repr(c) for c in cols)})"
+    return (
+        centred.groupBy(*by)
+        .agg(F.expr(f"array({', '.join(sums.values())}) AS _s"), F.expr(f"{varies} AS _varies"))
+        .selectExpr(*keys, "_varies", f"transform(sequence(0, {len(pairs) - 1}), i -> {r}) AS _r", cell)
+        .selectExpr(
+            *keys, f"{names}[_c.i] AS col_a", f"{names}[_c.j] AS col_b",
+            "CASE WHEN _varies[_c.i] AND _varies[_c.j] THEN if(_c.k < 0, 1D, get(_r, _c.k)) END AS r",
+        )
+    )
 
 
 def label_pairs(matrix: DataFrame) -> DataFrame:

@@ -13,15 +13,24 @@ def checked_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame
     """Evaluate `df` if it has at most `limit` rows.
 
     Returns (local broadcastable table, row count) when it fits, else (the untouched plan, None): then
-    joins on it are shuffle joins, whose hot keys adaptive execution splits.
+    joins on it are shuffle joins, whose hot keys adaptive execution splits. `take` reads partitions only
+    until the limit is passed, so a large table is found out early.
     """
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
+    rows = df.take(limit + 1)
+    if len(rows) > limit:
         return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head.num_rows
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), len(rows)
 
 
-def join_side(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join `df` to a side table: broadcast behind a row check, else a shuffle join."""
-    side, _ = checked_small(side, limit)
+def join_side(
+    df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS, rows: int | None = None
+) -> DataFrame:
+    """Join `df` to a side table: broadcast behind a row check, else a shuffle join.
+
+    `rows` is the size of the side (or a bound on it) where it has been counted already.
+    """
+    if rows is None:
+        side, _ = checked_small(side, limit)
+    elif rows <= limit:
+        side = F.broadcast(side)
     return df.join(side, keys, how)

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A plant-instant key can dominate a weather join: split it even if that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Size checks `take` a bounded number of rows: look at several partitions in the first job.
+    "spark.sql.limit.initialNumPartitions": "16",
 }
 
 
