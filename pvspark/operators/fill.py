@@ -28,8 +28,12 @@ def fill_linear(
         return df
     columns = df.columns
     if by == "row":
-        df = S.row_index(df, keys, order, "_row", max_rows)
-        cut = S.segments(df, keys, order, max_rows=max_rows, index="_row")
+        _, n_long = S.long_series(df, keys, order[0], max_rows)
+        if n_long == 0:
+            cut = S.segments(df, keys, order, longest=0)
+            cut = cut.with_columns({"_row": f"row_number() {cut.over()}"})
+        else:
+            cut = S.segments(S.row_index(df, keys, order, "_row", max_rows), keys, order, max_rows=max_rows, index="_row")
         at = "CAST(_row AS DOUBLE)"
     elif by == "time":
         cut = S.segments(df, keys, order, max_rows=max_rows, longest=longest)

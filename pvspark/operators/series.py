@@ -51,7 +51,7 @@ def position(df: DataFrame, name: str) -> str:
     return f"CAST({c} AS DOUBLE)"
 
 
-def _long_series(df: DataFrame, keys: list[str], order: str, max_rows: int) -> tuple[DataFrame, int | None]:
+def long_series(df: DataFrame, keys: list[str], order: str, max_rows: int) -> tuple[DataFrame, int | None]:
     """Series above `max_rows`: at most one per `max_rows` input rows, and normally none."""
     pos = F.expr(position(df, order))
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
@@ -63,10 +63,14 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running total of `value` (of 1 if None, i.e. the row number) along each series.
 
-    With several order columns the total inside each value of the first one is taken on its own, and the
-    totals of the earlier values are added, so neither a long series nor a crowded instant is one task.
+    For a long series with several order columns the total inside each value of the first one is taken on its
+    own, and the totals of the earlier values are added: neither the series nor a crowded instant is one task.
     """
     item = "1L" if value is None else q(value)
+    long, n_long = long_series(df, keys, order[0], max_rows)
+    if n_long == 0:
+        return df.withColumn(name, F.expr(f"sum({item}) {over(keys, order, UPTO)}"))
+
     if len(order) > 1:
         first, rest = order[0], order[1:]
         inner = running_sum(df, [*keys, first], rest, value, name, max_rows)
@@ -75,10 +79,6 @@ def running_sum(
         base = per_first.selectExpr(*map(q, keys), q(first), "_through - _total AS _base")
         return inner.join(base, [*keys, first], "left").withColumn(name, F.expr(f"{q(name)} + _base")).drop("_base")
 
-    long, n_long = _long_series(df, keys, order[0], max_rows)
-    if n_long == 0:
-        return df.withColumn(name, F.expr(f"sum({item}) {over(keys, order, UPTO)}"))
-
     # Equal-width slices of each long series; an ordinary series is its own slice 0.
     n_slices = f"ceil(_n * {SLICES_PER_SEGMENT} / {max_rows})"
     share = f"coalesce(try_divide({position(df, order[0])} - _lo, _hi - _lo), 0D)"
@@ -142,7 +142,7 @@ def segments(
     if longest is not None and longest <= size:
         return Series(df.selectExpr(*one_segment), keys, order, False)
     if index is None:
-        long, n_long = _long_series(df, keys, order[0], size)
+        long, n_long = long_series(df, keys, order[0], size)
         if n_long == 0:
             return Series(df.selectExpr(*one_segment), keys, order, False)
         names = long.select(*keys)

@@ -19,7 +19,7 @@ def checked_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame
     rows = df.take(limit + 1)
     if len(rows) > limit:
         return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), len(rows)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False)), len(rows)
 
 
 def join_side(

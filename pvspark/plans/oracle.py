@@ -429,6 +429,11 @@ FROM board GROUP BY plant""",
         *BOARD,
     ),
     "model_slug": sql(f"SELECT plant, model, replace(lower(model), ' ', '_') AS slug, {r('test_r2')} FROM board", *BOARD),
+    "skipped_rows": sql(
+        f"""SELECT plant_id, split, count(*) FILTER (WHERE {' OR '.join(f'{c} IS NULL' for c in [*SENSOR, *NARROW, *HISTORY])}) AS n_skipped,
+    count(*) AS n_rows FROM history JOIN joined USING ({K3}) JOIN gen_split USING ({K3}) GROUP BY plant_id, split""",
+        JOINED, history("joined"), GEN_SPLIT,
+    ),
     "forecast_curve": sql(
         f"""SELECT plant_id, source_key, date_time, {r('ac_power', 'actual')}, {r('prediction', 'predicted')}
 FROM test JOIN (SELECT plant_id, date_time AS t0, source_key FROM test

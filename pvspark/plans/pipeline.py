@@ -80,7 +80,9 @@ def model_step(
     author: str | None = None,
 ) -> DataFrame:
     """Fit, score, save models and reports; returns this run's board rows."""
-    prepared, names = learn.prepare(files.read_stage(spark, folder, "split"))
+    rows = files.read_stage(spark, folder, "split")
+    learn.skipped_rows(rows).write.mode("overwrite").parquet(f"{folder}/skipped_rows")
+    prepared, names = learn.prepare(rows)
     fitted = learn.fit_models(prepared, names, models or ["random_forest"], overrides)
     scored = learn.score(prepared, fitted)
     rows, _ = checked_small(metrics.metrics_report(scored).withColumn("author", F.lit(author).cast("string")))

@@ -509,6 +509,12 @@ def _fit_report(spark, sf, key, **overrides):
     return metrics.metrics_report(learn.score(prepared, fitted))
 
 
+@query
+def skipped_rows(spark, sf):
+    rows = split.chrono_split(features.add_history(features.add_row_features(fx.joined(spark, sf)), heads="null"))
+    return learn.skipped_rows(rows)
+
+
 @query
 def fit_linear(spark, sf):
     return _fit_report(spark, sf, "linear_regression")

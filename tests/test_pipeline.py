@@ -47,6 +47,7 @@ def test_from_files_to_leaderboard(spark, inputs, tmp_path):
     profile = {p.name for p in (tmp_path / "profile").iterdir()}
     assert {"hist_ac", "correlation", "wind_binned", "humidity_trend", "yield"} <= profile
     assert spark.read.parquet(f"{folder}/forecast_curve").select("plant_id").distinct().count() == 2
+    assert {r.n_skipped for r in spark.read.parquet(f"{folder}/skipped_rows").collect()} == {0}
     assert (tmp_path / "models" / "plant_2_decision_tree").exists()
 
     pipeline.model_step(spark, folder, ["decision_tree"], {"decision_tree": {"maxDepth": 2}}, author="me")
