@@ -45,7 +45,7 @@ def join_weather(
 
 
 def _fill_side(
-    instants: DataFrame, side: DataFrame, plant: str, time: str, cols: list[str], max_rows: int
+    instants: DataFrame, side: DataFrame, plant: str, time: str, cols: list[str], max_rows: int | None
 ) -> tuple[DataFrame, int | None]:
     """The side table with a filled row at every instant where generation has rows, and its size if counted."""
     known = side.select(plant, time, *cols).filter(F.col(time).isNotNull())
@@ -56,7 +56,7 @@ def _fill_side(
 
 def clean(
     generation: DataFrame, sensor: DataFrame, weather: DataFrame | None = None, fill: str = "time",
-    plant: str = PLANT, source: str = SOURCE, time: str = TIME, max_rows: int = S.MAX_ROWS,
+    plant: str = PLANT, source: str = SOURCE, time: str = TIME, max_rows: int | None = None,
 ) -> DataFrame:
     """Cleaned table: generation with sensor and macro weather at every instant.
 

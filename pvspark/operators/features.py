@@ -52,7 +52,7 @@ def rolled(cut: S.Series, col: str, rows: int, mean: str, std: str) -> S.Series:
 
 def add_history(
     df: DataFrame, plant: str = PLANT, source: str = SOURCE, time: str = TIME,
-    heads: str = "fill", scope: str = "group", max_rows: int = S.MAX_ROWS,
+    heads: str = "fill", scope: str = "group", max_rows: int | None = None,
 ) -> DataFrame:
     """Lags and rolling statistics of each device.
 
@@ -83,6 +83,6 @@ def cap_at_night(df: DataFrame, powers: tuple[str, ...] = ("ac_power", "dc_power
     return df.withColumns({**raw, **{p: physics.at_night_zero(p) for p in powers}})
 
 
-def engineer(df: DataFrame, heads: str = "fill", scope: str = "group", max_rows: int = S.MAX_ROWS) -> DataFrame:
+def engineer(df: DataFrame, heads: str = "fill", scope: str = "group", max_rows: int | None = None) -> DataFrame:
     """Cleaned table → processed table."""
     return cap_at_night(add_history(add_row_features(df), heads=heads, scope=scope, max_rows=max_rows))

@@ -17,7 +17,7 @@ def _interpolated(c: str, at: str) -> str:
 
 def fill_linear(
     df: DataFrame, keys: list[str], order: list[str], cols: list[str], by: str = "time",
-    max_rows: int = S.MAX_ROWS, longest: int | None = None,
+    max_rows: int | None = None, longest: int | None = None,
 ) -> DataFrame:
     """Linear interpolation, then back-fill of the head and forward-fill of the tail.
 
@@ -59,7 +59,7 @@ def fill_forward(cut: S.Series, cols: list[str]) -> S.Series:
 
 
 def carry_between_series(
-    df: DataFrame, group: list[str], series_key: str, time: str, cols: list[str], max_rows: int = S.MAX_ROWS
+    df: DataFrame, group: list[str], series_key: str, time: str, cols: list[str], max_rows: int | None = None
 ) -> DataFrame:
     """Give a series without any value the last value of the nearest earlier series of its group.
 
@@ -84,7 +84,7 @@ def time_grid(spans: DataFrame, keys: list[str], start: str, end: str, time: str
 
 def align_to_grid(
     hourly: DataFrame, grid: DataFrame, keys: list[str], time: str, cols: list[str], constants: list[str] = (),
-    max_rows: int = S.MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Put an hourly series on a finer grid: keep the readings that fall on it, interpolate the rest.
 

@@ -228,7 +228,7 @@ def trend_line(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (PLANT,)) ->
     )
 
 
-def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str], max_rows: int = S.MAX_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str], max_rows: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and probability.
 
     Equal values are counted first, then ranked by a running total over the distinct values, so no group is
@@ -256,7 +256,7 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str], max_ro
 
 
 def binned_means(
-    df: DataFrame, x: str, y: str, bins: int = 20, by: tuple[str, ...] = (PLANT,), max_rows: int = S.MAX_ROWS
+    df: DataFrame, x: str, y: str, bins: int = 20, by: tuple[str, ...] = (PLANT,), max_rows: int | None = None
 ) -> DataFrame:
     """Mean of y around `bins` centres of x, with its standard error.
 

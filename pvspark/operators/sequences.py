@@ -23,7 +23,7 @@ def _starts(
 
 def sequence_windows(
     df: DataFrame, keys: list[str], time: str, features: list[str] | None = None, target: str = "ac_power",
-    lookback: int = LOOKBACK, horizon: int = HORIZON, max_rows: int = S.MAX_ROWS, longest: int | None = None,
+    lookback: int = LOOKBACK, horizon: int = HORIZON, max_rows: int | None = None, longest: int | None = None,
 ) -> DataFrame:
     """One row per window: `x` holds `lookback` structs of the features, `y` the next `horizon` targets.
 
@@ -49,7 +49,7 @@ def sequence_windows(
 
 def window_starts(
     df: DataFrame, keys: list[str], time: str, lookback: int = LOOKBACK, horizon: int = HORIZON,
-    max_rows: int = S.MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """First instant of every window, without building the arrays."""
     cut = _starts(df.select(*keys, time), keys, time, lookback + horizon, max_rows)
@@ -58,7 +58,7 @@ def window_starts(
 
 def sample_window(
     df: DataFrame, keys: list[str], time: str, index: int = 100, lookback: int = LOOKBACK, horizon: int = HORIZON,
-    max_rows: int = S.MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """The rows of window number `index` (from 0, in key and time order) with their `step` from 1.
 

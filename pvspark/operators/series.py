@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from pvspark.operators.small import checked_small
 
-MAX_ROWS = 1_000_000  # rows of one series handled by one task
+MAX_ROWS = 1_000_000  # rows of one series handled by one task, unless the session setting says otherwise
+MAX_ROWS_CONF = "spark.pvspark.seriesRows"
 SLICES_PER_SEGMENT = 4  # finer cuts while counting, to even out bursts
 
 SEG = "_seg"
@@ -51,21 +52,26 @@ def position(df: DataFrame, name: str) -> str:
     return f"CAST({c} AS DOUBLE)"
 
 
-def long_series(df: DataFrame, keys: list[str], order: str, max_rows: int) -> tuple[DataFrame, int | None]:
+def rows_per_task(df: DataFrame, max_rows: int | None = None) -> int:
+    return max_rows or int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(MAX_ROWS)))
+
+
+def long_series(df: DataFrame, keys: list[str], order: str, max_rows: int | None = None) -> tuple[DataFrame, int | None]:
     """Series above `max_rows`: at most one per `max_rows` input rows, and normally none."""
     pos = F.expr(position(df, order))
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    return checked_small(stats.filter(f"_n > {max_rows}"))
+    return checked_small(stats.filter(f"_n > {rows_per_task(df, max_rows)}"))
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str | None, name: str, max_rows: int = MAX_ROWS
+    df: DataFrame, keys: list[str], order: list[str], value: str | None, name: str, max_rows: int | None = None
 ) -> DataFrame:
     """Inclusive running total of `value` (of 1 if None, i.e. the row number) along each series.
 
     For a long series with several order columns the total inside each value of the first one is taken on its
     own, and the totals of the earlier values are added: neither the series nor a crowded instant is one task.
     """
+    max_rows = rows_per_task(df, max_rows)
     item = "1L" if value is None else q(value)
     long, n_long = long_series(df, keys, order[0], max_rows)
     if n_long == 0:
@@ -96,7 +102,7 @@ def running_sum(
     )
 
 
-def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = INDEX, max_rows: int = MAX_ROWS) -> DataFrame:
+def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = INDEX, max_rows: int | None = None) -> DataFrame:
     """1, 2, 3, … along each series."""
     return running_sum(df, keys, order, None, name, max_rows)
 
@@ -130,13 +136,14 @@ class Series:
 
 def segments(
     df: DataFrame, keys: list[str], order: list[str], before: int = 0, after: int = 0,
-    max_rows: int = MAX_ROWS, index: str | None = None, longest: int | None = None,
+    max_rows: int | None = None, index: str | None = None, longest: int | None = None,
 ) -> Series:
     """Cut `df` into segments; each also holds copies of the `before` / `after` rows around it.
 
     `index` names an existing row number column; without it only long series are numbered. `longest` is an
     upper bound on the series length, if the caller has counted already.
     """
+    max_rows = rows_per_task(df, max_rows)
     size = max(max_rows, before, after, 1)
     one_segment = ["*", f"0L AS {SEG}", f"true AS {OWN}"]
     if longest is not None and longest <= size:

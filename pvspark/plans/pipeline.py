@@ -84,7 +84,8 @@ def model_step(
     learn.skipped_rows(rows).write.mode("overwrite").parquet(f"{folder}/skipped_rows")
     prepared, names = learn.prepare(rows)
     fitted = learn.fit_models(prepared, names, models or ["random_forest"], overrides)
-    scored = learn.score(prepared, fitted)
+    files.write_stage(learn.score(prepared, fitted).drop("_label"), folder, "predictions")
+    scored = files.read_stage(spark, folder, "predictions")
     rows, _ = checked_small(metrics.metrics_report(scored).withColumn("author", F.lit(author).cast("string")))
 
     for one in fitted:
