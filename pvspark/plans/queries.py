@@ -527,7 +527,8 @@ def fit_tree(spark, sf):
 
 @query
 def fit_forest(spark, sf):
-    return _fit_report(spark, sf, "random_forest")
+    # A smaller buffer for node statistics only: eight tasks of two fits must share a default 1 GB heap.
+    return _fit_report(spark, sf, "random_forest", maxMemoryInMB=32)
 
 
 @query
