@@ -1,6 +1,6 @@
 """Words of whole texts as 64-bit hashes, vectorised over Arrow batches.
 
-A word is a longest run of bytes outside space and \\t \\n \\v \\f \\r, after lower-casing A-Z. Two different words share
+A word is a longest run of bytes that don't end one, after lower-casing A-Z. Two different words share
 a hash with probability about 2**-64.
 """
 
@@ -12,10 +12,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes that end a word: white space, or every byte of ASCII but letters and numbers.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,10 +49,10 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hashes(texts: pa.Array, ends: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and len(texts) + 1 offsets of the texts in them."""
     data, offsets = _bytes(texts)
-    inner = ~_SPACE[data]
+    inner = ~ends[data]
     first = np.empty(len(data) + 1, bool)
     first[:1] = True
     np.logical_not(inner, out=first[1:])
