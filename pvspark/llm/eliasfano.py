@@ -129,7 +129,7 @@ def write(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 def read(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped."""
-    data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(np.memmap(path, np.uint8, "r"))
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
     start = 8 + size

@@ -185,20 +185,17 @@ def _links(folder: str, names: list[str]):
         unlike: set = set()
         found: list[tuple[int, int]] = []
 
-        def linked(a: int, n: int, b: int, m: int) -> bool:
+        def alike(a: int, n: int, b: int, m: int) -> bool:
+            pair = (a, b) if a < b else (b, a)
+            if pair in unlike:
+                return False
             need = -(-PERCENT * (n + m) // (100 + PERCENT))
-            return len(np.intersect1d(sets.values(a, n), sets.values(b, m), assume_unique=True)) >= need
-
-        def try_pair(a: int, n: int, b: int, m: int) -> None:
-            if groups.root(a) == groups.root(b) or (pair := (a, b) if a < b else (b, a)) in unlike:
-                return
-            if linked(a, n, b, m):
-                groups.join(a, b)
-                found.append((a, b))
-            else:
-                if len(unlike) >= 200_000:  # only spares work
-                    unlike.clear()
-                unlike.add(pair)
+            if len(np.intersect1d(sets.values(a, n), sets.values(b, m), assume_unique=True)) >= need:
+                return True
+            if len(unlike) >= 200_000:  # only spares work
+                unlike.clear()
+            unlike.add(pair)
+            return False
 
         def compare(places: np.ndarray, sizes: np.ndarray) -> None:
             """All sets that share a shingle, sorted by size."""
@@ -211,8 +208,7 @@ def _links(folder: str, names: list[str]):
                 rows = np.stack([sets.bits(p) for p in listed[start:stop]])
                 for left in range(start + 1, int(most[stop - 1]), COLUMNS):
                     right = min(left + COLUMNS, int(most[stop - 1]))
-                    roots = np.array([groups.root(p) for p in listed[left:right]])
-                    if len(set(roots.tolist()) | {groups.root(p) for p in listed[start:stop]}) == 1:
+                    if len({groups.root(p) for p in (*listed[start:stop], *listed[left:right])}) == 1:
                         continue
                     columns = np.stack([sets.bits(p) for p in listed[left:right]])
                     differ = np.zeros((stop - start, right - left), np.int32)
@@ -222,19 +218,23 @@ def _links(folder: str, names: list[str]):
                     at, to = np.arange(start, stop)[:, None], np.arange(left, right)[None, :]
                     possible = (both - differ) // 2 >= -(-PERCENT * both // (100 + PERCENT))
                     possible &= (to > at) & (to < most[start:stop, None])
-                    for i, j in zip(*(x.tolist() for x in np.nonzero(possible)), strict=True):
-                        try_pair(listed[start + i], int(sizes[start + i]), listed[left + j], int(sizes[left + j]))
+                    found.extend(groups.link(
+                        listed[start:stop], listed[left:right], possible,
+                        lambda i, j, a=start, b=left: alike(listed[a + i], int(sizes[a + i]), listed[b + j], int(sizes[b + j])),
+                    ))
 
         for batch in runs(batches, "shingle"):
             keys, places, sizes = batch.column("shingle").to_numpy(), batch.column("place").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
             edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             length = np.diff(edge)
-            for start, n in zip(edge[:-1][length > 1].tolist(), length[length > 1].tolist(), strict=True):
-                if n == 2:
-                    if _least(int(sizes[start + 1])) <= sizes[start]:
-                        try_pair(int(places[start]), int(sizes[start]), int(places[start + 1]), int(sizes[start + 1]))
+            for start, size in zip(edge[:-1][length > 1].tolist(), length[length > 1].tolist(), strict=True):
+                if size == 2:
+                    (a, b), (m, n) = places[start : start + 2].tolist(), sizes[start : start + 2].tolist()
+                    if _least(n) <= m and groups.root(a) != groups.root(b) and alike(a, m, b, n):
+                        groups.join(a, b)
+                        found.append((a, b))
                 else:
-                    compare(places[start : start + n], sizes[start : start + n])
+                    compare(places[start : start + size], sizes[start : start + size])
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
                 found.clear()

@@ -2,8 +2,9 @@
 
 A line is normalised to its words: runs of letters and numbers, A-Z in lower case. Equal lines are one line from the start. Of each different
 line a 64-bit SimHash of its words is cut into five blocks. Hashes that differ in at most three bits agree in at least two blocks, so lines
-are joined on each of the ten pairs of blocks. Pairs within three bits are compared word by word: they are linked when the edit distance is
-at most a fifth of the longer line. Lines that a task has linked already, directly or not, are not compared again. The words themselves
+are joined on each of the ten pairs of blocks. Pairs within three bits are compared word by word, in the first
+table where they meet: they are linked when the edit distance is at most a fifth of the longer line. Lines that a task has linked already,
+directly or not, are not compared again. The words themselves
 lie in mapped files, written once.
 
 Of a group of linked lines the first occurrence, by doc_id (null last), text hash and line number, stays. Lines without a word are left alone. Null and
@@ -30,6 +31,7 @@ from pvspark.llm.words import MARKS, hashes, mix, parts
 
 #: Where the blocks of a SimHash begin, and how many bits they have.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+PAIRS = list(combinations(range(len(BLOCKS)), 2))
 #: Hashes are candidates up to so many different bits: all but two blocks may have one.
 BITS = len(BLOCKS) - 2
 #: Lines are linked when at least this share of the longer one stays as it is, in hundredths.
@@ -71,7 +73,11 @@ def line_hashes(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Words changed, added or missing; some number over `most` if there are more than that."""
+    """Words changed, added or missing; some number over `most` if there are more than that.
+
+    What both have in common at either end goes first. The rest is Myers' bit vectors: one integer holds, for all words of
+    the shorter side, whether the distance grows or falls there by 1.
+    """
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
     head = n if same.all() else int(np.argmin(same))
@@ -84,16 +90,22 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         a, b = b, a
     if not len(a) or len(b) - len(a) > most:
         return len(b)
-    place = np.arange(len(b) + 1)
-    row = place.copy()
-    for i, w in enumerate(a.tolist(), 1):
-        new = row + 1
-        new[1:] = np.minimum(new[1:], row[:-1] + (b != w))
-        new[0] = i
-        row = np.minimum.accumulate(new - place) + place
-        if row.min() > most:
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    grows, falls, distance = every, 0, len(a)
+    for i, w in enumerate(b.tolist(), 1):
+        equal = places.get(w, 0)
+        still = equal | falls
+        across = (((equal & grows) + grows) ^ grows) | equal
+        up, down = (falls | ~(across | grows)) & every, grows & across
+        distance += 1 if up & last else -1 if down & last else 0
+        if distance - (len(b) - i) > most:
             return most + 1
-    return int(row[-1])
+        up, down = (up << 1 | 1) & every, (down << 1) & every
+        grows, falls = (down | ~(still | up)) & every, up & still
+    return distance
 
 
 def _read(folder: str):
@@ -140,33 +152,44 @@ def _near(folder: str, names: list[str]):
         def words(place: int, n: int) -> np.ndarray:
             return files.get(names[place >> 40], place & ((1 << 40) - 1), n)
 
-        def try_pair(a: int, n: int, b: int, m: int) -> None:
-            if groups.root(a) == groups.root(b) or (pair := (a, b) if a < b else (b, a)) in unlike:
-                return
+        def alike(a: int, n: int, b: int, m: int) -> bool:
+            pair = (a, b) if a < b else (b, a)
+            if pair in unlike:
+                return False
             most = max(n, m) * (100 - PERCENT) // 100
             if edit_distance(words(a, n), words(b, m), most) <= most:
-                groups.join(a, b)
-                found.append((a, b))
-            else:
-                if len(unlike) >= 200_000:  # only spares work
-                    unlike.clear()
-                unlike.add(pair)
-
-        def compare(places: np.ndarray, sizes: np.ndarray, simhash: np.ndarray) -> None:
+                return True
+            if len(unlike) >= 200_000:  # only spares work
+                unlike.clear()
+            unlike.add(pair)
+            return False
+
+        def own(differ: np.ndarray, table: int) -> np.ndarray:
+            """Pairs with few different bits which meet in this table first, so that no pair is compared in two."""
+            i, j = PAIRS[table]
+            out = np.bitwise_count(differ) <= BITS
+            for k in range(j):
+                if k != i:
+                    at, n = BLOCKS[k]
+                    out &= (differ >> np.uint64(at)) & np.uint64((1 << n) - 1) != 0
+            return out
+
+        def compare(places: np.ndarray, sizes: np.ndarray, simhash: np.ndarray, table: int) -> None:
             """All lines that agree in two blocks, sorted by size."""
             listed = places.tolist()
             reach = np.searchsorted(sizes, 100 * sizes // PERCENT, "right")
             for start in range(0, len(places), TILE):
                 stop = min(start + TILE, len(places))
-                for left in range(start, int(reach[stop - 1]), 8 * TILE):
+                for left in range(start + 1, int(reach[stop - 1]), 8 * TILE):
                     right = min(left + 8 * TILE, int(reach[stop - 1]))
-                    near = np.bitwise_count(simhash[start:stop, None] ^ simhash[None, left:right]) <= BITS
+                    near = own(simhash[start:stop, None] ^ simhash[None, left:right], table)
                     at, to = np.arange(start, stop)[:, None], np.arange(left, right)[None, :]
                     near &= (to > at) & (to < reach[start:stop, None])
-                    if not near.any() or len({groups.root(listed[k]) for k in (*range(start, stop), *range(left, right))}) == 1:
-                        continue
-                    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                        try_pair(listed[start + i], int(sizes[start + i]), listed[left + j], int(sizes[left + j]))
+                    if near.any():
+                        found.extend(groups.link(
+                            listed[start:stop], listed[left:right], near,
+                            lambda i, j, a=start, b=left: alike(listed[a + i], int(sizes[a + i]), listed[b + j], int(sizes[b + j])),
+                        ))
 
         for batch in runs(batches, "key"):
             keys, places, sizes = batch.column("key").to_numpy(), batch.column("place").to_numpy(), batch.column("n").to_numpy()
@@ -174,11 +197,17 @@ def _near(folder: str, names: list[str]):
             edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             length = np.diff(edge)
             two = edge[:-1][length == 2]
-            two = two[(np.bitwise_count(simhash[two] ^ simhash[two + 1]) <= BITS) & (100 * sizes[two] >= PERCENT * sizes[two + 1])]
-            for k in two.tolist():
-                try_pair(int(places[k]), int(sizes[k]), int(places[k + 1]), int(sizes[k + 1]))
+            near = 100 * sizes[two] >= PERCENT * sizes[two + 1]
+            for table in np.unique(keys[two] >> 32).tolist():
+                here = keys[two] >> 32 == table
+                near[here] &= own(simhash[two[here]] ^ simhash[two[here] + 1], table)
+            for k in two[near].tolist():
+                (a, b), (m, n) = places[k : k + 2].tolist(), sizes[k : k + 2].tolist()
+                if groups.root(a) != groups.root(b) and alike(a, m, b, n):
+                    groups.join(a, b)
+                    found.append((a, b))
             for start, n in zip(edge[:-1][length > 2].tolist(), length[length > 2].tolist(), strict=True):
-                compare(places[start : start + n], sizes[start : start + n], simhash[start : start + n])
+                compare(places[start : start + n], sizes[start : start + n], simhash[start : start + n], int(keys[start]) >> 32)
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
                 found.clear()
@@ -189,8 +218,7 @@ def _near(folder: str, names: list[str]):
 def _keys(simhash: Column) -> Column:
     """The number and the bits of each pair of blocks."""
     block = [F.shiftrightunsigned(simhash, at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
-    pairs = enumerate(combinations(range(len(BLOCKS)), 2))
-    return F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for k, (i, j) in pairs])
+    return F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for k, (i, j) in enumerate(PAIRS)])
 
 
 def duplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -206,16 +234,17 @@ def duplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
     rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), content, "text").mapInArrow(_read(folder), kinds), "lines")
     names = sorted(os.listdir(folder)) if os.path.isdir(folder) else []  # one per task
     place = (F.shiftleft(F.array_position(F.lit(names or [""]), F.col("file")) - 1, 40) + F.col("at")).alias("place")
-    lines = rows.filter("line_no >= 0")
-    different = lines.groupBy("line").agg(F.min(F.struct("file", "at")).alias("of"), F.min("simhash").alias("simhash"), F.min("n").cast("int").alias("n"))
-    different = stored(different.select("line", "simhash", "n", "of.*").select("line", "simhash", "n", place), "different")
+    lines = rows.filter("line_no >= 0").select("doc_id", "content", "line_no", "line", "simhash", "n", place)
+    different = lines.groupBy("line").agg(F.min("place").alias("place"), F.min("simhash").alias("simhash"), F.min("n").cast("int").alias("n"), F.count("*").alias("times"))
+    different = stored(different, "different")
     meet = different.select(F.explode(_keys(F.col("simhash"))).alias("key"), "place", "n", "simhash")
     meet = meet.repartition("key").sortWithinPartitions("key", "n", "place")
     groups = components(meet.mapInArrow(_near(folder, names), "a long, b long"))
-    of = different.join(groups, different["place"] == groups["id"], "left").select("line", F.coalesce("root", "place").alias("group"))
+    # Only lines that occur again or are linked can have anything to remove.
+    of = different.join(groups, different["place"] == groups["id"], "left").filter("times > 1 OR root IS NOT NULL").select("line", F.coalesce("root", "place").alias("group"))
     where = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "line_no").alias("where")
-    seen = lines.select("line", where).join(of, "line").select("group", "where")
-    first = seen.groupBy("group").agg(F.min("where").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    seen = lines.select("line", "doc_id", "content", "line_no").join(of, "line").select("group", where)
+    first = seen.groupBy("group").agg(F.min("where").alias("first"))
     gone = seen.join(first, "group").filter("where <> first").groupBy("where.doc_id", "where.content")
     gone = gone.agg(F.sort_array(F.collect_set("where.line_no")).alias("removed"))
     texts = rows.filter("line_no < 0").select(F.col("doc_id").alias("id"), F.col("content").alias("c"), F.col("n").alias("n_lines")).distinct()

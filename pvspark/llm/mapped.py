@@ -46,7 +46,7 @@ class Reader:
         if name in self.open:
             self.open.move_to_end(name)
         else:
-            self.open[name] = np.memmap(f"{self.folder}/{name}", dtype=self.kind, mode="r")
+            self.open[name] = np.asarray(np.memmap(f"{self.folder}/{name}", dtype=self.kind, mode="r"))
             if len(self.open) > self.most:
                 self.open.popitem(last=False)
         return self.open[name]
