@@ -1,6 +1,6 @@
 """Vector bin packing of token sequences under limits on tokens, segments and loss-bearing tokens.
 
-Each task packs the documents it reads, some thousand at a time. A document gives pieces that fill a sequence on their own, and a
+Each task packs the documents it reads, 2000 at a time. A document gives pieces that fill a sequence on their own, and a
 remainder. Remainders are vectors (tokens, 1, loss-bearing tokens). The open sequence takes the remainder whose product with the room
 left, both as shares of the limits, is greatest among those that fit; where none fits, or only one segment is left, one
 is cut so that it just fits. What is left open at the end of a task is cut into sequences whose lengths are powers of two, which need no
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.llm.shared import ship
-from pvspark.llm.tokens import encoder
+from pvspark.llm.tokens import PART, encoder
 from pvspark.llm.words import parts
 
-#: Text that is packed at once, in bytes.
-SLICE = 6 << 20
+#: So many documents are packed at once.
+SLICE = 2000
 
 
 class Limits(NamedTuple):
@@ -140,11 +140,12 @@ def _pack(path: str, end: int, limits: Limits):
 
         carried: list = []  # documents whose remainders are still open: (doc_id, ids, quiet, start)
         for batch in batches:
-            for part in parts(batch, "text", SLICE):
+            for part in parts(batch, "text", PART):
                 ids, offsets = encoder(path).encode(part.column("text"), end)
                 quiet = [max(0, q or 0) for q in part.column("quiet").to_pylist()]
                 docs = [(d, ids[a:b], q) for d, a, b, q in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), quiet, strict=True)]
-                yield from _slice(docs, carried, limits, rows, batch_of)
+                for k in range(0, len(docs), SLICE):
+                    yield from _slice(docs[k : k + SLICE], carried, limits, rows, batch_of)
         if carried:
             last = {k: (d, doc_ids, q) for k, (d, doc_ids, q, *_) in enumerate(carried)}
             pieces = [Piece(k, s, n) for k, (*_, s, n) in enumerate(carried)]

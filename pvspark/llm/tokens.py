@@ -8,8 +8,10 @@ others through the whole tokenizer. Strings of special tokens in a text are ordi
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +19,24 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: So many chunks are remembered; then the memory starts anew.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 1_500_000
 #: Text encoded at once, in bytes.
-PART = 12 << 20
-_LATIN = "ɐ"
-_MARKS = frozenset(".,;:!?")
+PART = 20 << 20
+_MARKS = pa.array([".", ",", ";", ":", "!", "?"])
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> np.ndarray:
     """Byte-level BPE writes printable bytes as themselves and all others as letters from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    out = np.zeros(256, np.uint16)
+    out[plain], out[rest] = plain, np.arange(256, 256 + len(rest))
+    return out
 
 
 _LETTERS = _byte_letters()
-_BLANK = _LETTERS[32]
+_BLANK = chr(_LETTERS[32])
 
 
 class Encoder:
@@ -42,52 +45,68 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.tokenize = self.tokenizer.model.tokenize
         self._forget()
 
     def _forget(self) -> None:
-        self.chunks: dict[str, int] = {}
+        # Places of chunks by what they are without their blank: of those that have one, and of those that have none.
+        self.chunks: dict[bool, dict[str, int]] = {True: {}, False: {}}
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _word(self, word: str) -> str:
-        return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-
-    def _new(self, chunks: list[str]) -> None:
-        """Encode chunks and remember them."""
-        out: list = [None] * len(chunks)
-        whole = []
-        tokenize = self.tokenize
-        for i, chunk in enumerate(chunks):
-            word = chunk[1:] if chunk[:1] == " " else chunk
-            blank = _BLANK if word is not chunk and len(word) < len(chunk) else ""
-            mark = word[-1:] if word[-1:] in _MARKS else ""
-            word = word[:-1] if mark else word
-            if word.isalpha() and (word.isascii() or max(word) < _LATIN):
-                ids = [t.id for t in tokenize(blank + self._word(word))]
-                if mark:
-                    ids += [t.id for t in tokenize(mark)]
-                out[i] = ids
-            else:
-                whole.append(i)
-        for i, got in zip(whole, self.tokenizer.encode_batch_fast([chunks[i] for i in whole], add_special_tokens=False), strict=True):
+    def _pretokens(self, words: list[str], blank: str) -> list[list[int]]:
+        """Ids of words of letters, each one pre-token."""
+        if not words:
+            return []
+        data = np.frombuffer("\n".join(words).encode(), np.uint8)
+        text = np.where(data == 10, np.uint16(10), _LETTERS[data]).astype("<u2").tobytes().decode("utf-16-le")
+        return [[t.id for t in x] for x in map(self.tokenizer.model.tokenize, [blank + w for w in text.split("\n")])]
+
+    def _ids(self, words: list[str], blank: bool) -> list[list[int]]:
+        """Ids of chunks that are new."""
+        given = pa.array(words, pa.string())
+        marked = pc.is_in(pc.utf8_slice_codeunits(given, -1, 1 << 30), value_set=_MARKS)
+        core = pc.if_else(marked, pc.utf8_slice_codeunits(given, 0, -1), given)
+        simple = pc.and_(pc.utf8_is_alpha(core), pc.match_substring_regex(core, r"^[A-Za-z\x{C0}-\x{24F}]+$"))
+        simple, marked = simple.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
+        out = np.empty(len(words), object)
+        at = np.flatnonzero(simple)
+        names = core.to_numpy(zero_copy_only=False)
+        for i, ids in zip(at.tolist(), self._pretokens(names[at].tolist(), _BLANK if blank else ""), strict=True):
+            out[i] = ids
+        one = {m: self._pretokens([m], "")[0] for m in _MARKS.to_pylist()}
+        for i in np.flatnonzero(simple & marked).tolist():
+            out[i] += one[words[i][-1]]
+        at = np.flatnonzero(~simple).tolist()
+        whole = [" " + words[i] if blank else words[i] for i in at]
+        for i, got in zip(at, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             out[i] = got.ids
-        size = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((x for ids in out for x in ids), np.uint32, int(size.sum()))
-        self.chunks.update(zip(chunks, range(len(self.chunks), len(self.chunks) + len(chunks)), strict=True))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def _codes(self, chunks: list[str]) -> np.ndarray:
-        """Where chunks are in the memory, after adding those that are not."""
-        known = self.chunks
-        new = list(dict.fromkeys(c for c in chunks if c not in known))
-        if new:
-            self._new(new)
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        return out.tolist()
+
+    def _codes(self, words: list[str], blank: bool) -> np.ndarray:
+        """Where chunks are in the memory, after adding those that are not; `blank`: a blank comes before each."""
+        known = self.chunks[blank]
+        codes = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(codes < 0)
+        if len(at):
+            new = list({words[i]: None for i in at.tolist()})
+            ids = self._ids(new, blank)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+            known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            self.flat = np.concatenate([self.flat, flat])
+            codes[at] = np.arange(len(self.ends) - 1 - len(new), len(self.ends) - 1) if len(new) == len(at) else [known[words[i]] for i in at.tolist()]
+        return codes
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end`, and the offsets of the texts in them. A null is empty."""
-        if len(self.chunks) > MOST_CHUNKS:
+        gc.disable()  # a million short lists are made, and none is part of a cycle
+        try:
+            return self._encode(texts, end)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.ends) > MOST_CHUNKS:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         lists = pc.split_pattern(texts, " ")
@@ -96,42 +115,40 @@ class Encoder:
         starts = starts - starts[0]
         distinct = words.dictionary_encode()
         kinds, words_at = distinct.dictionary, distinct.indices.to_numpy()
-        # Not every blank begins a chunk: not if white space is next to it.
-        names = kinds.to_pylist()
-        trimmed = np.array([not w or w[0].isspace() or w[-1].isspace() for w in names], bool)
-        rest = words_at.copy()
+        names = kinds.to_numpy(zero_copy_only=False)
         first = starts[:-1]
-        odd = np.zeros(len(texts), bool)
-        if trimmed.any():
-            odd = np.add.reduceat(trimmed[words_at].astype(np.int64), first) > 0
-        used = np.zeros(len(kinds), bool)
-        keep = np.ones(len(rest), bool)
+        # Not every blank begins a chunk: not if white space is next to it.
+        trimmed = pc.or_(pc.equal(pc.binary_length(kinds), 0), pc.not_equal(kinds, pc.utf8_trim_whitespace(kinds))).to_numpy(zero_copy_only=False)
+        odd = np.add.reduceat(trimmed[words_at].astype(np.int64), first) > 0 if trimmed.any() else np.zeros(len(texts), bool)
+        keep = np.ones(len(words_at), bool)
         keep[first] = False
-        keep &= ~np.repeat(odd, np.diff(starts))
-        used[rest[keep]] = True
+        if odd.any():
+            keep &= ~np.repeat(odd, np.diff(starts))
+        used = np.zeros(len(kinds), bool)
+        used[words_at[keep]] = True
         of_kind = np.zeros(len(kinds), np.int64)
-        of_kind[used] = self._codes([f" {names[k]}" for k in np.flatnonzero(used).tolist()])
-        codes = of_kind[rest]
+        of_kind[used] = self._codes(names[used].tolist(), True)
+        codes = of_kind[words_at]
         plain = np.flatnonzero(~odd)
-        if len(plain):
-            codes[first[plain]] = self._codes([names[k] for k in words_at[first[plain]].tolist()])
+        codes[first[plain]] = self._codes(names[words_at[first[plain]]].tolist(), False)
         if odd.any():
             pieces, sizes, last = [], np.diff(starts), 0
             for i in np.flatnonzero(odd).tolist():
                 text = texts[i].as_py()
-                own = self._codes(_SPLIT.split(text)) if text else np.zeros(0, np.int64)
+                own = self._codes(_SPLIT.split(text), False) if text else np.zeros(0, np.int64)
                 pieces += [codes[last : starts[i]], own]
                 last, sizes[i] = starts[i + 1], len(own)
             codes = np.concatenate([*pieces, codes[last:]])
             starts = np.r_[0, np.cumsum(sizes)]
-        size = np.diff(self.ends)[codes] if len(codes) else np.zeros(0, np.int64)
+        begin = self.ends[codes]
+        size = self.ends[codes + 1] - begin
         total = np.r_[0, np.cumsum(size)]
         offsets = total[starts]
         # The end of text i comes behind its ids and the ends of the texts before it.
         ids = np.empty(total[-1] + len(texts), np.uint32)
         where = np.ones(len(ids), bool)
         where[offsets[1:] + np.arange(len(texts))] = False
-        ids[where] = self.flat[np.repeat(self.ends[codes] - total[:-1], size) + np.arange(total[-1])]
+        ids[where] = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         ids[~where] = end
         return ids, offsets + np.arange(len(texts) + 1)
 
