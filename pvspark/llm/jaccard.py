@@ -113,7 +113,7 @@ def _write_sets(folder: str):
                     at.append(known[d1[i], d2[i]])
                 writer.flush()
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()),
+                    "doc_id": part.column("doc_id"), "content": part.column("content"), "n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()),
                     "file": pa.array([writer.name] * len(at)), "at": pa.array(at, pa.int64()),
                 })
         writer.close()
@@ -242,36 +242,71 @@ def _links(folder: str, names: list[str]):
     return run
 
 
-def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id: one row per document.
+def groups(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, content (hash of the text), n, class_id, component_id and root: one row per document.
 
-    class_id is the smallest doc_id with the same set, component_id the smallest that links lead to. `folder` is for the mapped
-    files; every machine must have it mounted.
+    root tells groups apart and is null for the empty set. `folder` is for the mapped files; every machine must have it mounted.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = mounted(folder or new_folder(spark, "sets"))
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_write_sets(folder), "doc_id long, n long, d1 long, d2 long, file string, at long"), "sets")
+    kinds = "doc_id long, content long, n long, d1 long, d2 long, file string, at long"
+    content = F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("content")
+    rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), content, "text").mapInArrow(_write_sets(folder), kinds), "sets")
     # As many names as the pass had tasks.
     names = sorted(os.listdir(folder)) if os.path.isdir(folder) else []
-    number = F.array_position(F.lit(names or [""]), F.col("file")) - 1
-    place = F.shiftleft(number, 40) + F.col("at")
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("file", "at")).alias("of"))
-    classes = stored(classes.select("d1", "d2", "n", "class_id", "of.*").select("d1", "d2", "n", "class_id", place.alias("place")), "classes")
+    place = F.shiftleft(F.array_position(F.lit(names or [""]), F.col("file")) - 1, 40) + F.col("at")
+    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.min(place).alias("place"))
+    classes = stored(classes, "classes")
     sample = classes.orderBy("d1", "d2").limit(SAMPLE).select("place", "n")
     frequent = sample.mapInArrow(_frequent(folder, names), "shingle long").collect()  # at most the sample's shingles / FREQUENT
     frequent = np.sort(np.array([x[0] for x in frequent], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
     meet = classes.select("place", "n").mapInArrow(lambda x: _prefixes(folder, names, shared.value)(x), "shingle long, place long, n int")
     meet = meet.repartition("shingle").sortWithinPartitions("shingle", "n", "place")
-    edges = meet.mapInArrow(_links(folder, names), "a long, b long")
-    groups = components(edges)
-    of = classes.join(groups, classes["place"] == groups["id"], "left").select("d1", "d2", "class_id", F.coalesce("root", "place").alias("root"))
+    linked = components(meet.mapInArrow(_links(folder, names), "a long, b long"))
+    of = classes.join(linked, classes["place"] == linked["id"], "left").select("d1", "d2", "class_id", F.coalesce("root", "place").alias("root"))
     least = of.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of = of.join(least, "root").select("d1", "d2", "class_id", "component_id")
-    out = rows.join(of, ["d1", "d2"], "left")
+    of = of.join(least, "root").select("d1", "d2", "class_id", "component_id", "root")
+    return rows.join(of, ["d1", "d2"], "left").select("doc_id", "content", "n", "class_id", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id: one row per document.
+
+    class_id is the smallest doc_id with the same set, component_id the smallest that links lead to.
+    """
     alone = F.col("n") == 0
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")],
-    )
+    ids = [F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")]
+    return groups(docs, folder).select("doc_id", F.col("n").alias("n_shingles"), *ids)
+
+
+def deduplicate(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """One document of each group, that with the smallest doc_id (null last, then by text hash); all columns of the input.
+
+    Documents with the empty set all stay, repeated rows of them too. Only ids and hashes of what goes are joined to the texts.
+    """
+    found = stored(groups(docs, folder), "groups")
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content")
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("times"), F.min(who).alias("who")).filter("times > 1")
+    members = found.join(first, "root")
+    later = members.filter(who != F.col("who")).select("doc_id", "content").distinct()
+    out = _without(docs, later)
+    # A row may be there twice; then one of its kind stays.
+    twice = stored(members.filter(who == F.col("who")).groupBy("doc_id", "content").count().filter("count > 1").select("doc_id", "content"), "twice")
+    if twice.isEmpty():
+        return out
+    again = docs.join(_named(twice), _same(docs), "left_semi")
+    return _without(out, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("__doc"), F.col("content").alias("__content"))
+
+
+def _same(docs: DataFrame):
+    return docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__content"))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return docs.join(_named(rows), _same(docs), "left_anti")

@@ -244,7 +244,8 @@ def duplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
     of = different.join(groups, different["place"] == groups["id"], "left").filter("times > 1 OR root IS NOT NULL").select("line", F.coalesce("root", "place").alias("group"))
     where = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "line_no").alias("where")
     seen = lines.select("line", "doc_id", "content", "line_no").join(of, "line").select("group", where)
-    first = seen.groupBy("group").agg(F.min("where").alias("first"))
+    # Written, so that the join meets plain rows on both sides and a group with very many lines can be split.
+    first = stored(seen.groupBy("group").agg(F.min("where").alias("first")), "first")
     gone = seen.join(first, "group").filter("where <> first").groupBy("where.doc_id", "where.content")
     gone = gone.agg(F.sort_array(F.collect_set("where.line_no")).alias("removed"))
     texts = rows.filter("line_no < 0").select(F.col("doc_id").alias("id"), F.col("content").alias("c"), F.col("n").alias("n_lines")).distinct()

@@ -12,7 +12,7 @@ from pvspark.llm import chat, classifier, decontaminate, jaccard, license, lines
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     try:
         import public_tokenizers
     except ImportError:
@@ -56,7 +56,7 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, written as records and read back by their index."""
-    manifest = records.write_records(_table(spark, folder, "documents"), _vocabulary(), end=2)
+    manifest = records.write_records(_table(spark, folder, "documents"), vocabulary(), end=2)
     return records.read_records(spark, manifest)
 
 
@@ -72,7 +72,7 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents, packed into sequences."""
-    return packing.pack_documents(_table(spark, folder, "documents"), _vocabulary())
+    return packing.pack_documents(_table(spark, folder, "documents"), vocabulary())
 
 
 QUERIES = {

@@ -1,0 +1,71 @@
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from pvspark.llm import oracle, quality
+from tests.llm.common import SF, connect, documents, edge_rows, same
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def own(k):
+    """Sixty words of its own; numbers would be normalised away."""
+    return " ".join("own" + "".join(chr(97 + int(c)) for c in f"{k}{i:02d}") for i in range(60))
+
+
+def brute(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(3)}
+    seen, dups = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dups += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dups, len(covered)
+
+
+def test_counts_of_odd_texts(spark):
+    rows = [*edge_rows(), (20, "a b c a b c"), (21, "x x x x x"), (22, "a b c d a b c d a"), (23, "#*$ %&|\x0b<>\x85")]
+    docs = documents(spark, rows)
+    got = quality.quality_rules(docs).collect()
+    assert len(got) == len(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    found = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got), key=key)
+    assert found == sorted(((d, *brute(t)) for d, t, *_ in rows), key=key)
+    for r in got:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+
+
+@pytest.mark.parametrize(("most", "left"), [(quality.MAX_TEXTS, quality.MIN_LEFT), (1, 0.9), (0, 0.3)])
+def test_equals_sql(spark, most, left):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    same(quality.quality_rules(docs, max_texts=most, min_left=left), connect(), oracle.quality_rules(most, left))
+
+
+def test_lines_are_counted_once_per_text_and_per_host(spark):
+    rows = [(k, f"Follow us, now!\n{own(k)}", "en", "a") for k in range(4)] + [(9, f"follow us now\n{own(9)}", "en", "b")]
+    rows += [(20 + k, f"{own(99)}\nsame page", "en", "a") for k in range(6)]  # six copies of one text
+    got = {r.doc_id: r for r in quality.quality_rules(documents(spark, rows), max_texts=3).collect()}
+    assert [got[k].removed_lines for k in range(4)] == [1] * 4 and [got[k].removed_words for k in range(4)] == [3] * 4
+    assert got[9].removed_lines == 0 and got[20].removed_lines == 0 and all(r.kept for r in got.values())
+
+
+def test_clean_takes_lines_out_and_drops_the_depleted(spark):
+    menu = "\n".join(f"menu entry number {w} of this site here" for w in "abcdefghij")
+    rows = [(k, f"{menu}\n{own(k)}") for k in range(4)] + [(4, f"{menu}\nhardly a word"), (5, None), (6, "short"), (None, own(77))]
+    docs = documents(spark, rows)
+    out = quality.clean(docs, max_texts=3, min_left=0.3)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {**{k: own(k) for k in range(4)}, None: own(77)}
+    twice = docs.union(docs)
+    assert quality.clean(twice, max_texts=3).count() == 2 * out.count()
+
+
+def test_empty_table(spark):
+    docs = documents(spark, edge_rows()).filter(F.lit(False))
+    assert quality.quality_rules(docs).count() == 0 and quality.clean(docs).count() == 0
