@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: So many chunks are remembered; then the memory starts anew.
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS = 800_000
 #: Text encoded at once, in bytes.
-PART = 20 << 20
+PART = 12 << 20
 _MARKS = pa.array([".", ",", ";", ":", "!", "?"])
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 
