@@ -16,9 +16,14 @@ PEAK_HOURS = (10, 15)
 DAYS_PER_YEAR = 365.25
 
 
+def above(value: str, threshold: float) -> Column:
+    """Whether a reading is above the threshold; a missing one is not, and neither is NaN, which Spark holds to be the largest number."""
+    return F.coalesce((F.col(value) > threshold) & ~F.isnan(value), F.lit(False))
+
+
 def is_day(irradiation: str = "irradiation", threshold: float = DAY_IRRADIATION) -> Column:
     """1 above the threshold, 0 below it or when the reading is missing."""
-    return F.coalesce(F.col(irradiation) > threshold, F.lit(False)).cast("int")
+    return above(irradiation, threshold).cast("int")
 
 
 def temp_diff(module: str = "module_temperature", ambient: str = "ambient_temperature") -> Column:

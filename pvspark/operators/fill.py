@@ -28,7 +28,7 @@ def fill_linear(
         return df
     columns = df.columns
     if by == "row":
-        _, n_long = S.long_series(df, keys, order[0], max_rows)
+        _, n_long = S.long_series(df, keys, max_rows)
         if n_long == 0:
             cut = S.segments(df, keys, order, longest=0)
             cut = cut.with_columns({"_row": f"row_number() {cut.over()}"})
@@ -66,8 +66,7 @@ def carry_between_series(
     That is what a forward-fill over the whole frame, sorted by (series, time), adds to series whose own
     gaps are filled already. Only a summary with one row per series is ordered across the group.
     """
-    at = S.position(df, time)
-    known = [F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN {at} END) AS `{c}`") for c in cols]
+    known = [F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN `{time}` END) AS `{c}`") for c in cols]
     last = df.groupBy(*group, series_key).agg(*known)
     last, n = checked_small(last)
     handed = fill_forward(S.segments(last, group, [series_key], max_rows=max_rows, longest=n), cols).own_rows()
@@ -96,6 +95,5 @@ def align_to_grid(
     filled = fill_linear(on_grid, keys, [time], cols, "time", max_rows, n)
     if not constants:
         return filled
-    at = S.position(hourly, time)
-    per_key = hourly.groupBy(*keys).agg(*[F.expr(f"min_by(`{c}`, {at}) AS `{c}`") for c in constants])
+    per_key = hourly.groupBy(*keys).agg(*[F.expr(f"min_by(`{c}`, `{time}`) AS `{c}`") for c in constants])
     return join_side(filled, per_key, keys)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.functions.physics import limited
-from pvspark.functions.text import decimals
 from pvspark.operators.clean import PLANT, SOURCE, TIME
 from pvspark.operators.small import checked_small
 
@@ -15,7 +14,7 @@ MAPE_FLOOR = 5.0
 BOARD_KEYS = ["plant", "model"]
 METRICS = ["r2", "mae", "rmse", "mape"]
 BOARD_METRICS = [f"{s}_{m}" for s in ("val", "test") for m in METRICS]
-MODEL_PRIORITY = ["XGBoost", "Random Forest", "Linear Regression"]
+MODEL_PRIORITY = ["Boosted Trees", "XGBoost", "Random Forest", "Linear Regression"]
 
 
 def limit_predictions(df: DataFrame, prediction: str = "prediction", day_flag: str | None = "is_day") -> DataFrame:
@@ -75,35 +74,42 @@ def preferred_model(board: DataFrame, priority: list[str] | None = None) -> Data
     )
 
 
-def report_lines(board: DataFrame) -> DataFrame:
-    """The text report: per plant a validation and a test block, as (line_no, line).
+# Texts of the report.
+REPORT_TITLE = "SOLAR POWER MODELS: METRICS REPORT"
+BLOCK_TITLES = ["[EVALUATION ON VALIDATION SET]", "[EVALUATION ON TEST SET (HOLDOUT FUTURE)]"]
+REPORT_COLUMNS = "Model                  |         R2 |   MAE (kW) |   RMSE (kW) |   MAPE (%)"
 
-    The board has one row per plant and model, so ordering it as a whole is cheap.
+
+def report_lines(board: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """The text report: title, and per plant a validation and a test block with column names, as (line_no, line).
+
+    Plants are in the order of their numbers, models in the order of `models`, others behind them by name. Texts that are
+    wider than their column widen it. The board has one row per plant and model, so ordering it as a whole is cheap.
     """
     from pvspark.operators.series import row_index
 
     def row(split: str) -> Column:
-        return F.concat_ws(
-            " | ", F.rpad("model", 22, " "), F.lpad(decimals(F.col(f"{split}_r2"), 4), 10, " "),
-            F.lpad(decimals(F.col(f"{split}_mae"), 2), 10, " "), F.lpad(decimals(F.col(f"{split}_rmse"), 2), 11, " "),
-            F.lpad(decimals(F.col(f"{split}_mape"), 2, "%"), 10, " "),
-        )
-
-    def line(block: int, kind: int, model: Column, text: Column) -> Column:
-        return F.struct(F.lit(block).alias("block"), F.lit(kind).alias("kind"), model.alias("model"), text.alias("line"))
-
-    none = F.lit("")
-    heads = [
-        line(0, 0, none, F.concat(F.lit("--- "), F.upper("plant"), F.lit(" ---"))),
-        line(1, 0, none, F.lit("[EVALUATION ON VALIDATION SET]")),
-        line(2, 0, none, F.lit("[EVALUATION ON TEST SET (HOLDOUT FUTURE)]")),
-    ]
-    plants = board.select("plant").distinct().select("plant", F.inline(F.array(*heads)))
-    body = board.select("plant", F.inline(F.array(line(1, 1, F.col("model"), row("val")), line(2, 1, F.col("model"), row("test")))))
-    lines = plants.unionByName(body).withColumn("_all", F.lit(0))
-    lines = lines.withColumn("_place", F.concat_ws("\x01", "plant", F.col("block").cast("string"), F.col("kind").cast("string"), "model"))
-    numbered = row_index(lines, ["_all"], ["plant", "_place"], "line_no")
-    return numbered.select(F.col("line_no").cast("long").alias("line_no"), "line")
+        scores = [f"{split}_{m}" for m in METRICS]
+        return F.format_string("%-22s | %10.4f | %10.2f | %11.2f | %9.2f%%", "model", *scores)
+
+    def line(block: int, kind: int, place: Column, model: Column, text: Column) -> Column:
+        return F.struct(F.lit(block).alias("block"), F.lit(kind).alias("kind"), place.alias("place"), model.alias("model"), text.alias("line"))
+
+    none, first, listed = F.lit(""), F.lit(0), models or []
+    heads = [line(0, 0, first, none, F.concat(F.lit("--- "), F.upper("plant"), F.lit(" ---")))]
+    for k, title in enumerate(BLOCK_TITLES, 1):
+        heads += [line(k, 0, first, none, F.lit(title)), line(k, 1, first, none, F.lit(REPORT_COLUMNS))]
+    place = F.array_position(F.array(*[F.lit(m) for m in listed]).cast("array<string>"), F.col("model"))
+    place = F.when(place > 0, place).otherwise(len(listed) + 1).cast("int")
+    body = [line(k, 2, place, F.col("model"), row(split)) for k, split in enumerate(("val", "test"), 1)]
+    lines = board.select("plant").distinct().select("plant", F.inline(F.array(*heads)))
+    lines = lines.unionByName(board.select("plant", F.inline(F.array(*body))))
+    number = F.regexp_extract("plant", "([0-9]+)$", 1).try_cast("long")
+    lines = lines.withColumns({"_all": F.lit(0), "_number": number})
+    order = ["_number", "plant", "block", "kind", "place", "model"]
+    numbered = row_index(lines, ["_all"], order, "line_no").select((F.col("line_no") + 1).alias("line_no"), "line")
+    title = board.sparkSession.createDataFrame([(1, REPORT_TITLE)], "line_no long, line string")
+    return title.unionByName(numbered.select(F.col("line_no").cast("long").alias("line_no"), "line"))
 
 
 def forecast_curve(

@@ -24,11 +24,11 @@ CORR_EXTENDED = [
 
 
 def daylight(df: DataFrame, threshold: float = physics.DAYLIGHT_POWER) -> DataFrame:
-    return df.filter(F.col("ac_power") > threshold)
+    return df.filter(physics.above("ac_power", threshold))
 
 
 def sunny(df: DataFrame, threshold: float = physics.SUNNY_IRRADIATION) -> DataFrame:
-    return df.filter(F.col("irradiation") > threshold)
+    return df.filter(physics.above("irradiation", threshold))
 
 
 def peak_hours(df: DataFrame, time: str = TIME, hours: tuple[int, int] = physics.PEAK_HOURS) -> DataFrame:

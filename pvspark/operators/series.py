@@ -10,6 +10,7 @@ Expressions are SQL text: many are built in loops over columns, and text needs o
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvspark.operators.small import checked_small
+from pvspark.session import cut
 
 MAX_ROWS = 1_000_000  # rows of one series handled by one task, unless the session setting says otherwise
 MAX_ROWS_CONF = "spark.pvspark.seriesRows"
-SLICES_PER_SEGMENT = 4  # finer cuts while counting, to even out bursts
+SLICES_PER_SEGMENT = 2  # finer cuts while counting, as a sample cuts only roughly evenly
 
 SEG = "_seg"
 OWN = "_own"
@@ -40,15 +42,13 @@ def over(keys: list[str], order: list[str], frame: str = "", descending: bool =
 
 
 def position(df: DataFrame, name: str) -> str:
-    """SQL for a double that never decreases as `name` grows; seconds for time, a byte prefix for text."""
+    """SQL for a number that grows with `name`, to interpolate by: seconds for time, days for dates."""
     c, kind = q(name), df.schema[name].dataType
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
         days = f"CAST(unix_date(CAST({c} AS DATE)) AS DOUBLE)"
         return f"({days} * 86400 + hour({c}) * 3600 + minute({c}) * 60 + CAST(extract(SECOND FROM {c}) AS DOUBLE))"
     if isinstance(kind, T.DateType):
         return f"CAST(unix_date({c}) AS DOUBLE)"
-    if isinstance(kind, T.StringType):
-        return f"CAST(conv(rpad(substring(hex({c}), 1, 12), 12, '0'), 16, 10) AS DOUBLE)"
     return f"CAST({c} AS DOUBLE)"
 
 
@@ -56,50 +56,50 @@ def rows_per_task(df: DataFrame, max_rows: int | None = None) -> int:
     return max_rows or int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(MAX_ROWS)))
 
 
-def long_series(df: DataFrame, keys: list[str], order: str, max_rows: int | None = None) -> tuple[DataFrame, int | None]:
-    """Series above `max_rows`: at most one per `max_rows` input rows, and normally none."""
-    pos = F.expr(position(df, order))
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+def long_series(df: DataFrame, keys: list[str], max_rows: int | None = None) -> tuple[DataFrame, int | None]:
+    """Series above `max_rows`, with their length `_n`: at most one per `max_rows` input rows, and normally none."""
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return checked_small(stats.filter(f"_n > {rows_per_task(df, max_rows)}"))
 
 
+def sliced(rows: DataFrame, keys: list[str], order: list[str], n_rows: int, max_rows: int) -> DataFrame:
+    """`rows` with `_slice`: ranges of (keys, order) with about max_rows / SLICES_PER_SEGMENT rows each.
+
+    The ranges come from ranks in a sample, so neither an outlier nor a burst nor long common prefixes unbalance them.
+    A second sample could cut elsewhere, so the slices are written before anything reads them twice.
+    """
+    n = math.ceil(n_rows * SLICES_PER_SEGMENT / max_rows)
+    return cut(rows.repartitionByRange(n, *keys, *order).withColumn(_SLICE, F.spark_partition_id()))
+
+
 def running_sum(
     df: DataFrame, keys: list[str], order: list[str], value: str | None, name: str, max_rows: int | None = None
 ) -> DataFrame:
     """Inclusive running total of `value` (of 1 if None, i.e. the row number) along each series.
 
-    For a long series with several order columns the total inside each value of the first one is taken on its
-    own, and the totals of the earlier values are added: neither the series nor a crowded instant is one task.
+    A long series is totalled slice by slice, and the totals of the slices before are added: neither the series nor a
+    crowded instant is one task.
     """
     max_rows = rows_per_task(df, max_rows)
     item = "1L" if value is None else q(value)
-    long, n_long = long_series(df, keys, order[0], max_rows)
+    total = f"sum({item}) {over(keys, order, UPTO)}"
+    long, n_long = long_series(df, keys, max_rows)
     if n_long == 0:
-        return df.withColumn(name, F.expr(f"sum({item}) {over(keys, order, UPTO)}"))
-
-    if len(order) > 1:
-        first, rest = order[0], order[1:]
-        inner = running_sum(df, [*keys, first], rest, value, name, max_rows)
-        per_first = df.groupBy(*keys, first).agg(F.expr(f"sum({item}) AS _total"))
-        per_first = running_sum(per_first, keys, [first], "_total", "_through", max_rows)
-        base = per_first.selectExpr(*map(q, keys), q(first), "_through - _total AS _base")
-        return inner.join(base, [*keys, first], "left").withColumn(name, F.expr(f"{q(name)} + _base")).drop("_base")
-
-    # Equal-width slices of each long series; an ordinary series is its own slice 0.
-    n_slices = f"ceil(_n * {SLICES_PER_SEGMENT} / {max_rows})"
-    share = f"coalesce(try_divide({position(df, order[0])} - _lo, _hi - _lo), 0D)"
-    number = f"CASE WHEN _n IS NULL THEN 0L ELSE CAST(least(floor({share} * {n_slices}), {n_slices} - 1) AS BIGINT) END"
-    sliced = df.join(long, keys, "left").withColumns({_SLICE: F.expr(number), "_cut": F.expr("_n IS NOT NULL")})
-    sliced = sliced.drop("_n", "_lo", "_hi")
+        return df.withColumn(name, F.expr(total))
+
+    names = long.select(*keys)
+    n_rows = long.agg(F.sum("_n")).first()[0]
+    cuts = sliced(df.join(names, keys, "left_semi"), keys, order, n_rows, max_rows)
     # One row per slice: max_rows / SLICES_PER_SEGMENT input rows become one.
-    sums = sliced.filter("_cut").groupBy(*keys, _SLICE).agg(F.expr(f"sum({item}) AS _total"))
+    sums = cuts.groupBy(*keys, _SLICE).agg(F.expr(f"sum({item}) AS _total"))
     base = sums.selectExpr(*map(q, keys), _SLICE, f"sum(_total) {over(keys, [_SLICE], BEFORE)} AS _base")
-    return (
-        sliced.withColumn(name, F.expr(f"sum({item}) {over([*keys, _SLICE], order, UPTO)}"))
+    cuts = (
+        cuts.withColumn(name, F.expr(f"sum({item}) {over([*keys, _SLICE], order, UPTO)}"))
         .join(base, [*keys, _SLICE], "left")
         .withColumn(name, F.expr(f"{q(name)} + coalesce(_base, 0)"))
-        .drop("_base", "_cut", _SLICE)
+        .drop("_base", _SLICE)
     )
+    return df.join(names, keys, "left_anti").withColumn(name, F.expr(total)).unionByName(cuts)
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = INDEX, max_rows: int | None = None) -> DataFrame:
@@ -149,7 +149,7 @@ def segments(
     if longest is not None and longest <= size:
         return Series(df.selectExpr(*one_segment), keys, order, False)
     if index is None:
-        long, n_long = long_series(df, keys, order[0], size)
+        long, n_long = long_series(df, keys, size)
         if n_long == 0:
             return Series(df.selectExpr(*one_segment), keys, order, False)
         names = long.select(*keys)
@@ -165,9 +165,9 @@ def segments(
         homes.append(f"CASE WHEN {offset} >= {size - before} THEN {home} + 1 END")
     if after:
         homes.append(f"CASE WHEN {offset} < {after} AND {home} > 0 THEN {home} - 1 END")
-    cut = rows.selectExpr("*", f"{home} AS _home", f"explode(array_compact(array({', '.join(homes)}))) AS {SEG}")
-    cut = cut.withColumn(OWN, F.expr(f"{SEG} = _home")).drop("_home", INDEX)
-    return Series(cut if whole is None else whole.unionByName(cut), keys, order, True)
+    parts = rows.selectExpr("*", f"{home} AS _home", f"explode(array_compact(array({', '.join(homes)}))) AS {SEG}")
+    parts = parts.withColumn(OWN, F.expr(f"{SEG} = _home")).drop("_home", INDEX)
+    return Series(parts if whole is None else whole.unionByName(parts), keys, order, True)
 
 
 def neighbours(series: Series, cols: list[str], pos: str | None, sides: str = "both") -> DataFrame:
@@ -181,11 +181,11 @@ def neighbours(series: Series, cols: list[str], pos: str | None, sides: str = "b
         "n": (series.over_backwards(UPTO), "min", over(series.keys, [SEG], BEFORE, descending=True)),
     }
     walks = {s: w for s, w in walks.items() if sides == "both" or s == sides[0].replace("b", "p").replace("a", "n")}
-    where = pos or position(frame, series.order[0])
     fields = "vp" if pos else "v"
+    place = f"struct({', '.join(map(q, series.order))})"
 
     found = [
-        f"last({q(c) if f == 'v' else f'CASE WHEN {q(c)} IS NOT NULL THEN {where} END'}, true) {window} AS `_{s}{f}_{c}`"
+        f"last({q(c) if f == 'v' else f'CASE WHEN {q(c)} IS NOT NULL THEN {pos} END'}, true) {window} AS `_{s}{f}_{c}`"
         for s, (window, _, _) in walks.items() for c in cols for f in fields
     ]
     out = frame.selectExpr("*", *found)
@@ -196,8 +196,8 @@ def neighbours(series: Series, cols: list[str], pos: str | None, sides: str = "b
     aggs, carries, merged = [], [], {}
     for s, (_, extreme, along) in walks.items():
         for c in cols:
-            at = f"CASE WHEN {q(c)} IS NOT NULL THEN {where} END"
-            aggs += [F.expr(f"{extreme}_by({q(c)}, {at}) AS `_e{s}v_{c}`"), F.expr(f"{extreme}({at}) AS `_e{s}p_{c}`")]
+            at = f"CASE WHEN {q(c)} IS NOT NULL THEN {place} END"
+            aggs += [F.expr(f"{extreme}_by({q(c) if f == 'v' else pos}, {at}) AS `_e{s}{f}_{c}`") for f in fields]
             for f in fields:
                 carries.append(f"last(`_e{s}{f}_{c}`, true) {along} AS `_c{s}{f}_{c}`")
                 merged[f"_{s}{f}_{c}"] = f"_c{s}{f}_{c}"

@@ -15,11 +15,14 @@ TRAIN_DAYS, VAL_DAYS = 20, 7
 def chrono_split(
     df: DataFrame, plant: str = PLANT, time: str = TIME, train_days: int = TRAIN_DAYS, val_days: int = VAL_DAYS
 ) -> DataFrame:
-    """Add `split`; the periods start at the first instant of each plant and exclude their end."""
+    """Add `split`; the periods start at the first instant of each plant and exclude their end.
+
+    A row without a time is in no period: its split is null.
+    """
     origin = df.groupBy(plant).agg(F.min(time).alias("_start"))
     val_start = F.col("_start") + F.expr(f"interval {train_days} days")
     test_start = F.col("_start") + F.expr(f"interval {train_days + val_days} days")
-    split = F.when(F.col(time) < val_start, "train").when(F.col(time) < test_start, "val").otherwise("test")
+    split = F.when(F.col(time) < val_start, "train").when(F.col(time) < test_start, "val").when(F.col(time) >= test_start, "test")
     return join_side(df, origin, [plant]).withColumn("split", split).drop("_start")
 
 

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from itertools import product
 
-from pvspark.operators.features import HISTORY
-from pvspark.operators.profile import CORR_EXTENDED, CORR_SELECTED, CORR_SENSOR
-from pvspark.sources.files import WEATHER_COLS, WEATHER_VARIABLES
-
+# Spelled out here, not taken from the operators that are compared with these statements.
+HISTORY = [
+    "irradiation_lag_1", "irradiation_lag_2", "ambient_temp_lag_1", "module_temp_lag_1", "irradiation_roll_mean_1h", "irradiation_roll_std_1h",
+]
+WEATHER_COLS = [
+    "om_temperature_2m", "om_relative_humidity_2m", "om_dew_point_2m", "om_apparent_temperature", "om_pressure_msl", "om_surface_pressure",
+    "om_precipitation", "om_cloud_cover", "om_wind_speed_10m", "om_wind_direction_10m", "om_shortwave_radiation", "om_direct_radiation",
+    "om_diffuse_radiation", "om_direct_normal_irradiance", "om_sunshine_duration",
+]
+CORR_SENSOR = ["ac_power", "dc_power", "ambient_temperature", "module_temperature", "irradiation"]
+CORR_SELECTED = [*CORR_SENSOR, "om_temperature_2m", "om_relative_humidity_2m", "om_cloud_cover", "om_wind_speed_10m"]
+CORR_EXTENDED = [
+    "ac_power", "dc_power", "daily_yield", "ambient_temperature", "module_temperature", "irradiation", "temp_diff", "om_temperature_2m",
+    "om_relative_humidity_2m", "om_cloud_cover", "om_wind_speed_10m", "om_shortwave_radiation", "om_direct_radiation",
+    "om_diffuse_radiation", "om_sunshine_duration",
+]
 SENSOR = ["ambient_temperature", "module_temperature", "irradiation"]
 NARROW = ["om_temperature_2m", "om_relative_humidity_2m"]
 CORR_9_OM = [c for c in CORR_SELECTED if c.startswith("om_")]
@@ -172,8 +184,11 @@ def correlation(cols, source: str, a: str = "a", b: str = "b", names=None) -> st
     return "\nUNION ALL ".join(rows)
 
 
-def label(c: str) -> str:
-    return c.upper().replace("OM_", "").replace("_", " ").title()
+LABELS = {
+    "ac_power": "Ac Power", "dc_power": "Dc Power", "ambient_temperature": "Ambient Temperature", "module_temperature": "Module Temperature",
+    "irradiation": "Irradiation", "om_temperature_2m": "Temperature 2M", "om_relative_humidity_2m": "Relative Humidity 2M",
+    "om_cloud_cover": "Cloud Cover", "om_wind_speed_10m": "Wind Speed 10M",
+}
 
 
 def histogram(col: str, bins: int) -> str:
@@ -196,12 +211,10 @@ def trend(x: str, y: str, source: str) -> str:
 
 
 def binned(x: str, y: str, source: str, bins: int = 20) -> tuple[str, str]:
-    probs = ", ".join(f"{i}/{bins + 1}.0::DOUBLE" for i in range(1, bins + 1))
     cte = f"""centres AS (SELECT plant_id, quantile_cont({x}, [{', '.join(repr(i / (bins + 1)) for i in range(1, bins + 1))}]) AS cs
   FROM {source} WHERE {x} IS NOT NULL GROUP BY plant_id),
 nearest AS (SELECT plant_id, {y} AS y, list_min([struct_pack(d := abs({x} - c), i := i, c := c) FOR c, i IN cs]).c AS centre
   FROM {source} JOIN centres USING (plant_id) WHERE {x} IS NOT NULL)"""
-    del probs
     body = f"""SELECT plant_id, {r('centre')}, {r('avg(y)', 'mean_y')}, {r('stddev_samp(y) / sqrt(count(y))', 'std_error')},
        count(*) AS n FROM nearest GROUP BY plant_id, centre"""
     return cte, body
@@ -356,7 +369,7 @@ GROUP BY plant_id, source_key""",
     "corr_matrix_5": sql(correlation(CORR_SENSOR, "cleaned", "col_a", "col_b"), cleaned()),
     "corr_matrix_9": sql(correlation(CORR_SELECTED, "cleaned", "col_a", "col_b"), cleaned(CORR_9_OM)),
     "corr_labels": sql(
-        correlation(CORR_SELECTED, "cleaned", "label_a", "label_b", {c: label(c) for c in CORR_SELECTED}), cleaned(CORR_9_OM)
+        correlation(CORR_SELECTED, "cleaned", "label_a", "label_b", LABELS), cleaned(CORR_9_OM)
     ),
     "corr_matrix_15": sql(
         correlation(CORR_EXTENDED, "wide", "col_a", "col_b"), cleaned(CORR_15_OM),
@@ -407,13 +420,20 @@ FROM cleaned JOIN (SELECT plant_id, min(irradiation) AS x0, max(irradiation) AS
     ),
     "metrics_report": sql(f"SELECT plant, model, {rs(BOARD_METRICS)} FROM board", *BOARD),
     "metrics_text": sql(
-        """SELECT row_number() OVER (ORDER BY plant, block, kind, model) AS line_no, line FROM (
-  SELECT plant, 0 AS block, 0 AS kind, '' AS model, '--- ' || upper(plant) || ' ---' AS line FROM (SELECT DISTINCT plant FROM board)
-  UNION ALL SELECT plant, 1, 0, '', '[EVALUATION ON VALIDATION SET]' FROM (SELECT DISTINCT plant FROM board)
-  UNION ALL SELECT plant, 2, 0, '', '[EVALUATION ON TEST SET (HOLDOUT FUTURE)]' FROM (SELECT DISTINCT plant FROM board)
-  UNION ALL SELECT plant, 1, 1, model, rpad(model, 22, ' ') || printf(' | %10.4f | %10.2f | %11.2f | %9.2f%%', val_r2, val_mae, val_rmse, val_mape) FROM board
-  UNION ALL SELECT plant, 2, 1, model, rpad(model, 22, ' ') || printf(' | %10.4f | %10.2f | %11.2f | %9.2f%%', test_r2, test_mae, test_rmse, test_mape) FROM board)""",
+        """SELECT 1 AS line_no, 'SOLAR POWER MODELS: METRICS REPORT' AS line
+UNION ALL SELECT 1 + row_number() OVER (ORDER BY number, plant, block, kind, model), line FROM (
+  SELECT plant, number, 0 AS block, 0 AS kind, '' AS model, '--- ' || upper(plant) || ' ---' AS line FROM plants
+  UNION ALL SELECT plant, number, 1, 0, '', '[EVALUATION ON VALIDATION SET]' FROM plants
+  UNION ALL SELECT plant, number, 2, 0, '', '[EVALUATION ON TEST SET (HOLDOUT FUTURE)]' FROM plants
+  UNION ALL SELECT plant, number, unnest([1, 2]), 1, '', 'Model                  |         R2 |   MAE (kW) |   RMSE (kW) |   MAPE (%)' FROM plants
+  UNION ALL SELECT plant, number, 1, 2, model, printf('%-22s | %10.4f | %10.2f | %11.2f | %9.2f%%', model, val_r2, val_mae, val_rmse, val_mape) FROM renamed
+  UNION ALL SELECT plant, number, 2, 2, model, printf('%-22s | %10.4f | %10.2f | %11.2f | %9.2f%%', model, test_r2, test_mae, test_rmse, test_mape) FROM renamed)""",
         *BOARD,
+        """renamed AS (
+  SELECT plant, CAST(regexp_extract(plant, '([0-9]+)$', 1) AS BIGINT) AS number, model, val_r2, val_mae, val_rmse, val_mape, test_r2, test_mae, test_rmse, test_mape FROM board
+  UNION ALL SELECT 'Plant 10', 10, model || ' with Optimized Parameters', val_r2, val_mae * 1e9, val_rmse * 1e9, val_mape, test_r2 * 1e9, test_mae * 1e9, test_rmse * 1e9, test_mape
+  FROM board WHERE plant = 'Plant 1')""",
+        "plants AS (SELECT DISTINCT plant, number FROM renamed)",
     ),
     "leaderboard_upsert": sql(
         f"""SELECT plant, model, CAST(NULL AS VARCHAR) AS author, {rs(BOARD_METRICS)} FROM board WHERE model <> 'Last Reading'

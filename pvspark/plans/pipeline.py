@@ -94,9 +94,9 @@ def model_step(
     files.write_report_text(metrics.report_lines(rows), f"{folder}/metrics_report_txt")
     files.write_board(metrics.upsert_board(files.read_board(spark, f"{folder}/board"), rows), f"{folder}/board")
 
-    best = metrics.preferred_model(rows).select("plant", "model")
+    best, _ = checked_small(metrics.preferred_model(rows).select("plant", "model"))
     plant_name = F.concat(F.lit("Plant "), F.col(PLANT).cast("string"))
-    curve = scored.filter(F.col("split") == "test").withColumn("plant", plant_name).join(F.broadcast(best), ["plant", "model"])
+    curve = scored.filter(F.col("split") == "test").withColumn("plant", plant_name).join(best, ["plant", "model"])
     metrics.forecast_curve(curve).write.mode("overwrite").parquet(f"{folder}/forecast_curve")
     return rows
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import statistics
 
 import pandas as pd
 import pytest
@@ -31,18 +32,31 @@ def cleaned(spark, sizes, gaps=0.0, seed=3):
 
 
 def expected(pdf, scope):
-    """Lags, rolling values, back-fill per device, then forward-fill, in pandas."""
-    df = pdf.sort_values(["source_key", "date_time"]).reset_index(drop=True)
-    by = df.groupby("source_key")
-    for new, col, n in ft.LAGS:
-        df[new] = by[col].shift(n)
-    df[ft.ROLL_MEAN] = by["irradiation"].transform(lambda x: x.shift(1).rolling(4).mean())
-    df[ft.ROLL_STD] = by["irradiation"].transform(lambda x: x.shift(1).rolling(4).std())
-    if scope is None:
-        return df
-    df[ft.HISTORY] = df.groupby("source_key")[ft.HISTORY].bfill()
-    df[ft.HISTORY] = df[ft.HISTORY].ffill() if scope == "carry" else df.groupby("source_key")[ft.HISTORY].ffill()
-    return df
+    """Lags and rolling values from list slices by their definition, then the nearest known value of the device."""
+    parts = []
+    for _, rows in pdf.sort_values(["source_key", "date_time"]).groupby("source_key"):
+        rows = rows.reset_index(drop=True)
+        history = {new: [None] * n + rows[col].tolist()[: max(0, len(rows) - n)] for new, col, n in ft.LAGS}
+        history = {new: values[: len(rows)] for new, values in history.items()}
+        before = [rows["irradiation"].tolist()[max(0, i - 4) : i] for i in range(len(rows))]
+        whole = [w if len(w) == 4 and not any(math.isnan(x) for x in w) else None for w in before]
+        history[ft.ROLL_MEAN] = [statistics.mean(w) if w else None for w in whole]
+        history[ft.ROLL_STD] = [statistics.stdev(w) if w else None for w in whole]
+        parts.append(rows.assign(**{c: pd.Series(v, dtype=float) for c, v in history.items()}))
+    if scope is not None:
+        for c in ft.HISTORY:
+            carried = float("nan")
+            for rows in parts:
+                values = rows[c].tolist()
+                later = float("nan")
+                for i in reversed(range(len(values))):
+                    later = values[i] = values[i] if not math.isnan(values[i]) else later
+                earlier = carried if scope == "carry" else float("nan")
+                for i in range(len(values)):
+                    earlier = values[i] = values[i] if not math.isnan(values[i]) else earlier
+                carried = values[-1]
+                rows[c] = values
+    return pd.concat(parts, ignore_index=True)
 
 
 def actual(df):
@@ -108,6 +122,11 @@ def test_one_shuffle_per_device_window(spark):
     assert plan.count("hashpartitioning(plant_id") == 1
 
 
+def test_a_row_without_time_is_in_no_split(spark):
+    df = spark.createDataFrame([(1, T0), (1, None), (1, T0 + dt.timedelta(days=40))], "plant_id int, date_time timestamp_ntz")
+    assert sorted(str(r.split) for r in chrono_split(df).collect()) == ["None", "test", "train"]
+
+
 def test_split_is_a_partition_in_time(spark):
     rows = [(p, T0 + dt.timedelta(hours=6 * i + p)) for p in (1, 2) for i in range(4 * 34)]
     df = chrono_split(spark.createDataFrame(rows, "plant_id int, date_time timestamp_ntz"))
@@ -120,24 +139,19 @@ def test_split_is_a_partition_in_time(spark):
         assert report[p, "train"].n_rows == 80 and report[p, "val"].n_rows == 28
 
 
-def brute_windows(pdf, lookback, horizon):
-    out = {}
-    for key, g in pdf.groupby("source_key"):
-        g = g.sort_values("date_time").reset_index(drop=True)
-        for i in range(len(g) - lookback - horizon + 1):
-            x = g["ac_power"].to_numpy()[i : i + lookback]
-            y = g["ac_power"].to_numpy()[i + lookback : i + lookback + horizon]
-            out[key, g["date_time"][i].to_pydatetime()] = (list(x), list(y))
-    return out
-
-
 @pytest.mark.parametrize("max_rows", [1, 20, 1000])
-def test_windows_against_brute_force(spark, max_rows):
-    df = cleaned(spark, {"a": 60, "b": 11, "c": 12, "d": 13})
-    got = sq.sequence_windows(df, ["source_key"], "date_time", ["ac_power", "irradiation"], lookback=8, horizon=4, max_rows=max_rows)
-    got = {(r.source_key, r.start_time): ([e.ac_power for e in r.x], list(r.y)) for r in got.collect()}
-    assert got == brute_windows(df.toPandas(), 8, 4)
-    assert sum(k == "a" for k, _ in got) == 49 and not any(k == "b" for k, _ in got)
+def test_windows_are_runs_of_rows(spark, max_rows):
+    """Readings of a device are 0, 1, 2, … here, so a window tells by itself whether it is whole and where it begins."""
+    sizes = {"a": 60, "b": 11, "c": 12, "d": 13}
+    df = cleaned(spark, sizes)
+    got = sq.sequence_windows(df, ["source_key"], "date_time", ["ac_power", "irradiation"], lookback=8, horizon=4, max_rows=max_rows).collect()
+    for key, n in sizes.items():
+        starts = sorted(r.x[0]["ac_power"] for r in got if r.source_key == key)
+        assert starts == list(range(n - 12 + 1))
+    for r in got:
+        k = int(r.x[0]["ac_power"])
+        assert [e["ac_power"] for e in r.x] == list(range(k, k + 8)) and r.y == list(range(k + 8, k + 12))
+        assert r.start_time == T0 + k * STEP
 
 
 def test_windows_keep_nulls(spark):

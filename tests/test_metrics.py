@@ -2,7 +2,9 @@ import datetime as dt
 
 import pytest
 
+from pvspark.functions import physics
 from pvspark.operators import metrics as mt
+from pvspark.operators import profile
 from pvspark.sources import files
 
 T0 = dt.datetime(2024, 1, 1)
@@ -77,13 +79,16 @@ def test_preferred_model_ignores_scores(spark):
 
 
 def test_report_text(spark, tmp_path):
-    rows = board(spark, [("Plant 2", "B", None, 1.5), ("Plant 1", "B", None, 1.23456), ("Plant 1", "A", None, 2.0)])
-    files.write_report_text(mt.report_lines(rows), str(tmp_path / "text"))
+    long = "Random Forest with Optimized Parameters"
+    rows = board(spark, [("Plant 10", "B", None, 1.5), ("Plant 2", "B", None, 1.23456), ("Plant 2", "A", None, 2.0), ("Plant 2", long, None, 1234567890.5)])
+    files.write_report_text(mt.report_lines(rows, ["B"]), str(tmp_path / "text"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "text")).collect()]
-    assert lines[0] == "--- PLANT 1 ---" and lines[1].startswith("[EVALUATION ON VALIDATION")
-    assert [x.split()[0] for x in lines[2:4]] == ["A", "B"]
-    assert lines[3].endswith("1.2346 |       1.23 |        1.23 |      1.23%")
-    assert lines[7] == "--- PLANT 2 ---" and len(lines) == 12
+    assert lines[0] == mt.REPORT_TITLE and lines[1] == "--- PLANT 2 ---" and lines[2].startswith("[EVALUATION ON VALIDATION")
+    assert lines[3].split(" | ")[2].strip() == "MAE (kW)"
+    assert [x.split(" | ")[0].strip() for x in lines[4:7]] == ["B", "A", long]
+    assert lines[4].endswith("1.2346 |       1.23 |        1.23 |      1.23%")
+    assert lines[6] == f"{long} | 1234567890.5000 | 1234567890.50 | 1234567890.50 | 1234567890.50%"
+    assert lines[12] == "--- PLANT 10 ---" and len(lines) == 19
     files.write_report_csv(rows, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == rows.columns
 
@@ -95,3 +100,11 @@ def test_forecast_curve(spark):
     assert {r.source_key for r in out} == {"b"}
     assert len(out) == 73  # both ends of three days
     assert all(r.predicted == r.actual + 1 for r in out)
+
+
+def test_nan_is_no_daylight(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (None, 2), (0.5, 3), (0.0, 4)], "irradiation double, i int")
+    got = {r.i: r.d for r in df.select("i", physics.is_day().alias("d")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert [r.i for r in profile.sunny(df).collect()] == [3]
+    assert profile.daylight(df.withColumnRenamed("irradiation", "ac_power")).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pvspark.operators import series as S
-from pvspark.operators.fill import fill_linear
+from pvspark.operators.fill import fill_forward, fill_linear
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -25,7 +25,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, t timestamp_ntz, i long, v double")
 
 
-@pytest.mark.parametrize("max_rows", [1, 7, 50, 1000])
+@pytest.mark.parametrize("max_rows", [3, 7, 50, 1000])
 def test_row_index(skewed, max_rows):
     out = S.row_index(skewed, ["k"], ["t"], "n", max_rows).collect()
     assert len(out) == 410
@@ -76,12 +76,34 @@ def test_running_sum_of_a_column(skewed):
     assert all(r.total == r.i * (r.i + 1) for r in got)
 
 
-def test_text_position_keeps_the_order(spark):
-    names = ["", "a", "ab", "abc", "abd", "b", "zzzzzzzz", "zzzzzzzzz", "é"]
-    df = spark.createDataFrame([(n,) for n in names], "s string")
-    got = {r.s: r.p for r in df.withColumn("p", F.expr(S.position(df, "s"))).collect()}
-    ordered = sorted(names, key=lambda n: n.encode())
-    assert all(got[a] <= got[b] for a, b in zip(ordered, ordered[1:], strict=False))
+AWKWARD = {
+    "outlier": [dt.datetime(1970, 1, 1)] + [T0 + dt.timedelta(minutes=15 * i) for i in range(3000)],
+    "burst": sorted([T0 + dt.timedelta(days=i) for i in range(50)] + [T0 + dt.timedelta(days=3, microseconds=i) for i in range(1, 2950)]),
+    "prefix": [f"inverter_number_{i:06d}" for i in range(3000)],
+    "large": [2**60 + i for i in range(3000)],
+    "ties": sorted([T0 + dt.timedelta(hours=i % 7) for i in range(3000)]),
+}
+
+
+@pytest.mark.parametrize("name", AWKWARD)
+def test_slices_are_cut_by_rank(spark, name):
+    values, limit = AWKWARD[name], 300
+    kind = {str: "string", int: "long"}.get(type(values[0]), "timestamp_ntz")
+    rows = list(zip(["a"] * len(values), values, range(len(values)), strict=True))
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), f"k string, t {kind}, i long")
+    largest = S.sliced(df, ["k"], ["t", "i"], len(rows), limit).groupBy(S._SLICE).count().agg(F.max("count")).first()[0]
+    assert largest <= limit
+    assert all(r.n == r.i + 1 for r in S.row_index(df, ["k"], ["t", "i"], "n", limit).collect())
+
+
+@pytest.mark.parametrize("name", ["prefix", "large"])
+def test_edges_of_segments_with_keys_that_look_alike(spark, name):
+    values = AWKWARD[name][:200]
+    kind = "string" if name == "prefix" else "long"
+    df = spark.createDataFrame([("a", v, float(i) if i % 17 == 3 else None) for i, v in enumerate(values)], f"k string, t {kind}, v double")
+    cut = fill_forward(S.segments(df, ["k"], ["t"], max_rows=10), ["v"]).own_rows().orderBy("t").collect()
+    whole = fill_forward(S.segments(df, ["k"], ["t"], max_rows=1000), ["v"]).own_rows().orderBy("t").collect()
+    assert [r.v for r in cut] == [r.v for r in whole]
 
 
 @pytest.mark.parametrize("max_rows", [2, 1000])
