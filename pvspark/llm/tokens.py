@@ -1,6 +1,6 @@
 """Token ids of whole texts, with a byte-level BPE file of the tokenizers library.
 
-Texts repeat their words, so each distinct chunk is encoded once per worker and looked up from then on. A chunk begins at a blank
+Texts repeat their words, so each distinct chunk is encoded once per worker and looked up by its 64-bit hash from then on. A chunk begins at a blank
 that has no white space on either side: the file's pattern always begins a new pre-token there, so chunks are encoded
 independently. Chunks that are one word, or a word and a mark, go straight to the BPE model as the pre-tokens they are; all
 others through the whole tokenizer. Strings of special tokens in a text are ordinary text.
@@ -11,15 +11,17 @@ from __future__ import annotations
 import gc
 import re
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from pvspark.llm.words import fingerprints
+
 #: So many chunks are remembered; then the memory starts anew.
-MOST_CHUNKS = 800_000
+MOST_CHUNKS = 2_000_000
 #: Text encoded at once, in bytes.
 PART = 12 << 20
 _MARKS = pa.array([".", ",", ";", ":", "!", "?"])
@@ -48,8 +50,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        # Places of chunks by what they are without their blank: of those that have one, and of those that have none.
-        self.chunks: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        # Hashes of chunks, sorted, and the number of each; the ids of chunk k are flat[ends[k] : ends[k + 1]].
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _pretokens(self, words: list[str], blank: str) -> list[list[int]]:
@@ -60,42 +62,42 @@ class Encoder:
         text = np.where(data == 10, np.uint16(10), _LETTERS[data]).astype("<u2").tobytes().decode("utf-16-le")
         return [[t.id for t in x] for x in map(self.tokenizer.model.tokenize, [blank + w for w in text.split("\n")])]
 
-    def _ids(self, words: list[str], blank: bool) -> list[list[int]]:
-        """Ids of chunks that are new."""
-        given = pa.array(words, pa.string())
+    def _ids(self, given: pa.Array, blank: bool) -> list[list[int]]:
+        """Ids of chunks that are new; `blank`: a blank comes before each."""
         marked = pc.is_in(pc.utf8_slice_codeunits(given, -1, 1 << 30), value_set=_MARKS)
         core = pc.if_else(marked, pc.utf8_slice_codeunits(given, 0, -1), given)
         simple = pc.and_(pc.utf8_is_alpha(core), pc.match_substring_regex(core, r"^[A-Za-z\x{C0}-\x{24F}]+$"))
-        simple, marked = simple.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
-        out = np.empty(len(words), object)
-        at = np.flatnonzero(simple)
-        names = core.to_numpy(zero_copy_only=False)
-        for i, ids in zip(at.tolist(), self._pretokens(names[at].tolist(), _BLANK if blank else ""), strict=True):
+        out = np.empty(len(given), object)
+        at = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        for i, ids in zip(at.tolist(), self._pretokens(core.filter(simple).to_pylist(), _BLANK if blank else ""), strict=True):
             out[i] = ids
         one = {m: self._pretokens([m], "")[0] for m in _MARKS.to_pylist()}
-        for i in np.flatnonzero(simple & marked).tolist():
-            out[i] += one[words[i][-1]]
-        at = np.flatnonzero(~simple).tolist()
-        whole = [" " + words[i] if blank else words[i] for i in at]
-        for i, got in zip(at, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+        ended = pc.and_(simple, marked)
+        for i, word in zip(np.flatnonzero(ended.to_numpy(zero_copy_only=False)).tolist(), given.filter(ended).to_pylist(), strict=True):
+            out[i] += one[word[-1]]
+        other = pc.invert(simple)
+        whole = [" " + w if blank else w for w in given.filter(other).to_pylist()]
+        for i, got in zip(np.flatnonzero(other.to_numpy(zero_copy_only=False)).tolist(), self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             out[i] = got.ids
         return out.tolist()
 
-    def _codes(self, words: list[str], blank: bool) -> np.ndarray:
-        """Where chunks are in the memory, after adding those that are not; `blank`: a blank comes before each."""
-        known = self.chunks[blank]
-        codes = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        at = np.flatnonzero(codes < 0)
-        if len(at):
-            new = list({words[i]: None for i in at.tolist()})
-            ids = self._ids(new, blank)
+    def _codes(self, chunks: pa.Array, blank: bool) -> np.ndarray:
+        """Numbers of chunks, after adding those that are new; `blank`: a blank comes before each."""
+        key = fingerprints(chunks) ^ np.uint64(0x5851F42D4C957F2D * blank)
+        at = np.searchsorted(self.keys, key)
+        missing = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != key) if len(self.keys) else np.arange(len(key))
+        if len(missing):
+            new, first = np.unique(key[missing], return_index=True)
+            ids = self._ids(chunks.take(pa.array(missing[first])), blank)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-            known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            place = np.searchsorted(self.keys, new)
+            self.numbers = np.insert(self.numbers, place, len(self.ends) - 1 + np.arange(len(new)))
+            self.keys = np.insert(self.keys, place, new)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
             self.flat = np.concatenate([self.flat, flat])
-            codes[at] = np.arange(len(self.ends) - 1 - len(new), len(self.ends) - 1) if len(new) == len(at) else [known[words[i]] for i in at.tolist()]
-        return codes
+            at = np.searchsorted(self.keys, key)
+        return self.numbers[at]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end`, and the offsets of the texts in them. A null is empty."""
@@ -115,7 +117,6 @@ class Encoder:
         starts = starts - starts[0]
         distinct = words.dictionary_encode()
         kinds, words_at = distinct.dictionary, distinct.indices.to_numpy()
-        names = kinds.to_numpy(zero_copy_only=False)
         first = starts[:-1]
         # Not every blank begins a chunk: not if white space is next to it.
         trimmed = pc.or_(pc.equal(pc.binary_length(kinds), 0), pc.not_equal(kinds, pc.utf8_trim_whitespace(kinds))).to_numpy(zero_copy_only=False)
@@ -127,15 +128,15 @@ class Encoder:
         used = np.zeros(len(kinds), bool)
         used[words_at[keep]] = True
         of_kind = np.zeros(len(kinds), np.int64)
-        of_kind[used] = self._codes(names[used].tolist(), True)
+        of_kind[used] = self._codes(kinds.filter(pa.array(used)), True)
         codes = of_kind[words_at]
         plain = np.flatnonzero(~odd)
-        codes[first[plain]] = self._codes(names[words_at[first[plain]]].tolist(), False)
+        codes[first[plain]] = self._codes(kinds.take(pa.array(words_at[first[plain]])), False)
         if odd.any():
             pieces, sizes, last = [], np.diff(starts), 0
             for i in np.flatnonzero(odd).tolist():
                 text = texts[i].as_py()
-                own = self._codes(_SPLIT.split(text), False) if text else np.zeros(0, np.int64)
+                own = self._codes(pa.array(_SPLIT.split(text), pa.string()), False) if text else np.zeros(0, np.int64)
                 pieces += [codes[last : starts[i]], own]
                 last, sizes[i] = starts[i + 1], len(own)
             codes = np.concatenate([*pieces, codes[last:]])

@@ -30,6 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(_LOWER.astype(np.uint64) * _STEP + np.uint64(1))
+_RAW = mix(np.arange(256, dtype=np.uint64) * _STEP + np.uint64(2))
 _powers = np.ones(1, np.uint64)
 
 
@@ -68,6 +69,15 @@ def hashes(texts: pa.Array, ends: np.ndarray = SPACE) -> tuple[np.ndarray, np.nd
     return mix(np.add.reduceat(value, begins) + size.astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
+def fingerprints(strings: pa.Array) -> np.ndarray:
+    """One hash per string, of its bytes as they are."""
+    data, offsets = _bytes(strings)
+    size = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    sums = np.r_[np.uint64(0), np.cumsum(_RAW[data] * _power(int(size.max(initial=0)))[place])]
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(np.uint64))
+
+
 def ngrams(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word windows inside one text, in order, and the offsets of the texts in them."""
     count = np.maximum(np.diff(offsets) - n + 1, 0)
