@@ -69,8 +69,10 @@ def inverter_yield(df: DataFrame, plant: str = PLANT, source: str = SOURCE, powe
 
 
 def ranked_yield(df: DataFrame, **names: str) -> DataFrame:
+    """Devices with their place in the plant, from the smallest energy up; ties by device."""
     plant, source = names.get("plant", PLANT), names.get("source", SOURCE)
-    return inverter_yield(df, **names).orderBy(plant, "ac_power_sum", source)
+    yields = S.row_index(inverter_yield(df, **names), [plant], ["ac_power_sum", source], "rank")
+    return yields.orderBy(plant, "rank")
 
 
 def yield_gap(yields: DataFrame, plant: str = PLANT) -> DataFrame:

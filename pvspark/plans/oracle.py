@@ -266,6 +266,50 @@ def scaled(shift: str, scale: str) -> str:
     )
 
 
+MODEL_FEATURES = [
+    "ambient_temperature", "module_temperature", "irradiation", "temp_diff", "hour_sin", "hour_cos", "day_of_year_sin", "day_of_year_cos",
+    *HISTORY, "om_temperature_2m", "om_relative_humidity_2m",
+]
+LINEAR_FEATURES = ["ambient_temperature", "module_temperature", "irradiation", "om_temperature_2m"]
+
+
+def least_squares(names: list[str], alpha: float) -> tuple[str, ...]:
+    """Statements up to `solved` (w0, w1, ..., b per plant): normal equations of scaled features, solved by elimination."""
+    p = len(names)
+    known = " AND ".join(f"x{i} IS NOT NULL" for i in range(p))
+    places = [(i, j) for i in range(p) for j in range(i, p)]
+    first = [f"n * covar_{i}_{j} + {alpha if i == j else 0.0} AS a{i}_{j}" for i, j in places]
+    first += [f"n * covar_{i}_{j} AS a{j}_{i}" for i, j in places if i != j] + [f"n * covar_{i}_y AS a{i}_{p}" for i in range(p)]
+    means = ", ".join(["my", *[f"m{i}" for i in range(p)]])
+    steps = []
+    for k in range(p):
+        row = [f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" for j in range(k + 1, p + 1)]
+        row += [f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(p) if i != k for j in range(k + 1, p + 1)]
+        steps.append(f"step{k + 1} AS MATERIALIZED (SELECT plant_id, {means}, {', '.join(row)} FROM step{k})")
+    return (
+        cleaned(NARROW), CAPPED, history("cleaned"), HISTORY_FILLED, history_forward("plant_id, source_key", "date_time"),
+        f"""model_rows AS MATERIALIZED (SELECT *, sin(2*pi()*hour(date_time)/24.0) AS hour_sin, cos(2*pi()*hour(date_time)/24.0) AS hour_cos,
+    sin(2*pi()*dayofyear(date_time)/365.25) AS day_of_year_sin, cos(2*pi()*dayofyear(date_time)/365.25) AS day_of_year_cos
+  FROM capped JOIN history_f USING ({K3}))""",
+        f"""model_params AS (SELECT plant_id, {', '.join(f"avg({c}) AS s{i}, CASE WHEN max({c}) > min({c}) THEN stddev_pop({c}) ELSE 1.0 END AS d{i}" for i, c in enumerate(names))}
+  FROM model_rows WHERE split = 'train' GROUP BY plant_id)""",
+        f"""xs AS MATERIALIZED (SELECT plant_id, split, is_day, ac_power, {', '.join(f"({c} - s{i}) / d{i} AS x{i}" for i, c in enumerate(names))}
+  FROM model_rows JOIN model_params USING (plant_id))""",
+        f"""moments AS MATERIALIZED (SELECT plant_id, count(*) AS n, avg(ac_power) AS my, {', '.join(f"avg(x{i}) AS m{i}" for i in range(p))},
+    {', '.join(f"covar_pop(x{i}, x{j}) AS covar_{i}_{j}" for i, j in places)}, {', '.join(f"covar_pop(x{i}, ac_power) AS covar_{i}_y" for i in range(p))}
+  FROM xs WHERE split = 'train' AND {known} AND ac_power IS NOT NULL GROUP BY plant_id)""",
+        f"step0 AS MATERIALIZED (SELECT plant_id, {means}, {', '.join(first)} FROM moments)",
+        *steps,
+        f"""solved AS (SELECT plant_id, {', '.join(f"a{i}_{p} AS w{i}" for i in range(p))}, my - ({' + '.join(f"a{i}_{p} * m{i}" for i in range(p))}) AS b FROM step{p})""",
+    )
+
+
+def weights(names: list[str], alpha: float) -> str:
+    rows = [f"SELECT plant_id, '{c}' AS feature, {r(f'w{i}', 'weight', 5)} FROM solved" for i, c in enumerate(names)]
+    rows.append(f"SELECT plant_id, 'intercept' AS feature, {r('b', 'weight', 5)} FROM solved")
+    return sql("\nUNION ALL ".join(rows), *least_squares(names, alpha))
+
+
 WIND_BINNED = binned("om_wind_speed_10m", "temp_diff", "sunny")
 CLOUD_BINNED = binned("om_cloud_cover", "om_direct_radiation", "peak")
 
@@ -354,6 +398,11 @@ FROM cleaned GROUP BY plant_id, hour(date_time)""",
     "inverter_yield": sql(
         f"""SELECT plant_id, source_key, {r('sum(ac_power)', 'ac_power_sum', 8)}, {r('sum(ac_power)/4.0/1000.0', 'yield_mwh', 8)}
 FROM generation GROUP BY ALL"""
+    ),
+    "yield_rank": sql(
+        f"""SELECT plant_id, source_key, {r('s', 'ac_power_sum', 8)}, {r('s/4.0/1000.0', 'yield_mwh', 8)},
+    row_number() OVER (PARTITION BY plant_id ORDER BY s, source_key) AS rank
+FROM (SELECT plant_id, source_key, sum(ac_power) AS s FROM generation GROUP BY ALL)"""
     ),
     "yield_gap": sql(
         f"""SELECT plant_id, source_key, {r('s', 'ac_power_sum', 8)}, {r('s/4.0/1000.0', 'yield_mwh', 8)},
@@ -461,6 +510,33 @@ FROM test JOIN (SELECT plant_id, date_time AS t0, source_key FROM test
 WHERE date_time BETWEEN t0 AND t0 + INTERVAL 3 DAY""",
         cleaned(), CAPPED, SCORED, "test AS (SELECT * FROM scored WHERE split = 'test' AND model = 'Last Reading')",
     ),
+    "linear_weights": weights(LINEAR_FEATURES, 0.0),
+    "ridge_weights": weights(MODEL_FEATURES, 1.0),
+    "fit_ridge": sql(
+        f"SELECT plant, model, {rs(BOARD_METRICS, 5)} FROM board", *least_squares(MODEL_FEATURES, 1.0),
+        f"""ridge AS (SELECT plant_id, split, ac_power, 'Ridge' AS model, CASE WHEN is_day = 0 THEN 0.0 ELSE greatest(
+    b + {' + '.join(f'w{i} * x{i}' for i in range(len(MODEL_FEATURES)))}, 0.0) END AS prediction FROM xs JOIN solved USING (plant_id))""",
+        "known AS (SELECT * FROM ridge WHERE prediction IS NOT NULL AND ac_power IS NOT NULL)", board("board", "known"),
+    ),
+    "cv_folds": sql(
+        f"""SELECT {K3}, CAST(CASE WHEN i < (n // 5 + 1) * (n % 5) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INT) AS fold
+FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY date_time, source_key) - 1 AS i, count(*) OVER (PARTITION BY plant_id) AS n
+  FROM capped WHERE split = 'train')""",
+        cleaned(), CAPPED,
+    ),
+    "day_ahead_inputs": sql(
+        f"""SELECT w.plant_id, w.split, CAST(t.i - w.i - 191 AS INT) AS step, count(*) AS n, {r('avg(w.last_value)', 'last_value')},
+    {r('avg(w.mean_value)', 'mean_value')}, {r('avg(d.ac_power)', 'day_before')}, {r('avg(t.ac_power)', 'y')}, {r('avg(d.ac_power * t.ac_power)', 'product')}
+FROM starts w JOIN numbered t ON t.plant_id = w.plant_id AND t.split = w.split AND t.i BETWEEN w.i + 192 AND w.i + 287
+JOIN numbered d ON d.plant_id = w.plant_id AND d.split = w.split AND d.i = t.i - 96
+GROUP BY ALL""",
+        *PLANT_SERIES,
+        f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY plant_id, split ORDER BY date_time) AS i FROM (
+    SELECT p.*, {SPLIT} FROM plant_series p JOIN (SELECT plant_id, min(date_time) AS start_time FROM plant_series GROUP BY plant_id) USING (plant_id)))""",
+        """starts AS MATERIALIZED (SELECT *, lead(ac_power, 191) OVER w AS last_value, avg(ac_power) OVER h AS mean_value, count(*) OVER (PARTITION BY plant_id, split) AS n
+  FROM numbered WINDOW w AS (PARTITION BY plant_id, split ORDER BY date_time), h AS (PARTITION BY plant_id, split ORDER BY date_time ROWS BETWEEN CURRENT ROW AND 191 FOLLOWING)
+  QUALIFY i + 287 <= n)""",
+    ),
     "seq_windows": sql(windows("plant_series", "plant_id", 192, 96), *PLANT_SERIES),
     "seq_windows_device": sql(windows("capped", "plant_id, split, source_key", 8, 4), cleaned(), CAPPED),
     "seq_sample": sql(

@@ -251,6 +251,11 @@ def hourly_profile(spark, sf):
 
 @query
 def inverter_yield(spark, sf):
+    return rounded(profile.inverter_yield(fx.generation(spark, sf)), 8)
+
+
+@query
+def yield_rank(spark, sf):
     return rounded(profile.ranked_yield(fx.generation(spark, sf)), 8)
 
 
@@ -541,18 +546,63 @@ def fit_boosted(spark, sf):
     return _fit_report(spark, sf, "boosted_trees")
 
 
+LINEAR_FEATURES = ["ambient_temperature", "module_temperature", "irradiation", "om_temperature_2m"]
+
+
+def _scaled(spark, sf, names):
+    """Split rows with scaled features, written once."""
+    rows = cut(split.chrono_split(fx.processed(spark, sf)))
+    return scale.apply_scale(rows, scale.fit_standard(rows.filter("split = 'train'"), names), names)
+
+
+def _weights(scaled, names, alpha):
+    return learn.fit_least_squares(scaled.filter("split = 'train'"), names, alpha=alpha)
+
+
+def _by_feature(weights, names):
+    pairs = [F.struct(F.lit(n).alias("feature"), F.col("weights")[i].alias("weight")) for i, n in enumerate(names)]
+    pairs.append(F.struct(F.lit("intercept").alias("feature"), F.col("intercept").alias("weight")))
+    return rounded(weights.select(PLANT, F.inline(F.array(*pairs))), 5)
+
+
+@query
+def linear_weights(spark, sf):
+    return _by_feature(_weights(_scaled(spark, sf, LINEAR_FEATURES), LINEAR_FEATURES, 0.0), LINEAR_FEATURES)
+
+
+@query
+def ridge_weights(spark, sf):
+    names = features.MODEL_FEATURES
+    return _by_feature(_weights(_scaled(spark, sf, names), names, learn.RIDGE_ALPHA), names)
+
+
 @query
 def fit_ridge(spark, sf):
-    rows = cut(split.chrono_split(fx.processed(spark, sf)))
-    train = rows.filter(F.col("split") == "train")
-    params = scale.fit_standard(train, features.MODEL_FEATURES)
-    scaled = scale.apply_scale(rows, params, features.MODEL_FEATURES)
-    weights = learn.fit_least_squares(
-        scaled.filter(F.col("split") == "train"), features.MODEL_FEATURES, alpha=learn.RIDGE_ALPHA
-    )
-    predicted = learn.predict_least_squares(scaled, weights, features.MODEL_FEATURES)
+    names = features.MODEL_FEATURES
+    scaled = _scaled(spark, sf, names)
+    predicted = learn.predict_least_squares(scaled, _weights(scaled, names, learn.RIDGE_ALPHA), names)
     limited = metrics.limit_predictions(predicted).withColumn("model", F.lit("Ridge"))
-    return metrics.metrics_report(limited)
+    return rounded(metrics.metrics_report(limited), 5)
+
+
+@query
+def cv_folds(spark, sf):
+    train = fx.capped(spark, sf).filter("split = 'train'")
+    return learn.contiguous_folds(train, learn.SEARCH_FOLDS).select(*KEYS, "fold")
+
+
+def _day_ahead(spark, sf):
+    series, n = checked_small(split.chrono_split(fx.plant_series(spark, sf)))
+    windows = sequences.sequence_windows(series, [PLANT, "split"], TIME, longest=n)
+    return learn.day_ahead_rows(windows, sequences.STEPS_PER_DAY)
+
+
+@query
+def day_ahead_inputs(spark, sf):
+    """What the day-ahead model gets, summed up per step."""
+    sums = [F.avg(c).alias(c) for c in ("last_value", "mean_value", "day_before", "y")]
+    rows = _day_ahead(spark, sf).groupBy(PLANT, "split", "step")
+    return rounded(rows.agg(F.count("*").alias("n"), *sums, F.avg(F.col("day_before") * F.col("y")).alias("product")))
 
 
 @query
@@ -578,9 +628,7 @@ def search_grid(spark, sf):
 
 @query
 def forecast_day_ahead(spark, sf):
-    series, n = checked_small(split.chrono_split(fx.plant_series(spark, sf)))
-    windows = sequences.sequence_windows(series, [PLANT, "split"], TIME, longest=n)
-    rows = cut(learn.spread(learn.day_ahead_rows(windows, sequences.STEPS_PER_DAY)))
+    rows = cut(learn.spread(_day_ahead(spark, sf)))
 
     def one(_, mine):
         model = learn.fit_day_ahead(mine.filter(F.col("split") == "train"))
