@@ -205,6 +205,17 @@ FROM (SELECT plant_id, lo, w, unnest(range({bins})) AS bin FROM spans) LEFT JOIN
     )
 
 
+def density(col: str) -> str:
+    return sql(
+        f"""SELECT plant_id, CAST(point AS INT) AS point, {r('lo + step * point', 'x', 8)},
+    {r(f'sum(exp(-0.5 * pow((lo + step * point - {col}) / h, 2))) / (h * sqrt(2 * pi()) * n)', 'density', 8)}
+FROM day JOIN (SELECT *, unnest(range(200)) AS point FROM stats) USING (plant_id) GROUP BY plant_id, point, lo, step, h, n""",
+        "day AS (SELECT * FROM generation WHERE ac_power > 0.5)",
+        f"""stats AS (SELECT plant_id, count(*) AS n, min({col}) AS lo, (max({col}) - min({col})) / 199 AS step,
+    stddev_samp({col}) * pow(count(*), -0.2) AS h FROM day GROUP BY plant_id)""",
+    )
+
+
 def trend(x: str, y: str, source: str) -> str:
     return f"""SELECT plant_id, {r(f'regr_slope({y}, {x})', 'slope')}, {r(f'regr_intercept({y}, {x})', 'intercept')},
        {r(f'regr_r2({y}, {x})', 'r2')}, CAST(regr_count({y}, {x}) AS BIGINT) AS n FROM {source} GROUP BY plant_id"""
@@ -428,14 +439,8 @@ GROUP BY plant_id, source_key""",
     "hist_ac": histogram("ac_power", 30),
     "hist_dc": histogram("dc_power", 30),
     "hist_ac_35": histogram("ac_power", 35),
-    "kde_ac": sql(
-        f"""SELECT plant_id, CAST(point AS INT) AS point, {r('lo + step * point', 'x', 8)},
-    {r('sum(exp(-0.5 * pow((lo + step * point - ac_power) / h, 2))) / (h * sqrt(2 * pi()) * n)', 'density', 8)}
-FROM day JOIN (SELECT *, unnest(range(200)) AS point FROM stats) USING (plant_id) GROUP BY plant_id, point, lo, step, h, n""",
-        "day AS (SELECT * FROM generation WHERE ac_power > 0.5)",
-        """stats AS (SELECT plant_id, count(*) AS n, min(ac_power) AS lo, (max(ac_power) - min(ac_power)) / 199 AS step,
-    stddev_samp(ac_power) * pow(count(*), -0.2) AS h FROM day GROUP BY plant_id)""",
-    ),
+    "kde_ac": density("ac_power"),
+    "kde_dc": density("dc_power"),
     "wind_trend": sql(trend("om_wind_speed_10m", "temp_diff", "sunny"), cleaned(WIND), SUNNY),
     "wind_binned": sql(WIND_BINNED[1], cleaned(WIND), SUNNY, WIND_BINNED[0]),
     "cloud_trend": sql(trend("om_cloud_cover", "om_direct_radiation", "peak"), cleaned(CLOUD), PEAK),

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvspark.functions import physics
-from pvspark.operators import features, learn, metrics, profile, split
-from pvspark.operators.clean import PLANT, available, clean
+from pvspark.functions.timeparse import require_times
+from pvspark.operators import features, fill, learn, metrics, profile, sequences, split
+from pvspark.operators.clean import PLANT, TIME, available, clean
 from pvspark.operators.small import checked_small
 from pvspark.session import configure
 from pvspark.sources import files
+from pvspark.sources import weather as weather_source
 
 
 @dataclass(frozen=True)
@@ -75,16 +79,72 @@ def split_step(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_report(files.read_stage(spark, folder, "split"))
 
 
+def weather_step(
+    spark: SparkSession, payloads: dict[int, str], folder: str, start: str, end: str, step: str = "15 minutes",
+    coordinates: dict[int, tuple[float, float]] | None = None,
+) -> None:
+    """Saved payloads to the stage table `weather` on a regular grid from `start` to `end`.
+
+    The job fails at the first payload that cannot be used, and at the first time that cannot be read.
+    """
+    good = weather_source.require_good(weather_source.read_payloads(spark, payloads, coordinates))
+    hourly = require_times(weather_source.hourly_rows(good, coordinates), TIME, "weather payload")
+    spans = hourly.select("plant_no").distinct().selectExpr("plant_no", f"timestamp_ntz '{start}' AS _from", f"timestamp_ntz '{end}' AS _to")
+    grid = fill.time_grid(spans, ["plant_no"], "_from", "_to", TIME, step)
+    fixed = ["latitude", "longitude", "open_meteo_timezone", "open_meteo_utc_offset_seconds"]
+    rows = fill.align_to_grid(hourly, grid, ["plant_no"], TIME, files.WEATHER_COLS, fixed)
+    files.write_stage(rows.select(*weather_source.STAGE_COLS), folder, "weather", ("plant_no",))
+
+
+def day_ahead_step(spark: SparkSession, folder: str, **overrides) -> DataFrame:
+    """Forecast the next day of each plant's total power from two days of history; writes and returns the scores per plant and split."""
+    total = files.read_stage(spark, folder, "split").groupBy(PLANT, "split", TIME).agg(F.sum("ac_power").alias("ac_power"))
+    windows = sequences.sequence_windows(total, [PLANT, "split"], TIME, ["ac_power"])
+    files.write_stage(learn.day_ahead_rows(windows, sequences.STEPS_PER_DAY), folder, "day_ahead_rows")
+
+    def one(_, mine):
+        model = learn.fit_day_ahead(mine.filter("split = 'train'"), **overrides)
+        return metrics.limit_predictions(model.transform(learn.assemble_day_ahead(mine.filter("split <> 'train'"))), learn.PREDICTION, None)
+
+    scored = reduce(DataFrame.unionByName, learn.for_each_plant(files.read_stage(spark, folder, "day_ahead_rows"), one))
+    files.write_stage(metrics.evaluate(scored, "y", learn.PREDICTION, (PLANT, "split")), folder, "day_ahead_scores")
+    return files.read_stage(spark, folder, "day_ahead_scores")
+
+
+def tuned(spark: SparkSession, folder: str, key: str, settings: list[dict], folds: int, name: str) -> list[learn.Fitted]:
+    """Cross-validate settings of a registry model on each plant's training rows; the best ones, fitted, for `model_step(extra=...)`."""
+    prepared, features = learn.prepare(files.read_stage(spark, folder, "split"))
+
+    def one(plant, rows):
+        found = learn.search(rows, learn.MODELS[key][1](), settings, folds)
+        return learn.Fitted(plant, key, name, found.bestModel, features)
+
+    return learn.for_each_plant(prepared.filter("split = 'train'"), one)
+
+
 def model_step(
     spark: SparkSession, folder: str, models: list[str] | None = None, overrides: dict[str, dict] | None = None,
-    author: str | None = None,
+    author: str | None = None, estimators: dict[str, Estimator] | None = None, extra: list[learn.Fitted] = (),
 ) -> DataFrame:
-    """Fit, score, save models and reports; returns this run's board rows."""
+    """Fit, score, save models and reports; returns this run's board rows.
+
+    `models` are registry keys, or "ridge", which is fitted for all plants at once. `estimators` are Spark regressors of one's own by
+    board name, `extra` models fitted before, such as tuned ones.
+    """
     rows = files.read_stage(spark, folder, "split")
     learn.skipped_rows(rows).write.mode("overwrite").parquet(f"{folder}/skipped_rows")
     prepared, names = learn.prepare(rows)
-    fitted = learn.fit_models(prepared, names, models or ["random_forest"], overrides)
-    files.write_stage(learn.score(prepared, fitted).drop("_label"), folder, "predictions")
+    keys = models if models is not None else [] if estimators or extra else ["random_forest"]
+    fitted = learn.fit_models(prepared, names, [k for k in keys if k != "ridge"], overrides) if set(keys) - {"ridge"} else []
+    for name, estimator in (estimators or {}).items():
+        fitted += learn.fit_each_plant(prepared, names, estimator, name.lower().replace(" ", "_"), name)
+    fitted += list(extra)
+    parts = [learn.score(prepared, fitted).drop("_label")] if fitted else []
+    parts += [learn.score_least_squares(rows)] if "ridge" in keys else []
+    files.write_stage(reduce(DataFrame.unionByName, parts), folder, "predictions")
+    importances = [f.importances() for f in fitted]
+    if importances:
+        reduce(DataFrame.unionByName, importances).coalesce(1).write.mode("overwrite").parquet(f"{folder}/importances")
     scored = files.read_stage(spark, folder, "predictions")
     rows, _ = checked_small(metrics.metrics_report(scored).withColumn("author", F.lit(author).cast("string")))
 

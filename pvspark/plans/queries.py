@@ -316,6 +316,11 @@ def kde_ac(spark, sf):
     return rounded(profile.density_curve(profile.daylight(fx.generation(spark, sf)), "ac_power"), 8)
 
 
+@query
+def kde_dc(spark, sf):
+    return rounded(profile.density_curve(profile.daylight(fx.generation(spark, sf)), "dc_power"), 8)
+
+
 @query
 def wind_trend(spark, sf):
     df = profile.sunny(fx.cleaned(spark, sf, cols=["om_wind_speed_10m"])).withColumn("temp_diff", physics.temp_diff())

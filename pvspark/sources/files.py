@@ -112,14 +112,26 @@ BOARD_SCHEMA = T.StructType(
 )
 
 
+def _board_versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the board's versions, newest first; none if there is no board. Failures of the storage are raised."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(place) if s.getPath().getName().startswith("version=")]
+    return [f"{path}/{n}" for n in sorted(names, key=lambda n: -int(n.partition("=")[2]))]
+
+
 def read_board(spark: SparkSession, path: str) -> DataFrame:
-    """The newest leaderboard version, or an empty one if there is none or it cannot be read."""
-    try:
-        versions = spark.read.parquet(path)
-        newest = versions.agg(F.max("version")).first()[0]
-    except (PySparkException, Py4JJavaError):  # absent, empty or damaged
-        return spark.createDataFrame([], BOARD_SCHEMA)
-    return versions.filter(F.col("version") == newest).drop("version")
+    """The newest leaderboard version that can be read, or an empty board if there is none."""
+    for version in _board_versions(spark, path):
+        try:
+            board = spark.read.parquet(version)
+            board.count()
+        except (PySparkException, Py4JJavaError):  # empty or damaged: an older one is better than none
+            continue
+        return board
+    return spark.createDataFrame([], BOARD_SCHEMA)
 
 
 def write_board(df: DataFrame, path: str) -> None:

@@ -21,11 +21,11 @@ PAYLOAD = (
 )
 
 
-def read_payloads(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """One row per saved response, with its plant."""
+def read_payloads(spark: SparkSession, paths: dict[int, str], coordinates: dict[int, tuple[float, float]] | None = None) -> DataFrame:
+    """One row per saved response, with its plant, which must have coordinates."""
     out = None
     for plant, path in sorted(paths.items()):
-        if plant not in PLANT_COORDINATES:
+        if plant not in (PLANT_COORDINATES if coordinates is None else coordinates):
             raise ValueError(f"unknown plant {plant}")
         try:
             part = spark.read.schema(PAYLOAD).json(path, multiLine=True).withColumn("plant_no", F.lit(plant))
@@ -66,13 +66,20 @@ def require_good(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("hourly", F.when(F.assert_true(found.isNull(), found).isNull(), F.col("hourly")))
 
 
-def hourly_rows(payloads: DataFrame) -> DataFrame:
-    """Good payloads as one row per hour, variables named om_*, metadata repeated."""
+#: Columns of the stage table, in order.
+STAGE_COLS = [
+    "plant_no", TIME, *[f"om_{v}" for v in WEATHER_VARIABLES], "latitude", "longitude", "open_meteo_timezone", "open_meteo_utc_offset_seconds",
+]
+
+
+def hourly_rows(payloads: DataFrame, coordinates: dict[int, tuple[float, float]] | None = None) -> DataFrame:
+    """Good payloads as one row per hour, variables named om_*, metadata repeated. Plants without coordinates have null ones."""
+    places = PLANT_COORDINATES if coordinates is None else coordinates
     good = payloads.filter(fault().isNull())
     zipped = F.arrays_zip("hourly.time", *[f"hourly.{v}" for v in WEATHER_VARIABLES])
     rows = good.select("plant_no", "timezone", "utc_offset_seconds", F.explode(zipped).alias("_h"))
-    lat = F.create_map(*[F.lit(x) for p, (la, _) in PLANT_COORDINATES.items() for x in (p, la)])
-    lon = F.create_map(*[F.lit(x) for p, (_, lo) in PLANT_COORDINATES.items() for x in (p, lo)])
+    lat = F.create_map(*[F.lit(x) for p, (la, _) in places.items() for x in (p, la)])
+    lon = F.create_map(*[F.lit(x) for p, (_, lo) in places.items() for x in (p, lo)])
     return rows.select(
         "plant_no", parse_time(F.col("_h.time"), PAYLOAD_TIME).alias(TIME),
         *[F.col(f"_h.{v}").alias(f"om_{v}") for v in WEATHER_VARIABLES],
