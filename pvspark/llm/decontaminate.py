@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.llm.shared import ship
-from pvspark.llm.words import MARKS, hashes, ngrams, parts
+from pvspark.llm.words import MARKS, hashes, ngrams, parts, task
 
 N = 4
 #: From this score on a document holds the item.
@@ -93,7 +93,7 @@ def _count(grams: dict[int, np.ndarray]):
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(some), k)), "gram": pa.array(some), "docs": pa.array(n[some])})
 
-    return run
+    return task(run)
 
 
 def seeds(docs: DataFrame, items: Items) -> Items:
@@ -200,7 +200,7 @@ def _matches(items: Items, score: float):
                     "seeds": pa.array([n for *_, n, _ in found], pa.int64()), "score": pa.array([s for *_, s in found], pa.float64()),
                 })
 
-    return run
+    return task(run)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
@@ -223,7 +223,7 @@ def _without(items: Items, score: float):
                 keep[[t for t, *_ in matcher.match(part.column("text"))]] = False
                 yield part.filter(pa.array(keep))
 
-    return run
+    return task(run)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pvspark.llm.graph import Groups, components
 from pvspark.llm.mapped import Reader, Writer
 from pvspark.llm.shared import mounted, new_folder, ship, stored
-from pvspark.llm.words import hashes, mix, ngrams, parts
+from pvspark.llm.words import hashes, mix, ngrams, parts, task
 
 SHINGLE = 5
 #: Links from this similarity on, in hundredths.
@@ -118,7 +118,7 @@ def _write_sets(folder: str):
                 })
         writer.close()
 
-    return run
+    return task(run)
 
 
 def _least(n):
@@ -134,7 +134,7 @@ def _frequent(folder: str, names: list[str]):
             values, count = np.unique(np.concatenate(all_values), return_counts=True)
             yield pa.RecordBatch.from_pydict({"shingle": pa.array(values[count >= FREQUENT].view(np.int64))})
 
-    return run
+    return task(run)
 
 
 def _prefixes(folder: str, names: list[str], frequent: np.ndarray):
@@ -155,7 +155,7 @@ def _prefixes(folder: str, names: list[str], frequent: np.ndarray):
                     "shingle": pa.array(np.concatenate(out).view(np.int64)), "place": pa.array(np.repeat(places, count)), "n": pa.array(np.repeat(sizes, count).astype(np.int32)),
                 })
 
-    return run
+    return task(run)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def _links(folder: str, names: list[str]):
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
                 found.clear()
 
-    return run
+    return task(run)
 
 
 def groups(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pvspark.llm.graph import Groups, components
 from pvspark.llm.jaccard import runs
 from pvspark.llm.mapped import Reader, Writer
 from pvspark.llm.shared import mounted, new_folder, ship, stored
-from pvspark.llm.words import MARKS, hashes, mix, parts
+from pvspark.llm.words import MARKS, hashes, mix, parts, task
 
 #: Where the blocks of a SimHash begin, and how many bits they have.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -114,7 +114,7 @@ def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, known = Writer(folder), {}
         for batch in batches:
-            for part in parts(batch, "text", 4 << 20):
+            for part in parts(batch, "text"):
                 lists = pc.split_pattern(pc.fill_null(part.column("text"), "").cast(pa.large_string()), "\n")
                 lines, in_text = lists.flatten(), np.diff(np.asarray(lists.offsets))
                 words, offsets = hashes(lines, MARKS)
@@ -141,7 +141,7 @@ def _read(folder: str):
                 })
         writer.close()
 
-    return run
+    return task(run)
 
 
 def _near(folder: str, names: list[str]):
@@ -212,7 +212,7 @@ def _near(folder: str, names: list[str]):
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
                 found.clear()
 
-    return run
+    return task(run)
 
 
 def _keys(simhash: Column) -> Column:

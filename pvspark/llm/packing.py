@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pvspark.llm.shared import ship
 from pvspark.llm.tokens import PART, encoder
-from pvspark.llm.words import parts
+from pvspark.llm.words import parts, task
 
 #: So many documents are packed at once.
 SLICE = 2000
@@ -151,7 +151,7 @@ def _pack(path: str, end: int, limits: Limits):
             pieces = [Piece(k, s, n) for k, (*_, s, n) in enumerate(carried)]
             yield batch_of(rows((s, last) for s in powers(pieces)))
 
-    return run
+    return task(run)
 
 
 def _slice(docs: list, carried: list, limits: Limits, rows, batch_of) -> Iterator[pa.RecordBatch]:

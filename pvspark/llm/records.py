@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pvspark.llm.shared import mounted, new_folder, ship
 from pvspark.llm.tokens import PART, encoder
-from pvspark.llm.words import parts
+from pvspark.llm.words import parts, task
 
 INDEX = np.dtype([("doc_id", "<i8"), ("named", "u1"), ("at", "<u8"), ("n", "<u8")])
 MASK = 0xA282EAD8
@@ -72,7 +72,7 @@ def _write(folder: str, path: str, end: int, kind: str):
             np.array(index, INDEX).tofile(f"{folder}/{name}.idx")
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "records": [len(index)], "ids": [total]})
 
-    return run
+    return task(run)
 
 
 def write_records(docs: DataFrame, path: str, end: int, folder: str | None = None, files: int | None = None) -> list[dict]:
@@ -118,4 +118,4 @@ def read_records(spark, manifest: list[dict], seed: int | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.range(0, len(manifest), 1, max(1, len(manifest)))
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(task(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -21,9 +21,9 @@ from tokenizers import Tokenizer
 from pvspark.llm.words import fingerprints
 
 #: So many chunks are remembered; then the memory starts anew.
-MOST_CHUNKS = 2_000_000
+MOST_CHUNKS = 1_500_000
 #: Text encoded at once, in bytes.
-PART = 12 << 20
+PART = 6 << 20
 _MARKS = pa.array([".", ",", ";", ":", "!", "?"])
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 

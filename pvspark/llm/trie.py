@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pvspark.llm import eliasfano as ef
 from pvspark.llm.shared import mounted, new_folder, ship
-from pvspark.llm.words import hashes, mix, parts
+from pvspark.llm.words import hashes, mix, parts, task
 
 ORDER = 2
 DISCOUNT = 0.75
@@ -240,7 +240,7 @@ def _count_words(shards: int):
                     yield held.rows()
         yield held.rows()
 
-    return run
+    return task(run)
 
 
 def _count_grams(metas: list[dict]):
@@ -262,7 +262,7 @@ def _count_grams(metas: list[dict]):
                     yield held.rows()
         yield held.rows()
 
-    return run
+    return task(run)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -306,7 +306,7 @@ def _write_words(folder: str, shards: int):
             arrays = ef.named("keys", ef.EliasFano.build(keys, (1 << 64) // shards)) | _mass(counts)
             yield _meta(shard, len(keys), int(counts.sum()), _save(folder, shard, arrays), [])
 
-    return run
+    return task(run)
 
 
 def _write_grams(folder: str, metas: list[dict], last: bool):
@@ -327,7 +327,7 @@ def _write_grams(folder: str, metas: list[dict], last: bool):
             edges = [(first, int(pointer[1])), (end, int(len(keys) - pointer[-2]))][: 2 if end > first else 1]
             yield _meta(shard, len(keys), int(counts.sum()), _save(folder, shard, arrays), edges)
 
-    return run
+    return task(run)
 
 
 class Model:
@@ -410,7 +410,7 @@ def _scores(metas: list[dict]):
                     "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p))),
                 })
 
-    return run
+    return task(run)
 
 
 def score(docs: DataFrame, metas: list[dict]) -> DataFrame:

@@ -6,12 +6,15 @@ a hash with probability about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Text that is worked on at once, in bytes; arrays made from it are some dozen times as large.
+PART = 3 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes that end a word: white space, or every byte of ASCII but letters and numbers.
@@ -89,7 +92,7 @@ def ngrams(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return value, ends
 
 
-def parts(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str, limit: int = PART) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each; a longer text is a slice of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -100,3 +103,16 @@ def parts(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow. At its end the worker, which lives on, gives memory that it no longer uses back to the machine."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+        if trim is not None:
+            trim(0)
+
+    return whole
