@@ -21,9 +21,9 @@ from tokenizers import Tokenizer
 from pvspark.llm.words import fingerprints
 
 #: So many chunks are remembered; then the memory starts anew.
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS = 800_000
 #: Text encoded at once, in bytes.
-PART = 6 << 20
+PART = 3 << 20
 _MARKS = pa.array([".", ",", ";", ":", "!", "?"])
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -47,9 +47,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         # Hashes of chunks, sorted, and the number of each; the ids of chunk k are flat[ends[k] : ends[k + 1]].
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -109,7 +109,7 @@ class Encoder:
 
     def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.ends) > MOST_CHUNKS:
-            self._forget()
+            self.forget()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         lists = pc.split_pattern(texts, " ")
         starts = np.asarray(lists.offsets)[: len(lists) + 1].astype(np.int64)
