@@ -146,7 +146,7 @@ def _pack(path: str, end: int, limits: Limits):
                 docs = [(d, ids[a:b], q) for d, a, b, q in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), quiet, strict=True)]
                 for k in range(0, len(docs), SLICE):
                     yield from _slice(docs[k : k + SLICE], carried, limits, rows, batch_of)
-        encoder.cache_clear()
+        encoder(path).forget()
         if carried:
             last = {k: (d, doc_ids, q) for k, (d, doc_ids, q, *_) in enumerate(carried)}
             pieces = [Piece(k, s, n) for k, (*_, s, n) in enumerate(carried)]
