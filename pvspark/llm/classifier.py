@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pvspark.llm.quality import SPACES
 from pvspark.llm.shared import stored
 
-#: The classifier is fitted on at most so many labelled documents, those with the smallest hash of their id.
+#: The classifier is fitted on at most so many labelled documents, chosen by the hash of their id.
 MAX_LABELLED = 20_000
 #: Log-odds of the surroundings weigh this much against those of the text.
 PRIOR_WEIGHT = 0.5
@@ -61,8 +61,11 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     Without both kinds of label it has no opinion: all weights are 0.
     """
     known = labels.select(F.col("doc_id").alias("doc"), F.col(label).cast("double").alias("y")).dropna()
-    known = rows.join(known, rows["doc_id"] == known["doc"]).orderBy(F.xxhash64("doc"), "y").limit(max_labelled)
-    sample = np.array([tuple(r) for r in known.select("y", *FEATURES).collect()], float).reshape(-1, 1 + len(FEATURES))
+    known = stored(rows.join(known, rows["doc_id"] == known["doc"]).select("doc", "y", *FEATURES), "labelled")
+    # Just below the bound, as the share of hashes under a limit varies a little; each task sends its part of the sample only.
+    share = min(1.0, 0.95 * max_labelled / max(1, n)) if (n := known.count()) > max_labelled else 1.0
+    chosen = known.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labelled)
+    sample = np.array(sorted(tuple(r) for r in chosen.select("y", *FEATURES).collect()), float).reshape(-1, 1 + len(FEATURES))
     y, x = sample[:, 0], sample[:, 1:]
     weights = np.zeros(1 + len(FEATURES))
     if len(set(y.tolist())) < 2:
