@@ -112,13 +112,17 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = about.select("doc_id", F.when(_told(F.col("small")), sentences).otherwise(F.array().cast("array<string>")).alias("told"))
     rows = rows.select("doc_id", F.size("told").cast("long").alias("n_sentences"), F.transform("told", lambda x: F.coalesce(_identifier(x), F.lit("?"))).alias("ids"))
     known = F.filter("ids", lambda x: x != "?")
-    # From here on a text's identifiers are one string: rule after rule takes its sequence out and leaves a bar behind.
+    # A text's identifiers as one string: rule after rule takes its sequence out and leaves a bar behind.
     text = F.when(F.size("ids") > 0, F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))).otherwise("")
-    done = ["doc_id", "n_sentences", "n_known", "sentence_ids"]
-    rows = rows.select("doc_id", "n_sentences", F.size(known).cast("long").alias("n_known"), F.array_join(known, ",").alias("sentence_ids"), text.alias("rest"), F.lit("").alias("found"))
-    for license, names in RULES:
-        sequence, name = _sequence(*names.split()), F.lit(f"{license},")
-        new = F.contains("rest", F.lit(sequence)) & ~F.contains(F.concat(F.lit(","), "found"), F.lit(f",{license},"))
-        found = F.when(new, F.concat("found", name)).otherwise(F.col("found"))
-        rows = rows.select(*done, F.replace("rest", F.lit(sequence), F.lit("|")).alias("rest"), found.alias("found"))
-    return rows.select(*done, F.regexp_replace("found", ",$", "").alias("licenses"))
+    rules = F.array(*[F.struct(F.lit(_sequence(*names.split())).alias("ids"), F.lit(f"{name},").alias("name")) for name, names in RULES])
+    rows = rows.select("doc_id", "n_sentences", F.size(known).cast("long").alias("n_known"), F.array_join(known, ",").alias("sentence_ids"), text.alias("text"))
+    found = F.aggregate(rules, F.struct(F.col("text").alias("rest"), F.lit("").alias("found")), _applied, lambda a: a["found"])
+    licenses = F.when(F.col("n_known") > 0, F.regexp_replace(found, ",$", "")).otherwise("")
+    return rows.select("doc_id", "n_sentences", "n_known", "sentence_ids", licenses.alias("licenses"))
+
+
+def _applied(done: Column, rule: Column) -> Column:
+    """What is left of a text's identifiers, and the licenses found, after one more rule."""
+    new = F.contains(done["rest"], rule["ids"]) & ~F.contains(F.concat(F.lit(","), done["found"]), F.concat(F.lit(","), rule["name"]))
+    found = F.when(new, F.concat(done["found"], rule["name"])).otherwise(done["found"])
+    return F.struct(F.replace(done["rest"], rule["ids"], F.lit("|")).alias("rest"), found.alias("found"))
