@@ -26,7 +26,7 @@ from pvspark.llm.words import MARKS, hashes, ngrams, parts, task
 N = 4
 #: From this score on a document holds the item.
 SCORE = 0.5
-#: Seeds occur in at most FEW documents, or TIMES as many as the lower quartile of the item's n-grams.
+#: Seeds occur in at most FEW documents, or TIMES as many as the lower quartile of the item's n-grams that occur at all.
 FEW, TIMES = 20, 4
 #: Characters of items in one block.
 BLOCK = 8 << 20
@@ -107,7 +107,8 @@ def seeds(docs: DataFrame, items: Items) -> Items:
     for k, (values, item, place) in items.grams.items():
         n = frequency[k][np.searchsorted(grams[k], values)]
         order = np.lexsort((n, item))
-        first = np.flatnonzero(np.r_[True, np.diff(item[order]) > 0])
+        order = order[n[order] > 0]
+        first = np.flatnonzero(np.diff(item[order], prepend=-1) > 0)
         count = np.diff(np.r_[first, len(order)])
         quartile = np.zeros(len(items.ids), np.int64)
         quartile[item[order][first]] = n[order][first + (count - 1) // 4]

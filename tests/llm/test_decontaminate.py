@@ -48,6 +48,14 @@ def test_an_item_in_very_many_documents_is_found_in_all(spark):
     assert sorted(r.doc_id for r in got) == list(range(1, 200, 2))
 
 
+def test_an_edited_copy_in_very_many_documents_is_found_in_all(spark):
+    edited = " ".join(x if k % 7 else "changed" for k, x in enumerate(ITEM.split(), 1))
+    cut = " ".join(ITEM.split()[:13])
+    rows = [(k, f"{prose(k, 10)} {edited if k % 2 else cut} {prose(5000 + k, 10)}") for k in range(1000)]
+    got = decontaminate.contaminated(documents(spark, rows), items(spark, ITEM)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000)) and all(r.seeds for r in got)
+
+
 def test_common_phrases_are_no_seeds(spark):
     phrase = "as we all know very well"
     rows = [(k, f"{prose(k)} {phrase} {prose(500 + k)}") for k in range(120)]
