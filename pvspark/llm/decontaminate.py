@@ -1,10 +1,14 @@
-"""Test items in training documents: rare n-grams of the items find passages, Smith-Waterman alignment scores them.
+"""Test items in training documents: pairs of words find passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters and numbers, A-Z in lower case. First all documents are counted that hold an n-gram of an item. An n-gram is a
-seed if it is not much more frequent than the item's other ones: phrases of the language are left out, while an item that was copied into
-very many documents, and has only frequent n-grams for that reason, keeps them all. Around each seed found in a document the item is
-aligned with the words there: +1 for an equal word, -1 for a changed, an added or a missing one. The score is a share of the item's words;
-an exact copy has 1.
+Words are runs of letters and numbers, A-Z in lower case. The score is the best local alignment of the item with the document: +1 for an equal
+word, -1 for a changed, an added or a missing one, as a share of the item's words; an exact copy has 1. Nothing with the score is missed: an
+alignment of m equal words with e errors has at most e + 1 runs, so a score of k takes k - 1 pairs of neighbours that the item and the
+passage share, and at least one of them is among all but the k - 2 most frequent ones of the item. Those are looked up first; documents with
+one of them are counted, and where the pairs suffice and stand close enough together, the words around them are aligned.
+Frequent pairs thus cost little and cut nothing. Items with fewer than N words count only as a whole.
+
+`seeds` tells how many N-grams of the item the document holds, without phrases of the language: those that are much more frequent than the
+item's other ones. It is 0 for copies with many edits.
 
 Items go to the tasks in blocks of bounded size, one pass over the documents for each block. Nothing is shuffled but counts. Null and empty
 texts hold no passage, items without words have none. Repeated rows of documents are each reported; items are told apart by item_id and text.
@@ -12,6 +16,7 @@ texts hold no passage, items without words have none. Repeated rows of documents
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,6 +35,8 @@ SCORE = 0.5
 FEW, TIMES = 20, 4
 #: Characters of items in one block.
 BLOCK = 8 << 20
+#: Places of items that are looked at together.
+PLACES = 1 << 21
 _TABLE = 22
 
 
@@ -40,12 +47,28 @@ class Items(NamedTuple):
     words: np.ndarray
     offsets: np.ndarray
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by n: sorted hashes, item, place in the item
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # those that find passages, and how many documents hold them
+    need: np.ndarray  # so many places of an item's runs are in every passage with the score
+
 
+def _sorted(values: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(values, kind="stable")
+    return tuple(x[order] for x in (values, *more))
 
-def prepare(ids: list, texts: list[str | None], n: int = N) -> Items:
-    """An item with fewer than n words has itself as its only n-gram."""
+
+def prepare(ids: list, texts: list[str | None], n: int = N, score: float = SCORE) -> Items:
+    """An item with fewer than n words has itself as its only n-gram and run; others have pairs, or words where a single one has the score."""
     words, offsets = hashes(pa.array(texts, pa.string()), MARKS)
-    size, grams = np.diff(offsets), {}
+    size, grams, runs = np.diff(offsets), {}, {}
+    least = np.array([math.ceil(score * x) for x in size.tolist()], np.int64)
+    width = np.where(size < n, size, np.where(least > 1, 2, 1))
+    for k in range(1, max(n, 3)):
+        values, ends = ngrams(words, offsets, k)
+        item = np.repeat(np.arange(len(ids)), np.diff(ends))
+        own = width[item] == k
+        if own.any():
+            place = np.arange(len(values)) - ends[item]
+            runs[k] = _sorted(values[own], item[own], place[own], np.zeros(int(own.sum()), np.int64))
     for k in range(1, n + 1):
         values, ends = ngrams(words, offsets, k)
         item = np.repeat(np.arange(len(ids)), np.diff(ends))
@@ -54,9 +77,8 @@ def prepare(ids: list, texts: list[str | None], n: int = N) -> Items:
             own = size[item] == k
             values, item, place = values[own], item[own], place[own]
         if len(values):
-            order = np.argsort(values, kind="stable")
-            grams[k] = (values[order], item[order], place[order])
-    return Items(ids, words, offsets, grams)
+            grams[k] = _sorted(values, item, place)
+    return Items(ids, words, offsets, grams, runs, np.where(size < n, 1, np.maximum(least - 1, 1)))
 
 
 class Finder:
@@ -97,8 +119,9 @@ def _count(grams: dict[int, np.ndarray]):
 
 
 def seeds(docs: DataFrame, items: Items) -> Items:
-    """`items` with those n-grams only that are seeds."""
-    grams = {k: np.unique(values) for k, (values, _, _) in items.grams.items()}
+    """`items` with those n-grams only that are seeds, and with the documents of each run counted."""
+    both = [*items.grams.items(), *items.runs.items()]
+    grams = {k: np.unique(np.concatenate([x[0] for n, x in both if n == k])) for k in {k for k, _ in both}}
     counted = docs.select("text").mapInArrow(_count(grams), "n long, gram long, docs long").groupBy("n", "gram").agg(F.sum("docs").alias("docs"))
     frequency = {k: np.zeros(len(g), np.int64) for k, g in grams.items()}
     for k, gram, n in counted.collect():  # at most one row per n-gram of the block
@@ -114,7 +137,8 @@ def seeds(docs: DataFrame, items: Items) -> Items:
         quartile[item[order][first]] = n[order][first + (count - 1) // 4]
         rare = n <= np.maximum(FEW, TIMES * quartile[item])
         kept[k] = (values[rare], item[rare], place[rare])
-    return items._replace(grams=kept)
+    runs = {k: (values, item, place, frequency[k][np.searchsorted(grams[k], values)]) for k, (values, item, place, _) in items.runs.items()}
+    return items._replace(grams=kept, runs=runs)
 
 
 def align(item: np.ndarray, words: np.ndarray) -> int:
@@ -129,46 +153,104 @@ def align(item: np.ndarray, words: np.ndarray) -> int:
     return best
 
 
+def _entries(values: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in `wanted` and in `values` (sorted) of all that are equal, some PLACES at a time."""
+    low, high = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+    ends = np.cumsum(high - low)
+    start = 0
+    while start < len(wanted):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PLACES, "right")))
+        n = (high - low)[start:stop]
+        yield np.repeat(np.arange(start, stop), n), np.arange(int(n.sum())) + np.repeat(low[start:stop] - (np.cumsum(n) - n), n)
+        start = stop
+
+
 class Matcher:
     """Scores of the items of a block in texts."""
 
     def __init__(self, items: Items, score: float) -> None:
         self.items, self.score = items, score
-        self.finders = {k: Finder(np.unique(values)) for k, (values, _, _) in items.grams.items() if len(values)}
+        self.runs = []
+        for k, (values, item, place, docs) in items.runs.items():
+            order = np.lexsort((place, docs, item))
+            first = np.flatnonzero(np.diff(item[order], prepend=-1) > 0)
+            count = np.diff(np.r_[first, len(order)])
+            early = np.zeros(len(values), bool)
+            # A passage has `need` of an item's `count` places, so one at least of these.
+            early[order] = np.arange(len(order)) - np.repeat(first, count) <= np.repeat(count - items.need[item[order][first]], count)
+            own = np.lexsort((values, item))
+            ends = np.searchsorted(item[own], np.arange(len(items.ids) + 1))
+            self.runs.append((k, Finder(np.unique(values)), values, item, Finder(np.unique(values[early])), values[early], item[early], (ends, values[own], place[own])))
+        self.grams = {k: (np.searchsorted(x[1][o], np.arange(len(items.ids) + 1)), x[0][o]) for k, x in items.grams.items() for o in [np.lexsort((x[0], x[1]))]}
         self.known: dict = {}
 
     def match(self, texts: pa.Array) -> list[tuple[int, int, int, float]]:
         """(text, item, seeds found, score) for all with at least the score."""
         words, offsets = hashes(texts, MARKS)
-        spots: dict[tuple[int, int], list[int]] = {}
-        for k, finder in self.finders.items():
-            values, ends = ngrams(words, offsets, k)
-            at = finder.find(values)
-            if not len(at):
+        out, many = [], len(self.items.ids)
+        for k, whole, values, item, rare, early, early_item, own in self.runs:
+            runs, ends = ngrams(words, offsets, k)
+
+            def held(finder: Finder, at: np.ndarray, runs=runs, ends=ends) -> tuple[np.ndarray, np.ndarray]:
+                """Text and hash of the different runs at these places."""
+                text, n = np.searchsorted(ends, at, "right") - 1, len(finder.grams)
+                text, gram = np.divmod(np.unique(text * n + np.searchsorted(finder.grams, runs[at])), n)
+                return text, finder.grams[gram]
+
+            text, wanted = held(rare, rare.find(runs))
+            some = [np.unique(text[each] * many + early_item[at]) for each, at in _entries(early, wanted)]
+            if not some:
                 continue
-            text = np.searchsorted(ends, at, "right") - 1
-            grams, item, place = self.items.grams[k]
-            low, high = np.searchsorted(grams, values[at], "left"), np.searchsorted(grams, values[at], "right")
-            each = np.repeat(np.arange(len(at)), high - low)
-            own = np.repeat(low, high - low) + np.arange(len(each)) - np.repeat(np.r_[0, np.cumsum(high - low)][:-1], high - low)
-            begin = at[each] - ends[text[each]] - place[own]
-            for t, i, b in zip(text[each].tolist(), item[own].tolist(), begin.tolist(), strict=True):
-                spots.setdefault((t, i), []).append(b)
-        out = []
-        for (t, i), begins in sorted(spots.items()):
-            own = self.items.words[self.items.offsets[i] : self.items.offsets[i + 1]]
-            text, slack, best = words[offsets[t] : offsets[t + 1]], len(own) // 4 + 2, 0
-            begins.sort()
-            first = last = begins[0]
-            for b in [*begins[1:], None]:
-                if b is not None and b - last <= len(own):
-                    last = b
-                    continue
-                best = max(best, self._score(i, own, text[max(0, first - slack) : max(0, last + len(own) + slack)]))
-                first = last = b
-            if best >= self.score * len(own):
-                out.append((t, i, len(begins), best / len(own)))
-        return out
+            pairs = np.unique(np.concatenate(some))
+            among = np.zeros(len(offsets), bool)
+            among[pairs // many] = True
+            at = whole.find(runs)
+            at = at[among[np.searchsorted(ends, at, "right") - 1]]
+            text, wanted = held(whole, at)
+            count = np.zeros(len(pairs), np.int64)
+            for each, to in _entries(values, wanted):
+                key = text[each] * many + item[to]
+                found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                count += np.bincount(found[pairs[found] == key], minlength=len(pairs))
+            for key in pairs[count >= self.items.need[pairs % many]].tolist():
+                t, i = divmod(key, many)
+                best = self._best(k, i, words[offsets[t] : offsets[t + 1]], runs[ends[t] : ends[t + 1]], own)
+                size = int(self.items.offsets[i + 1] - self.items.offsets[i])
+                if best >= self.score * size:
+                    out.append((t, i, self._seeds(i, size, words[offsets[t] : offsets[t + 1]]), best / size))
+        return sorted(out)
+
+    def _best(self, k: int, i: int, text: np.ndarray, runs: np.ndarray, own: tuple) -> int:
+        """The best score of an item in a text, or 0 where its runs don't stand close enough for one that counts."""
+        words = self.items.words[self.items.offsets[i] : self.items.offsets[i + 1]]
+        bounds, values, place = own
+        values, place = values[bounds[i] : bounds[i + 1]], place[bounds[i] : bounds[i + 1]]
+        found = np.minimum(np.searchsorted(values, runs), len(values) - 1)
+        at = np.flatnonzero(values[found] == runs)
+        begin = np.concatenate([at[each] - place[to] for each, to in _entries(values, runs[at])])
+        if np.unique(begin, return_counts=True)[1].max() == len(place):
+            return len(words)  # a whole copy
+        # A passage of the score k has at most n - k words more than the item has.
+        n, need = len(words), int(self.items.need[i])
+        reach = 2 * n - math.ceil(self.score * n)
+        last = at[need - 1 :]
+        first = at[: len(last)]
+        close = last - first <= reach
+        best, start, stop = 0, None, None
+        for a, b in [*zip((last[close] - reach).tolist(), (first[close] + reach + k).tolist(), strict=True), (None, None)]:
+            if start is not None and (a is None or a > stop):
+                best = max(best, self._score(i, words, text[max(0, start) : stop]))
+                start = None
+            if a is not None:
+                start, stop = a if start is None else start, b
+        return best
+
+    def _seeds(self, i: int, size: int, text: np.ndarray) -> int:
+        n = min(size, max(self.grams))
+        ends, values = self.grams[n]
+        values = values[ends[i] : ends[i + 1]]
+        grams = ngrams(text, np.array([0, len(text)]), n)[0]
+        return int((np.searchsorted(values, grams, "right") - np.searchsorted(values, grams, "left")).sum())
 
     def _score(self, i: int, own: np.ndarray, words: np.ndarray) -> int:
         key = i, words.tobytes()  # copies of a passage are aligned once
@@ -179,14 +261,14 @@ class Matcher:
         return self.known[key]
 
 
-def _blocks(items: DataFrame) -> Iterator[Items]:
+def _blocks(items: DataFrame, score: float = SCORE) -> Iterator[Items]:
     """The items in blocks of about BLOCK characters."""
     rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     n = int((rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK) + 1
     for k in range(n):
         block = sorted(rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect(), key=lambda r: (r[0] is not None, r[0], r[1]))
         if block:
-            yield prepare([r["item_id"] for r in block], [r["text"] for r in block])
+            yield prepare([r["item_id"] for r in block], [r["text"] for r in block], score=score)
 
 
 def _matches(items: Items, score: float):
@@ -208,7 +290,7 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Dat
     """doc_id, item_id, seeds, score: one row per document and item that it holds; documents without an item have no row."""
     ship(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, seeds long, score double")
-    for block in _blocks(items):
+    for block in _blocks(items, score):
         block = seeds(docs, block)
         found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
         out = out.union(found.mapInArrow(_matches(block, score), "doc_id long, item_id long, seeds long, score double"))
@@ -231,6 +313,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Da
     """The documents that hold no item; all columns of the input."""
     ship(docs.sparkSession)
     out = docs
-    for block in _blocks(items):
+    for block in _blocks(items, score):
         out = out.mapInArrow(_without(seeds(docs, block), score), docs.schema)
     return out

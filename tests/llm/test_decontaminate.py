@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pvspark.llm import decontaminate
+from pvspark.llm.words import MARKS, hashes
 from tests.llm.common import SF, documents, edge_rows
 
 ITEM = "which of the seven ancient wonders stood in the harbour of rhodes until an earthquake broke it at the knees in the year 226"
@@ -56,6 +58,29 @@ def test_an_edited_copy_in_very_many_documents_is_found_in_all(spark):
     assert sorted(r.doc_id for r in got) == list(range(1000)) and all(r.seeds for r in got)
 
 
+def test_evenly_edited_copies_equal_brute_force_alignment(spark):
+    rng = random.Random(8)
+    texts = [prose(-k, n) for k, n in enumerate((4, 5, 7, 15, 16, 23, 38, 63), 1)] + [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (9, 30)]
+    docs = []
+    for t in texts:
+        w = t.split()
+        for step in (2, 3, 4, 5):
+            docs.append(" ".join(x if k % step else "changed" for k, x in enumerate(w, 1)))
+            docs.append(" ".join(y for k, x in enumerate(w, 1) for y in ((x, "well") if k % step == 0 else (x,))))
+            docs.append(" ".join(x for k, x in enumerate(w, 1) if k % step))
+        docs.append(" ".join(w[len(w) // 3 :]))
+    docs = [f"{prose(k, 30)} {d} {prose(3000 + k, 30)} {docs[k - 7][:90]}" for k, d in enumerate(docs)]
+    split = lambda t: hashes(pa.array([t]), MARKS)[0]
+    want = {}
+    for i, t in enumerate(texts):
+        for d, text in enumerate(docs):
+            score = decontaminate.align(split(t), split(text)) / len(t.split())
+            if score >= 0.5:
+                want[d, i] = score
+    got = decontaminate.contaminated(documents(spark, list(enumerate(docs))), items(spark, *texts)).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and sum(x < 0.7 for x in want.values()) > 20
+
+
 def test_common_phrases_are_no_seeds(spark):
     phrase = "as we all know very well"
     rows = [(k, f"{prose(k)} {phrase} {prose(500 + k)}") for k in range(120)]
