@@ -51,7 +51,7 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the lines that repeat another one, nearly or exactly."""
-    return lines.duplicate_lines(_table(spark, folder, "documents")).drop("content")
+    return lines.duplicate_lines(_table(spark, folder, "documents"), every=True).drop("content")
 
 
 def op7_token_records(spark: SparkSession, folder: str) -> DataFrame:

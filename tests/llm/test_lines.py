@@ -85,6 +85,42 @@ def test_fuzzy_lines(spark, seed, monkeypatch):
     assert sum(map(len, got.values())) > exact
 
 
+def test_every_pair_within_the_edit_distance_is_found(spark, monkeypatch):
+    monkeypatch.setattr(lines, "TILE", 8)
+    rng = random.Random(4)
+    rows = []
+    for n in [*range(1, 13), 20, 27, 40, 80, 250]:
+        for pool in (2000, 6):
+            base = [f"v{rng.randrange(pool)}x{n}" for _ in range(n)]
+            rows.append(base)
+            for edits in {1, n // 10, n // 5, n // 5 + 1}:
+                for kind in range(3):
+                    w = list(base)
+                    for k in range(edits):  # evenly, so that no long run is left
+                        at = min(len(w) - 1, k * n // edits + n // edits // 2)
+                        w[at : at + 1] = [[f"e{rng.randrange(9999)}"], [w[at], f"e{rng.randrange(9999)}"], []][kind] if w else []
+                    rows.append(w)
+    words = [tuple(hashes(pa.array([" ".join(w)]), MARKS)[0].tolist()) for w in rows]
+    groups = Groups()
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:i]):
+            most = max(len(a), len(b)) // 5
+            if a and b and abs(len(a) - len(b)) <= most and table_distance(a, b) <= most:
+                groups.join(j, i)
+    want = sorted(i for i in range(len(words)) if words[i] and groups.root(i) != i)
+    docs = documents(spark, [(k, " ".join(w)) for k, w in enumerate(rows)]).repartition(3)
+    got = lines.duplicate_lines(docs, every=True)
+    assert sorted(r.doc_id for r in got.filter(F.size("removed") > 0).collect()) == want
+    assert lines.duplicate_lines(docs).filter(F.size("removed") > 0).count() < len(want)
+
+
+def test_odd_texts_with_every_pair(spark):
+    docs = documents(spark, edge_rows())
+    assert lines.duplicate_lines(docs, every=True).count() == lines.duplicate_lines(docs).count()
+    assert lines.deduplicate_lines(docs.filter("false"), every=True).count() == 0
+    assert lines.duplicate_lines(docs.filter("doc_id IN (3, 4, 5, 6)"), every=True).count() == 4
+
+
 def test_edit_distance_equals_the_table():
     rng = np.random.default_rng(2)
     for _ in range(300):
