@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public license texts after `normalised`, and the words one of which each of them holds.
-KEYWORDS = ["licens", "licenc", "warrant", "copyright", "rights reserved", "redistribut", "public domain", "free software"]
+# Sentences of public license texts after `normalised`, and the words one of which each of them holds. Where a text
+# names its holder, or a mark ends a sentence early, what follows is a sentence of its own here.
+KEYWORDS = ["licens", "licenc", "warrant", "copyright", "rights reserved", "redistribut", "public domain", "free software", "endors"]
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
@@ -26,24 +27,48 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-named": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-may": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-not": "may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-warranty-named": "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "apache-named": "licensed under the apache license version 2.0",
     "apache-header": "licensed under the apache license version 2.0 the license",
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at http www.apache.org licenses license 2.0",
+    "apache-at": "you may obtain a copy of the license at",
+    "apache-address": "www.apache.org licenses license 2.0",
     "apache-law": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-limits": "see the license for the specific language governing permissions and limitations under the license",
     "gpl3-named": "this work is licensed under the gnu general public license version 3",
     "gpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl3-later-cut": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-later-cut": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-only": "under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl-terms": "under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-terms": "under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl3-later": "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl2-later": "under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "agpl3-later": "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "version2": "version 2 of the license",
+    "version2-later": "either version 2 of the license or at your option any later version",
+    "version21-later": "either version 2.1 of the license or at your option any later version",
+    "version3-later": "either version 3 of the license or at your option any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-details": "see the gnu general public license for more details",
     "mpl-header": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "epl1": "under the terms of the eclipse public license v1.0",
+    "epl2": "under the terms of the eclipse public license v2.0",
+    "epl2-plain": "under the terms of the eclipse public license 2.0",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "cc0-named": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "cc-by-named": "licensed under cc by 4.0",
     "cc-by-sa-named": "licensed under cc by sa 4.0",
     "cc-by-nc-named": "licensed under cc by nc 4.0",
+    "cc-by-full": "creative commons attribution 4.0 international license",
+    "cc-by-sa-full": "creative commons attribution sharealike 4.0 international license",
+    "cc-by-nc-full": "creative commons attribution noncommercial 4.0 international license",
     "reserved": "all rights reserved",
 }
 #: Licenses and the sequences that prove them, tried in this order. What one has matched is spent.
@@ -54,16 +79,34 @@ RULES = [
     ("ISC", "isc-grant"),
     ("BSD-3-Clause", "bsd-intro bsd-source bsd-binary bsd-endorse bsd-warranty"),
     ("BSD-3-Clause", "bsd-intro bsd-source bsd-binary bsd-endorse"),
+    *[("BSD-3-Clause", f"bsd-intro bsd-source bsd-binary {x}") for x in ("bsd-endorse-named", "bsd-endorse-may", "bsd-endorse-not")],
     ("BSD-2-Clause", "bsd-intro bsd-source bsd-binary bsd-warranty"),
+    ("BSD-2-Clause", "bsd-intro bsd-source bsd-binary bsd-warranty-named"),
     ("BSD-2-Clause", "bsd-intro bsd-source bsd-binary"),
     ("Apache-2.0", "apache-header apache-comply apache-copy apache-law apache-limits"),
+    ("Apache-2.0", "apache-header apache-comply apache-at apache-address apache-law apache-limits"),
     ("Apache-2.0", "apache-header apache-comply apache-copy"),
+    ("Apache-2.0", "apache-header apache-comply apache-at apache-address"),
     ("Apache-2.0", "apache-header"),
     ("Apache-2.0", "apache-named"),
     ("GPL-3.0-or-later", "gpl3-later gpl-warranty gpl-details"),
     ("GPL-3.0-or-later", "gpl3-later"),
     ("GPL-2.0-or-later", "gpl2-later gpl-warranty gpl-details"),
     ("GPL-2.0-or-later", "gpl2-later"),
+    ("GPL-3.0-or-later", "gpl3-later-cut"),
+    ("GPL-3.0-or-later", "gpl-terms version3-later"),
+    ("GPL-2.0-or-later", "gpl2-later-cut"),
+    ("GPL-2.0-or-later", "gpl-terms version2-later"),
+    ("GPL-2.0-only", "gpl2-only"),
+    ("GPL-2.0-only", "gpl-terms version2"),
+    ("LGPL-3.0-or-later", "lgpl3-later"),
+    ("LGPL-3.0-or-later", "lgpl-terms version3-later"),
+    ("LGPL-2.1-or-later", "lgpl2-later"),
+    ("LGPL-2.1-or-later", "lgpl-terms version21-later"),
+    ("AGPL-3.0-or-later", "agpl3-later"),
+    ("EPL-1.0", "epl1"),
+    ("EPL-2.0", "epl2"),
+    ("EPL-2.0", "epl2-plain"),
     ("GPL-3.0-only", "gpl3-named"),
     ("MPL-2.0", "mpl-header"),
     ("Unlicense", "unlicense"),
@@ -71,6 +114,9 @@ RULES = [
     ("CC-BY-NC-4.0", "cc-by-nc-named"),
     ("CC-BY-SA-4.0", "cc-by-sa-named"),
     ("CC-BY-4.0", "cc-by-named"),
+    ("CC-BY-NC-4.0", "cc-by-nc-full"),
+    ("CC-BY-SA-4.0", "cc-by-sa-full"),
+    ("CC-BY-4.0", "cc-by-full"),
     ("MIT", "mit-named"),
     ("MIT", "mit-licensed"),
     ("Proprietary", "reserved"),
@@ -92,9 +138,9 @@ def _identifier(sentence: Column) -> Column:
     return out
 
 
-def _told(text: Column) -> Column:
-    """Whether a lower-case text holds one of the keywords."""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in KEYWORDS])
+def _told(text: Column, first: bool = False) -> Column:
+    """Whether a lower-case text holds one of the keywords, or the first word of one: lines may break inside it."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k.split()[0] if first else k)) for k in KEYWORDS])
 
 
 def _sequence(*names: str) -> str:
@@ -108,8 +154,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     two identifiers of a rule other text may stand, but no other identifier and no sentence that speaks of licenses.
     """
     about = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text")).select("doc_id", "text", F.lower("text").alias("small"))
-    sentences = F.filter(F.transform(F.split("text", ENDS), normalised), _told)
-    rows = about.select("doc_id", F.when(_told(F.col("small")), sentences).otherwise(F.array().cast("array<string>")).alias("told"))
+    sentences = F.filter(F.transform(F.split("text", ENDS), normalised), lambda x: _told(x))
+    rows = about.select("doc_id", F.when(_told(F.col("small"), first=True), sentences).otherwise(F.array().cast("array<string>")).alias("told"))
     rows = rows.select("doc_id", F.size("told").cast("long").alias("n_sentences"), F.transform("told", lambda x: F.coalesce(_identifier(x), F.lit("?"))).alias("ids"))
     known = F.filter("ids", lambda x: x != "?")
     # A text's identifiers as one string: rule after rule takes its sequence out and leaves a bar behind.

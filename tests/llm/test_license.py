@@ -28,6 +28,54 @@ def test_sequences_win_over_single_sentences(spark):
     ]
 
 
+BSD = """Copyright (c) 2019, Acme Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY ACME INC. AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+ENDORSE = "to endorse or\npromote products derived from this software without specific prior written permission."
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    {}://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""
+GNU = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by the Free Software Foundation{} {}"
+LATER = "either version {} of the License, or (at your option) any later version."
+
+
+def test_real_texts_with_named_holders(spark):
+    cases = [
+        (BSD.format("3. Neither the name of Acme Inc. nor the names of its contributors may be used " + ENDORSE), "BSD-3-Clause"),
+        (BSD.format("3. Neither the name of the University of Oz nor the names of its contributors may be used " + ENDORSE), "BSD-3-Clause"),
+        (BSD.format("3. The name of Jo Doe may not be used " + ENDORSE), "BSD-3-Clause"),
+        (BSD.format(""), "BSD-2-Clause"),
+        (APACHE.format("http"), "Apache-2.0"), (APACHE.format("https"), "Apache-2.0"),
+        (GNU.format(":", "", ",", LATER.format(3)), "GPL-3.0-or-later"), (GNU.format(";", "", ";", LATER.format(2)), "GPL-2.0-or-later"),
+        (GNU.format(";", "", ";", "version 2 of the License."), "GPL-2.0-only"), (GNU.format(";", "Lesser ", ";", LATER.format("2.1")), "LGPL-2.1-or-later"),
+        (GNU.format(":", "Affero ", ",", LATER.format(3)), "AGPL-3.0-or-later"), (GNU.format(":", "Lesser ", ",", LATER.format(3)), "LGPL-3.0-or-later"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("Available under the terms of the Eclipse Public License v2.0.", "EPL-2.0"), ("Released into the\npublic\ndomain", ""),
+    ]
+    got = found(spark, *[t for t, _ in cases])
+    assert [x[3].replace(",Proprietary", "") for x in got] == [x for _, x in cases]
+    assert [x[:2] for x in got][4:6] == [(6, 6)] * 2 and got[-1][0] == 1
+    docs = documents(spark, [(k, t) for k, (t, _) in enumerate(cases)])
+    con = connect()
+    con.execute("CREATE OR REPLACE TABLE texts (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO texts VALUES (?, ?)", [(k, t) for k, (t, _) in enumerate(cases)])
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM texts")
+    same(license.scan_licenses(docs), con, oracle.scan_licenses())
+
+
 def test_order_and_what_stands_between_matter(spark):
     a, b = license.SENTENCES["mit-grant"], license.SENTENCES["mit-notice"]
     assert [x[3] for x in found(spark, f"{a}. {b}.", f"{b}. {a}.", f"{a}. I hold no warranty. {b}.", f"{a}. Nice weather. {b}.")] == ["MIT", "", "", "MIT"]
