@@ -141,6 +141,20 @@ def test_packing_under_three_limits(spark, plain):
     assert padding < 0.3
 
 
+def test_loss_binds_with_prompts_under_the_limits_of_the_query(spark, plain):
+    texts = texts_of(spark)
+    quiet = {d: (d * 37) % 900 for d in texts}
+    docs = documents(spark, list(texts.items()))
+    docs = docs.withColumn("prompt", docs["doc_id"] * 37 % 900)
+    limits = packing.Limits()._replace(loss=512)
+    rows = packing.pack_documents(docs, vocabulary(), 0, limits, "prompt").collect()
+    check_packing(rows, texts, plain, limits, quiet)
+    loss = {}
+    for r in rows:
+        loss[r.sequence_id] = loss.get(r.sequence_id, 0) + r.loss_tokens
+    assert max(loss.values()) == limits.loss
+
+
 def test_the_heuristic_takes_the_largest_product():
     limits = packing.Limits(10, 3, 10)
     got = list(packing.pack(np.array([6, 3, 7, 4, 10]), np.zeros(5, int), limits))
