@@ -554,7 +554,7 @@ def fit_boosted(spark, sf):
 LINEAR_FEATURES = ["ambient_temperature", "module_temperature", "irradiation", "om_temperature_2m"]
 
 
-def _scaled(spark, sf, names):
+def _scaled_split(spark, sf, names):
     """Split rows with scaled features, written once."""
     rows = cut(split.chrono_split(fx.processed(spark, sf)))
     return scale.apply_scale(rows, scale.fit_standard(rows.filter("split = 'train'"), names), names)
@@ -572,19 +572,19 @@ def _by_feature(weights, names):
 
 @query
 def linear_weights(spark, sf):
-    return _by_feature(_weights(_scaled(spark, sf, LINEAR_FEATURES), LINEAR_FEATURES, 0.0), LINEAR_FEATURES)
+    return _by_feature(_weights(_scaled_split(spark, sf, LINEAR_FEATURES), LINEAR_FEATURES, 0.0), LINEAR_FEATURES)
 
 
 @query
 def ridge_weights(spark, sf):
     names = features.MODEL_FEATURES
-    return _by_feature(_weights(_scaled(spark, sf, names), names, learn.RIDGE_ALPHA), names)
+    return _by_feature(_weights(_scaled_split(spark, sf, names), names, learn.RIDGE_ALPHA), names)
 
 
 @query
 def fit_ridge(spark, sf):
     names = features.MODEL_FEATURES
-    scaled = _scaled(spark, sf, names)
+    scaled = _scaled_split(spark, sf, names)
     predicted = learn.predict_least_squares(scaled, _weights(scaled, names, learn.RIDGE_ALPHA), names)
     limited = metrics.limit_predictions(predicted).withColumn("model", F.lit("Ridge"))
     return rounded(metrics.metrics_report(limited), 5)
