@@ -89,9 +89,51 @@ whole AS (SELECT prefix AS text, min(conv_id) AS conv_id, n AS n_turns, count(*)
 SELECT conv_id, n_turns, n_copies, text FROM whole
 WHERE NOT EXISTS (SELECT 1 FROM grown WHERE grown.place < grown.n AND grown.place = whole.n_turns AND grown.prefix = whole.text)"""
 
+
+
+def merkle_manifest(levels: int = 20, languages: int = 8) -> str:
+    """Trees of up to 2**levels leaves and 2**languages languages."""
+    fields = ("doc_id", "source", "lang", "{n}", "text")
+    text = [f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields]
+    leaf = f"sha256({' || '.join(text)})"
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {bit})"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT for x in string_split(CAST(doc_id AS VARCHAR), '')]), lambda a, b: {byte}), 4294967295)"
+    steps = [
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, lang, {leaf.format(n='n_chars')} AS leaf, "
+        f"CASE WHEN {crc} % 7 = 0 THEN {leaf.format(n='(n_chars + 1)')} END AS other FROM documents)",
+        "placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "l0 AS MATERIALIZED (SELECT lang, i, n, leaf AS h FROM placed)",
+        "f0 AS (SELECT r, doc_id, lang, leaf, i, n, coalesce(other, leaf) AS h, '' AS proof FROM placed)",
+    ]
+    grow = (
+        "{to} AS MATERIALIZED (SELECT {by} i // 2 AS i, max((n + 1) // 2) AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h "
+        "FROM {of} GROUP BY {by} i // 2)"
+    )
+    climb = (
+        "{to} AS (SELECT {rest}, f.lang, f.i // 2 AS i, (f.n + 1) // 2 AS n, CASE WHEN f.n = 1 THEN f.h WHEN f.i % 2 = 1 THEN sha256(s.h || f.h) "
+        "ELSE sha256(f.h || coalesce(s.h, '')) END AS h, f.proof || coalesce(s.h, '') AS proof FROM {of} f LEFT JOIN {nodes} s ON {same} s.i = xor(f.i, 1))"
+    )
+    for k in range(levels):
+        steps.append(grow.format(to=f"l{k + 1}", of=f"l{k}", by="lang,"))
+        steps.append(climb.format(to=f"f{k + 1}", of=f"f{k}", nodes=f"l{k}", same="s.lang IS NOT DISTINCT FROM f.lang AND", rest="r, doc_id, leaf"))
+    steps += [
+        f"t0 AS MATERIALIZED (SELECT lang, h AS subroot, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM l{levels})",
+        f"g0 AS (SELECT r, doc_id, leaf, t.subroot, f.lang, t.i, t.n, f.h, proof FROM f{levels} f JOIN t0 t ON t.lang IS NOT DISTINCT FROM f.lang)",
+    ]
+    for k in range(languages):
+        steps.append(grow.format(to=f"t{k + 1}", of=f"t{k}", by=""))
+        steps.append(climb.format(to=f"g{k + 1}", of=f"g{k}", nodes=f"t{k}", same="", rest="r, doc_id, leaf, f.subroot"))
+    return (
+        f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, g.h AS folded_root, g.h = t.h AS verified "
+        f"FROM g{languages} g CROSS JOIN t{languages} t"
+    )
+
+
 ORACLE = {
     "op1_quality_rules": quality_rules(),
     "op3_license_scan": scan_licenses(),
     "op8_ngram_jaccard": JACCARD,
     "op9_chat_formatting": CHAT,
+    "op11_merkle_manifest": merkle_manifest(),
 }

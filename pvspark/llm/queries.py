@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pvspark.llm import chat, classifier, decontaminate, jaccard, license, lines, packing, quality, records, trie
+from pvspark.llm import chat, classifier, decontaminate, jaccard, license, lines, merkle, packing, quality, records, trie
 
 #: The vocabulary file of op7 and op10.
 VOCABULARY = "byte_bpe_50k.json"
@@ -75,10 +75,15 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), vocabulary())
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and folded root per document."""
+    return merkle.verify(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_lm_scoring, op3_license_scan, op4_benchmark_decontamination, op5_quality_classifier,
-        op6_line_dedup, op7_token_records, op8_ngram_jaccard, op9_chat_formatting, op10_packing,
+        op6_line_dedup, op7_token_records, op8_ngram_jaccard, op9_chat_formatting, op10_packing, op11_merkle_manifest,
     )
 }
