@@ -130,10 +130,34 @@ def merkle_manifest(levels: int = 20, languages: int = 8) -> str:
     )
 
 
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    square = "list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, len(x) + 1)])::BIGINT"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, z) AS r, * FROM (SELECT vec_id, label, [floor(256 * y::DOUBLE)::BIGINT for y in embedding] AS z "
+        f"FROM embeddings WHERE len(embedding) > 0 AND len(embedding) % {parts} = 0 AND len([1 for y in embedding if y IS NULL OR NOT isfinite(y)]) = 0))",
+        f"x AS MATERIALIZED (SELECT r, p, z[p * (len(z) // {parts}) + 1 : (p + 1) * (len(z) // {parts})] AS x FROM v, range({parts}) AS t(p))",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM x WHERE r <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min({{'d': {square}, 'e': e}}) AS best FROM x JOIN c{k} USING (p) GROUP BY r, p)")
+        if k < rounds:
+            steps += [
+                f"s{k} AS (SELECT p, best.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, len(x) + 1) AS t(i) GROUP BY ALL)",
+                f"m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY p, e)",
+                f"c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (p, e))",
+            ]
+    return f"""
+WITH {", ".join(steps)},
+name AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (r) CROSS JOIN name"""
+
+
 ORACLE = {
     "op1_quality_rules": quality_rules(),
     "op3_license_scan": scan_licenses(),
     "op8_ngram_jaccard": JACCARD,
     "op9_chat_formatting": CHAT,
     "op11_merkle_manifest": merkle_manifest(),
+    "op12_vector_codes": vector_codes(),
 }

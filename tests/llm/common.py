@@ -41,7 +41,7 @@ def words(text):
 
 def connect(folder=SF):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark", "labels"):
+    for t in ("documents", "conversations", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
