@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pvspark.llm import chat, classifier, decontaminate, jaccard, license, lines, merkle, packing, quality, records, trie, vectors
+from pvspark.llm import chat, classifier, decontaminate, jaccard, language, license, lines, merkle, packing, quality, records, trie, vectors
 
 #: The vocabulary file of op7 and op10.
 VOCABULARY = "byte_bpe_50k.json"
@@ -85,11 +85,16 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.encode(_table(spark, folder, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of every document, learned from those that are not held out."""
+    return language.identify(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_lm_scoring, op3_license_scan, op4_benchmark_decontamination, op5_quality_classifier,
         op6_line_dedup, op7_token_records, op8_ngram_jaccard, op9_chat_formatting, op10_packing, op11_merkle_manifest,
-        op12_vector_codes,
+        op12_vector_codes, op13_language_id,
     )
 }
