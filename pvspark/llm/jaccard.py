@@ -2,8 +2,9 @@
 
 The sets of all documents are written once to mapped files: per set a bitmap of hashed shingles and the sorted shingles. Two sets
 with Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles in any common order; in the order used here those that are
-frequent in a sample come last, which changes no result. Sets that meet at a shingle are sorted by size and compared tile by
-tile within the band of sizes that t allows. Two bitmaps that differ in d bits leave at most (n + m - d) / 2 common shingles; only
+frequent over all sets (counted in a fixed number of counters) come last, which changes no result. Sets that meet at a shingle are compared within
+the band of sizes that t allows, and only if what follows the shingle in both orders is long enough: it is for the first shingle that a linked
+pair shares. Two bitmaps that differ in d bits leave at most (n + m - d) / 2 common shingles; only
 sets which that leaves possible are intersected. Sets that a task has already joined, directly or not, are not
 compared again, so a group of k near copies costs about k intersections, not k squared.
 
@@ -14,7 +15,6 @@ doc_id and text are read.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvspark.llm.graph import Groups, components
+from pvspark.llm import frequency
+from pvspark.llm.graph import components
 from pvspark.llm.mapped import Reader, Writer
+from pvspark.llm.meeting import Meeting
 from pvspark.llm.shared import mounted, new_folder, ship, stored
 from pvspark.llm.words import hashes, mix, ngrams, parts, task
 
@@ -33,13 +35,11 @@ PERCENT = 75
 BITS = 1024
 #: Shingles are told apart by 48 bits in the files.
 WIDTH = 6
-#: A shingle counts as frequent from so many of so many sampled classes on. This only sets the order of shingles.
-SAMPLE, FREQUENT = 4000, 4
 TILE, COLUMNS = 64, 1024
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles (48 bits of hash) of each text, and the offsets of the texts in them."""
+    """Sorted distinct shingles of each text (48 bits of a hash of 64, by which they are told apart), and the offsets of the texts in them."""
     words, offsets = hashes(texts)
     values, ends = ngrams(words, offsets, size)
     count = np.diff(offsets)
@@ -55,13 +55,12 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
         more = np.zeros(len(count), np.int64)
         more[short] = 1
         ends = ends + np.r_[0, np.cumsum(more)]
-    values = values >> np.uint64(64 - 8 * WIDTH)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         values[a:b].sort()
     first = np.ones(len(values), bool)
     first[1:] = values[1:] != values[:-1]
     first[ends[:-1][ends[:-1] < len(values)]] = True
-    return values[first], np.r_[0, np.cumsum(first)][ends]
+    return values[first] >> np.uint64(64 - 8 * WIDTH), np.r_[0, np.cumsum(first)][ends]
 
 
 def bitmaps(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -77,26 +76,23 @@ def _packed(values: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Reads what `_write_sets` has written. A place is a file's number and the byte where a set begins."""
+    """Reads what `_write_sets` has written, by place."""
 
-    def __init__(self, folder: str, names: list[str]) -> None:
-        self.names, self.files = names, Reader(folder, np.uint8)
+    def __init__(self, folder: str) -> None:
+        self.files = Reader(folder, np.uint8)
 
-    def _bytes(self, place: int, skip: int, n: int) -> np.ndarray:
-        return self.files.get(self.names[place >> 40], (place & ((1 << 40) - 1)) + skip, n)
-
-    def bits(self, place: int) -> np.ndarray:
-        return self._bytes(place, 0, BITS // 8).view(np.uint64)
+    def bits(self, places: np.ndarray) -> np.ndarray:
+        return self.files.gather(places, BITS // 8).view(np.uint64)
 
     def values(self, place: int, n: int) -> np.ndarray:
         out = np.zeros((n, 8), np.uint8)
-        out[:, :WIDTH] = self._bytes(place, BITS // 8, n * WIDTH).reshape(n, WIDTH)
+        out[:, :WIDTH] = self.files.at(place, BITS // 8, n * WIDTH).reshape(n, WIDTH)
         return out.reshape(-1).view(np.uint64)
 
 
 def _write_sets(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, known = Writer(folder), {}
+        writer, known = Writer(folder, numbered=True), {}
         for batch in batches:
             for part in parts(batch, "text"):
                 values, ends = shingle_sets(part.column("text"))
@@ -109,12 +105,12 @@ def _write_sets(folder: str):
                         at.append(None)
                         continue
                     if (d1[i], d2[i]) not in known:
-                        known[d1[i], d2[i]] = writer.add(np.concatenate([bits[i], _packed(values[a:b])]))
+                        known[d1[i], d2[i]] = writer.place(np.concatenate([bits[i], _packed(values[a:b])]))
                     at.append(known[d1[i], d2[i]])
                 writer.flush()
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "content": part.column("content"), "n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()),
-                    "file": pa.array([writer.name] * len(at)), "at": pa.array(at, pa.int64()),
+                    "place": pa.array(at, pa.int64()),
                 })
         writer.close()
 
@@ -126,118 +122,70 @@ def _least(n):
     return (PERCENT * n + 99) // 100
 
 
-def _frequent(folder: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(folder, names)
-        all_values = [sets.values(p, n) for b in batches for p, n in zip(b.column("place").to_pylist(), b.column("n").to_pylist(), strict=True)]
-        if all_values:
-            values, count = np.unique(np.concatenate(all_values), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(values[count >= FREQUENT].view(np.int64))})
+def _shingles(folder: str):
+    """The shingles of a task's classes, for counting."""
 
-    return task(run)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        sets = Sets(folder)
+        for batch in batches:
+            for place, n in zip(batch.column("place").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                yield sets.values(place, n)
 
+    return read
+
+
+def _prefixes(folder: str, rank: np.ndarray):
+    """The first shingles of each set, the rarest first, and how many shingles come after each."""
 
-def _prefixes(folder: str, names: list[str], frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(folder, names)
+        sets = Sets(folder)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 places, sizes = part.column("place").to_numpy(), part.column("n").to_numpy()
-                out = []
-                for place, n in zip(places.tolist(), sizes.tolist(), strict=True):
-                    values, want = sets.values(place, n), n - _least(n) + 1
-                    late = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values if len(frequent) else np.zeros(n, bool)
-                    early = values[~late][:want]
-                    out.append(early if len(early) == want else np.r_[early, values[late][: want - len(early)]])
-                count = [len(x) for x in out]
+                values = np.concatenate([sets.values(p, n) for p, n in zip(places.tolist(), sizes.tolist(), strict=True)])
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                # Set, rank and shingle in one integer of 8, 8 and 48 bits.
+                order = np.sort(of.astype(np.uint64) << np.uint64(56) | rank[values % np.uint64(len(rank))].astype(np.uint64) << np.uint64(48) | values)
+                pos = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                early = pos < np.repeat(sizes - _least(sizes) + 1, sizes)
                 yield pa.RecordBatch.from_pydict({
-                    "shingle": pa.array(np.concatenate(out).view(np.int64)), "place": pa.array(np.repeat(places, count)), "n": pa.array(np.repeat(sizes, count).astype(np.int32)),
+                    "shingle": pa.array((order[early] & np.uint64((1 << 48) - 1)).view(np.int64)), "place": pa.array(places[of[early]]),
+                    "n": pa.array(sizes[of[early]].astype(np.int32)), "after": pa.array((sizes[of] - pos - 1)[early].astype(np.int32)),
                 })
 
     return task(run)
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition sorted by `key`, in batches that never end inside a key."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy()
-        last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if len(keys) and keys[0] != keys[-1] else 0
-        if not len(keys):
-            continue
-        if last == 0 and (not rest or rest[-1].column(key)[-1].as_py() == keys[0]):
-            rest.append(batch)
-            continue
-        yield from _joined([*rest, batch.slice(0, last)])
-        rest = [batch.slice(last)]
-    yield from _joined(rest)
+def _need(n, m):
+    """Common shingles that link sets of n and m."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
 
+class Comparison:
+    """Sets by their bitmaps, then by their shingles."""
 
-def _joined(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if batches and any(b.num_rows for b in batches):
-        yield pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    percent = PERCENT
 
+    def __init__(self, folder: str) -> None:
+        self.sets = Sets(folder)
 
-def _links(folder: str, names: list[str]):
+    def need(self, n, m):
+        return _need(n, m)
+
+    def heads(self, places: np.ndarray) -> np.ndarray:
+        return self.sets.bits(places)
+
+    def possible(self, differ: np.ndarray, n, m) -> np.ndarray:
+        return (n + m - differ.sum(axis=-1, dtype=np.int64)) // 2 >= _need(n, m)
+
+    def alike(self, a: int, n: int, b: int, m: int) -> bool:
+        return len(np.intersect1d(self.sets.values(a, n), self.sets.values(b, m), assume_unique=True)) >= _need(n, m)
+
+
+def _links(folder: str, tile: int, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, groups = Sets(folder, names), Groups()
-        unlike: set = set()
-        found: list[tuple[int, int]] = []
-
-        def alike(a: int, n: int, b: int, m: int) -> bool:
-            pair = (a, b) if a < b else (b, a)
-            if pair in unlike:
-                return False
-            need = -(-PERCENT * (n + m) // (100 + PERCENT))
-            if len(np.intersect1d(sets.values(a, n), sets.values(b, m), assume_unique=True)) >= need:
-                return True
-            if len(unlike) >= 200_000:  # only spares work
-                unlike.clear()
-            unlike.add(pair)
-            return False
-
-        def compare(places: np.ndarray, sizes: np.ndarray) -> None:
-            """All sets that share a shingle, sorted by size."""
-            listed = places.tolist()
-            if len({groups.root(p) for p in listed}) == 1:
-                return
-            most = np.searchsorted(sizes, 100 * sizes // PERCENT, "right")
-            for start in range(0, len(places), TILE):
-                stop = min(start + TILE, len(places))
-                rows = np.stack([sets.bits(p) for p in listed[start:stop]])
-                for left in range(start + 1, int(most[stop - 1]), COLUMNS):
-                    right = min(left + COLUMNS, int(most[stop - 1]))
-                    if len({groups.root(p) for p in (*listed[start:stop], *listed[left:right])}) == 1:
-                        continue
-                    columns = np.stack([sets.bits(p) for p in listed[left:right]])
-                    differ = np.zeros((stop - start, right - left), np.int32)
-                    for k in range(BITS // 64):
-                        differ += np.bitwise_count(rows[:, k, None] ^ columns[None, :, k])
-                    both = sizes[start:stop, None] + sizes[None, left:right]
-                    at, to = np.arange(start, stop)[:, None], np.arange(left, right)[None, :]
-                    possible = (both - differ) // 2 >= -(-PERCENT * both // (100 + PERCENT))
-                    possible &= (to > at) & (to < most[start:stop, None])
-                    found.extend(groups.link(
-                        listed[start:stop], listed[left:right], possible,
-                        lambda i, j, a=start, b=left: alike(listed[a + i], int(sizes[a + i]), listed[b + j], int(sizes[b + j])),
-                    ))
-
-        for batch in runs(batches, "shingle"):
-            keys, places, sizes = batch.column("shingle").to_numpy(), batch.column("place").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            length = np.diff(edge)
-            for start, size in zip(edge[:-1][length > 1].tolist(), length[length > 1].tolist(), strict=True):
-                if size == 2:
-                    (a, b), (m, n) = places[start : start + 2].tolist(), sizes[start : start + 2].tolist()
-                    if _least(n) <= m and groups.root(a) != groups.root(b) and alike(a, m, b, n):
-                        groups.join(a, b)
-                        found.append((a, b))
-                else:
-                    compare(places[start : start + size], sizes[start : start + size])
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-                found.clear()
+        yield from Meeting(Comparison(folder), tile, columns).links(batches, "shingle")
 
     return task(run)
 
@@ -250,21 +198,17 @@ def groups(docs: DataFrame, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     folder = mounted(folder or new_folder(spark, "sets"))
-    kinds = "doc_id long, content long, n long, d1 long, d2 long, file string, at long"
+    kinds = "doc_id long, content long, n long, d1 long, d2 long, place long"
     content = F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("content")
     rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), content, "text").mapInArrow(_write_sets(folder), kinds), "sets")
-    # As many names as the pass had tasks.
-    names = sorted(os.listdir(folder)) if os.path.isdir(folder) else []
-    place = F.shiftleft(F.array_position(F.lit(names or [""]), F.col("file")) - 1, 40) + F.col("at")
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.min(place).alias("place"))
+    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.min("place").alias("place"))
     classes = stored(classes, "classes")
-    sample = classes.orderBy("d1", "d2").limit(SAMPLE).select("place", "n")
-    frequent = sample.mapInArrow(_frequent(folder, names), "shingle long").collect()  # at most the sample's shingles / FREQUENT
-    frequent = np.sort(np.array([x[0] for x in frequent], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(frequent)
-    meet = classes.select("place", "n").mapInArrow(lambda x: _prefixes(folder, names, shared.value)(x), "shingle long, place long, n int")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    rank = frequency.ranks(classes.select("place", "n"), _shingles(folder), frequency.counters(total))
+    shared = spark.sparkContext.broadcast(rank)
+    meet = classes.select("place", "n").mapInArrow(lambda x: _prefixes(folder, shared.value)(x), "shingle long, place long, n int, after int")
     meet = meet.repartition("shingle").sortWithinPartitions("shingle", "n", "place")
-    linked = components(meet.mapInArrow(_links(folder, names), "a long, b long"))
+    linked = components(meet.mapInArrow(_links(folder, TILE, COLUMNS), "a long, b long"))
     of = classes.join(linked, classes["place"] == linked["id"], "left").select("d1", "d2", "class_id", F.coalesce("root", "place").alias("root"))
     least = of.groupBy("root").agg(F.min("class_id").alias("component_id"))
     of = of.join(least, "root").select("d1", "d2", "class_id", "component_id", "root")

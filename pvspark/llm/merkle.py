@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.llm import sha
-from pvspark.llm.jaccard import runs
+from pvspark.llm.meeting import runs
 from pvspark.llm.shared import ship, stored
 from pvspark.llm.words import task
 

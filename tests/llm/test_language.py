@@ -131,4 +131,5 @@ def test_language_and_source_of_a_document_are_no_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
     model = language.learn(docs)
     first = predicted(language.predict(docs, model))
-    assert predicted(language.predict(docs.withColumn("lang", docs["source"]).withColumn("source", docs["lang"]), model)) == first
+    swapped = docs.selectExpr("doc_id", "text", "source AS lang", "lang AS source", "n_chars")
+    assert predicted(language.predict(swapped, model)) == first
