@@ -1,16 +1,13 @@
-"""Fuzzy duplicates of lines: SimHash finds them, an edit distance confirms them, one occurrence of each group stays.
+"""Fuzzy duplicates of lines: an edit distance confirms them, one occurrence of each group stays.
 
-A line is normalised to its words: runs of letters and numbers, A-Z in lower case. Equal lines are one line from the start. Of each different
-line a 64-bit SimHash of its words is cut into five blocks. Hashes that differ in at most three bits agree in at least two blocks, so lines
-are joined on each of the ten pairs of blocks. Pairs within three bits are compared word by word, in the first
-table where they meet: they are linked when the edit distance is at most a fifth of the longer line. Lines that a task has linked already,
-directly or not, are not compared again. The words themselves
-lie in mapped files, written once.
-
-Three bits miss most lines with a changed word. With `every`, no pair within the edit distance is missed: d edits leave all but 2 d of
-the n - 1 pairs of neighbouring words, so lines are joined on the first pairs of each, in one order for all lines (pairs that are frequent in a
-sample come last, which changes no result), as many as one of them must be shared by. Lines that meet are linked by the same edit distance, unless the parities
-of their words differ in too many bits for it.
+A line is normalised to its words: runs of letters and numbers, A-Z in lower case. Equal lines are one line from the start. Two lines are linked
+when at most a fifth of the longer one's words must be changed, added or removed. The blocks in which linked lines must agree are pairs of
+neighbouring words: d edits leave all but 2 d of the n - 1 pairs, so by the pigeonhole principle linked lines share one of the first pairs
+of each, in one order for all lines, as many as one of them must be shared by. Pairs that are frequent over all lines (counted in a fixed
+number of counters) come last in it, which changes no result. Lines that meet at a pair are compared if what follows it is long
+enough in both, which it is at the first pair that linked lines share. Lines whose 64-bit SimHashes differ in at most NEAR bits go to the edit distance straight
+away; the others only if the parities of their words allow so few edits, which loses no link. Lines that a task has linked already,
+directly or not, are not compared again. The words themselves lie in mapped files, written once.
 
 Of a group of linked lines the first occurrence, by doc_id (null last), text hash and line number, stays. Lines without a word are left alone. Null and
 empty texts have one empty line. Rows with equal doc_id and text count as one and are treated alike.
@@ -18,35 +15,30 @@ empty texts have one empty line. Rows with equal doc_id and text count as one an
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvspark.llm.graph import Groups, components
-from pvspark.llm.jaccard import runs
+from pvspark.llm import frequency
+from pvspark.llm.graph import components
 from pvspark.llm.mapped import Reader, Writer
+from pvspark.llm.meeting import Meeting
 from pvspark.llm.shared import mounted, new_folder, ship, stored
 from pvspark.llm.words import MARKS, hashes, mix, parts, task
 
-#: Where the blocks of a SimHash begin, and how many bits they have.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-PAIRS = list(combinations(range(len(BLOCKS)), 2))
-#: Hashes are candidates up to so many different bits: all but two blocks may have one.
-BITS = len(BLOCKS) - 2
 #: Lines are linked when at least this share of the longer one stays as it is, in hundredths.
 PERCENT = 80
-TILE = 256
-#: Parities of a line's words, in numbers of 64 bits, and the 32-bit numbers before its words in its file: these, and how many words there are.
-MARK = 8
-HEAD = 2 * MARK + 1
-#: About so many lines tell which pairs of words are frequent. Of a pair's hash 44 bits count; equal ones only cost comparisons.
-SAMPLE = 20_000
+#: SimHashes with at most so many different bits are near.
+NEAR = 12
+TILE = 64
+#: Parities of a line's words and its SimHash, in numbers of 64 bits; in 32-bit numbers, they come before its words in its file.
+MARK = 4
+HEAD = 2 * (MARK + 1)
+#: Of the hash of a pair of words 44 bits count; equal ones only cost comparisons.
 _HASH = np.uint64(44)
 _LINES = 1 << 14
 
@@ -100,31 +92,34 @@ def _few(begins: np.ndarray, end: int) -> Iterator[tuple[int, int, np.ndarray]]:
         yield int(some[0]) if len(some) else 0, int(begins[k + 1024]) if k + 1024 < len(begins) else end, some
 
 
-def prefixes(words: np.ndarray, size: np.ndarray, late: tuple[np.ndarray, np.ndarray], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Lines and keys; any two lines within the edit distance share a key. At most _LINES lines; `late` has hashes, sorted, and ranks below 64.
+def pairs_of(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of all pairs of neighbouring words."""
+    of = np.repeat(np.arange(len(size)), size)
+    inside = np.flatnonzero(of[:-1] == of[1:])
+    value = mix(words[inside].astype(np.uint64) << np.uint64(32) | words[inside + 1].astype(np.uint64)) >> (np.uint64(64) - _HASH)
+    return of[inside], value
+
+
+def prefixes(words: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, keys, and how many pairs of the line come after each; any two lines within the edit distance share a key. At most _LINES lines.
 
     A pair of words that a line holds again is another one there. A line of n words shares at least least(n) pairs with a line that is
     linked to it, so it takes all but least(n) - 1 of them. Lines under four words have no near ones.
     """
-    at = np.repeat(np.arange(len(size)), size)[:-1]
-    inside = np.flatnonzero(at == np.repeat(np.arange(len(size)), size)[1:])
-    line = at[inside]
-    value = mix(words[inside].astype(np.uint64) << np.uint64(32) | words[inside + 1].astype(np.uint64)) >> (np.uint64(64) - _HASH)
-    rank = np.zeros(len(value), np.uint64)
-    if len(late[0]):
-        found = np.minimum(np.searchsorted(late[0], value), len(late[0]) - 1)
-        rank = np.where(late[0][found] == value, late[1][found], 0).astype(np.uint64)
-    value = np.sort(line.astype(np.uint64) << np.uint64(50) | rank << _HASH | value)
+    line, value = pairs_of(words, size)
+    # Line, rank and pair in one integer of 14, 6 and 44 bits.
+    late = rank[value % np.uint64(len(rank))].astype(np.uint64) >> np.uint64(2)
+    value = np.sort(line.astype(np.uint64) << np.uint64(50) | late << _HASH | value)
     line = (value >> np.uint64(50)).astype(np.int64)
     place = np.arange(len(value))
     value &= (np.uint64(1) << _HASH) - np.uint64(1)
     new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (line[1:] != line[:-1])][: len(value)])
     again = place - np.repeat(new, np.diff(np.r_[new, len(value)]))
-    if not whole:
-        count = np.maximum(size - 1, 0)
-        early = place - np.repeat(np.cumsum(count) - count, count) < np.repeat(np.where(size < 4, 0, size - least(size)), count)
-        line, value, again = line[early], value[early], again[early]
-    return line, (mix(value + (again.astype(np.uint64) << _HASH)) >> np.uint64(1)).astype(np.int64) if not whole else value.astype(np.int64)
+    count = np.maximum(size - 1, 0)
+    pos = place - np.repeat(np.cumsum(count) - count, count)
+    early = pos < np.repeat(np.where(size < 4, 0, size - least(size)), count)
+    line, value, again, pos = line[early], value[early], again[early], pos[early]
+    return line, (mix(value + (again.astype(np.uint64) << _HASH)) >> np.uint64(1)).astype(np.int64), count[line] - pos - 1
 
 
 def least(n):
@@ -172,11 +167,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return distance
 
 
-def _read(folder: str, every: bool):
+def _read(folder: str):
     """A row per line with words, and one per document (line_no -1, n lines); words of lines that are new to the task go to its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, known = Writer(folder), {}
+        writer, known = Writer(folder, numbered=True), {}
         for batch in batches:
             for part in parts(batch, "text"):
                 lists = pc.split_pattern(pc.fill_null(part.column("text"), "").cast(pa.large_string()), "\n")
@@ -185,15 +180,13 @@ def _read(folder: str, every: bool):
                 some = np.flatnonzero(np.diff(offsets))
                 begins, size = offsets[some], np.diff(offsets)[some]
                 line = line_hashes(words, begins).view(np.int64)
-                simhash = np.zeros(len(line), np.int64) if every else simhashes(words, begins).view(np.int64)
-                head = np.zeros((len(line), 0), np.uint32)
-                if every:
-                    head = np.c_[np.concatenate([parities(words[a:b], c - a) for a, b, c in _few(begins, len(words))]), size.astype(np.uint32)]
+                marks = [np.c_[parities(words[a:b], c - a), simhashes(words[a:b], c - a).view(np.uint32).reshape(-1, 2)] for a, b, c in _few(begins, len(words))]
+                head = np.concatenate(marks).astype(np.uint32)
                 short = (words >> np.uint64(32)).astype(np.uint32)
                 at = []
                 for k, (h, a, n) in enumerate(zip(line.tolist(), begins.tolist(), size.tolist(), strict=True)):
                     if h not in known:
-                        known[h] = writer.add(np.concatenate([head[k], short[a : a + n]]))
+                        known[h] = writer.place(np.concatenate([head[k], short[a : a + n]]))
                     at.append(known[h])
                 writer.flush()
                 text = np.repeat(np.arange(len(in_text)), in_text)[some]
@@ -204,8 +197,7 @@ def _read(folder: str, every: bool):
                     "doc_id": part.column("doc_id").take(take), "content": part.column("content").take(take),
                     "line_no": pa.array(np.r_[some - first[text], np.full(len(in_text), -1)]),
                     "n": pa.array(np.r_[size, in_text].astype(np.int64)),
-                    **{k: pa.concat_arrays([pa.array(v, pa.int64()), null]) for k, v in (("line", line), ("simhash", simhash), ("at", at))},
-                    "file": pa.array([writer.name] * len(take)),
+                    **{k: pa.concat_arrays([pa.array(v, pa.int64()), null]) for k, v in (("line", line), ("place", at))},
                 })
         writer.close()
 
@@ -213,37 +205,33 @@ def _read(folder: str, every: bool):
 
 
 class Lines:
-    """Reads what `_read` has written. A place is a file's number and where a line begins, with its head if it has one."""
+    """Lines by their SimHashes and parities, then by the edit distance; read from what `_read` has written."""
 
-    def __init__(self, folder: str, names: list[str], head: int = HEAD) -> None:
-        self.names, self.files, self.skip, self.unlike = names, Reader(folder, np.uint32), head, set()
+    percent = PERCENT
+
+    def __init__(self, folder: str) -> None:
+        self.files = Reader(folder, np.uint32)
+
+    def need(self, n, m):
+        """Pairs of words that the longer line, of m words, keeps of the other one."""
+        return m - 1 - 2 * (m * (100 - PERCENT) // 100)
 
     def heads(self, places: np.ndarray) -> np.ndarray:
-        out, file = np.empty((len(places), HEAD), np.uint32), places >> 40
-        order = np.argsort(file, kind="stable")
-        edge = np.flatnonzero(np.diff(file[order], prepend=-1, append=-1))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            at = order[a:b]
-            out[at] = self.files.file(self.names[int(file[at[0]])])[(places[at] & ((1 << 40) - 1))[:, None] + np.arange(HEAD)]
-        return out
+        return self.files.gather(places, HEAD).view(np.uint64)
+
+    def possible(self, differ: np.ndarray, n, m) -> np.ndarray:
+        # An edit turns over two parities at most.
+        return (differ[..., MARK] <= NEAR) | (differ[..., :MARK].sum(axis=-1, dtype=np.int64) <= 2 * (m * (100 - PERCENT) // 100))
 
     def words(self, place: int, n: int) -> np.ndarray:
-        return self.files.get(self.names[place >> 40], (place & ((1 << 40) - 1)) + self.skip, n)
+        return self.files.at(place, HEAD, n)
 
     def alike(self, a: int, n: int, b: int, m: int) -> bool:
-        pair = (a, b) if a < b else (b, a)
-        if pair in self.unlike:
-            return False
         most = max(n, m) * (100 - PERCENT) // 100
         one, other = self.words(a, n), self.words(b, m)
         if n == m and np.count_nonzero(one != other) <= most:
             return True
-        if (max(n, m) < 200 or _shared(one, other) >= max(n, m) - most) and edit_distance(one, other, most) <= most:
-            return True
-        if len(self.unlike) >= 200_000:  # only spares work
-            self.unlike.clear()
-        self.unlike.add(pair)
-        return False
+        return (max(n, m) < 200 or _shared(one, other) >= max(n, m) - most) and edit_distance(one, other, most) <= most
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -253,180 +241,69 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(m[i], n[j]).sum())
 
 
-def _prefixes(folder: str, names: list[str], late: tuple[np.ndarray, np.ndarray], whole: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Lines(folder, names)
-        for batch in batches:
-            places, size = batch.column("place").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-            total, start = np.cumsum(size), 0
-            while start < len(places):
-                stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 18), "right")))
-                stop = min(stop, start + _LINES)
-                words = [lines.words(p, n) for p, n in zip(places[start:stop].tolist(), size[start:stop].tolist(), strict=True)]
-                line, key = prefixes(np.concatenate(words), size[start:stop], late, whole)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "place": pa.array(places[start:stop][line], pa.int64())})
-                start = stop
+def _some(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, sizes and words of some lines at a time."""
+    lines = Lines(folder)
+    for batch in batches:
+        places, size = batch.column("place").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+        total, start = np.cumsum(size), 0
+        while start < len(places):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 18), "right")))
+            stop = min(stop, start + _LINES)
+            words = [lines.words(p, n) for p, n in zip(places[start:stop].tolist(), size[start:stop].tolist(), strict=True)]
+            yield places[start:stop], size[start:stop], np.concatenate(words)
+            start = stop
 
-    return task(run)
 
+def _counted(folder: str):
+    """The pairs of words of a task's lines, for counting."""
 
-def _linked(folder: str, names: list[str]):
-    """Links among lines that share a key."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, size, words in _some(folder, batches):
+            yield pairs_of(words, size)[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, groups = Lines(folder, names), Groups()
-        found: list[tuple[int, int]] = []
-
-        def compare(places: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> None:
-            """All lines that share a key, sorted by size."""
-            listed = places.tolist()
-            reach = np.searchsorted(sizes, 100 * sizes // PERCENT, "right")
-            for start in range(0, len(listed), TILE):
-                stop = min(start + TILE, len(listed))
-                for left in range(start + 1, int(reach[stop - 1]), 8 * TILE):
-                    right = min(left + 8 * TILE, int(reach[stop - 1]))
-                    differ = sum(np.bitwise_count(marks[start:stop, None, k] ^ marks[None, left:right, k]).astype(np.int16) for k in range(MARK))
-                    at, to = np.arange(start, stop)[:, None], np.arange(left, right)[None, :]
-                    near = (differ <= 2 * (sizes[left:right] * (100 - PERCENT) // 100)[None, :]) & (to > at) & (to < reach[start:stop, None])
-                    if near.any():
-                        found.extend(groups.link(
-                            listed[start:stop], listed[left:right], near,
-                            lambda i, j, a=start, b=left: lines.alike(listed[a + i], int(sizes[a + i]), listed[b + j], int(sizes[b + j])),
-                        ))
-
-        def pairs(key: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, int]]:
-            """Pairs that can be near, of rows that are sorted by key and size."""
-            at = np.arange(len(key) - 1)
-            for off in range(1, len(key)):
-                at = at[: np.searchsorted(at, len(key) - off)]
-                at = at[(key[at] == key[at + off]) & (PERCENT * sizes[at + off] <= 100 * sizes[at])]  # the others are out of reach from here on
-                if not len(at):
-                    break
-                most = sizes[at + off] * (100 - PERCENT) // 100
-                near = at[np.bitwise_count(marks[at] ^ marks[at + off]).sum(axis=1, dtype=np.int64) <= 2 * most]
-                yield from zip(near.tolist(), (near + off).tolist(), strict=True)
-
-        for batch in runs(batches, "key"):
-            keys, places = batch.column("key").to_numpy(), batch.column("place").to_numpy()
-            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            length = np.diff(edge)
-            some = np.flatnonzero(np.repeat(length > 1, length))
-            keys, places, heads = keys[some], places[some], lines.heads(places[some])
-            order = np.lexsort((heads[:, -1], keys))
-            keys, places, sizes, marks = keys[order], places[order], heads[order, -1].astype(np.int64), np.ascontiguousarray(heads[order, :-1]).view(np.uint64)
-            length = length[length > 1]
-            edge = np.cumsum(length) - length
-            few = np.repeat(length <= TILE, length)
-            listed, n = places[few].tolist(), sizes[few].tolist()
-            for i, j in pairs(keys[few], sizes[few], marks[few]):
-                if groups.root(listed[i]) != groups.root(listed[j]) and lines.alike(listed[i], n[i], listed[j], n[j]):
-                    groups.join(listed[i], listed[j])
-                    found.append((listed[i], listed[j]))
-            for start, n in zip(edge[length > TILE].tolist(), length[length > TILE].tolist(), strict=True):
-                compare(places[start : start + n], sizes[start : start + n], marks[start : start + n])
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-                found.clear()
+    return read
 
-    return task(run)
 
-
-def _near(folder: str, names: list[str]):
+def _prefixes(folder: str, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, groups = Lines(folder, names, 0), Groups()
-        alike, found = lines.alike, []
-
-        def own(differ: np.ndarray, table: int) -> np.ndarray:
-            """Pairs with few different bits which meet in this table first, so that no pair is compared in two."""
-            i, j = PAIRS[table]
-            out = np.bitwise_count(differ) <= BITS
-            for k in range(j):
-                if k != i:
-                    at, n = BLOCKS[k]
-                    out &= (differ >> np.uint64(at)) & np.uint64((1 << n) - 1) != 0
-            return out
-
-        def compare(places: np.ndarray, sizes: np.ndarray, simhash: np.ndarray, table: int) -> None:
-            """All lines that agree in two blocks, sorted by size."""
-            listed = places.tolist()
-            reach = np.searchsorted(sizes, 100 * sizes // PERCENT, "right")
-            for start in range(0, len(places), TILE):
-                stop = min(start + TILE, len(places))
-                for left in range(start + 1, int(reach[stop - 1]), 8 * TILE):
-                    right = min(left + 8 * TILE, int(reach[stop - 1]))
-                    near = own(simhash[start:stop, None] ^ simhash[None, left:right], table)
-                    at, to = np.arange(start, stop)[:, None], np.arange(left, right)[None, :]
-                    near &= (to > at) & (to < reach[start:stop, None])
-                    if near.any():
-                        found.extend(groups.link(
-                            listed[start:stop], listed[left:right], near,
-                            lambda i, j, a=start, b=left: alike(listed[a + i], int(sizes[a + i]), listed[b + j], int(sizes[b + j])),
-                        ))
-
-        for batch in runs(batches, "key"):
-            keys, places, sizes = batch.column("key").to_numpy(), batch.column("place").to_numpy(), batch.column("n").to_numpy()
-            simhash = batch.column("simhash").to_numpy().view(np.uint64)
-            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            length = np.diff(edge)
-            two = edge[:-1][length == 2]
-            near = 100 * sizes[two] >= PERCENT * sizes[two + 1]
-            for table in np.unique(keys[two] >> 32).tolist():
-                here = keys[two] >> 32 == table
-                near[here] &= own(simhash[two[here]] ^ simhash[two[here] + 1], table)
-            for k in two[near].tolist():
-                (a, b), (m, n) = places[k : k + 2].tolist(), sizes[k : k + 2].tolist()
-                if groups.root(a) != groups.root(b) and alike(a, m, b, n):
-                    groups.join(a, b)
-                    found.append((a, b))
-            for start, n in zip(edge[:-1][length > 2].tolist(), length[length > 2].tolist(), strict=True):
-                compare(places[start : start + n], sizes[start : start + n], simhash[start : start + n], int(keys[start]) >> 32)
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-                found.clear()
+        for places, size, words in _some(folder, batches):
+            line, key, after = prefixes(words, size, rank)
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(key), "place": pa.array(places[line], pa.int64()), "n": pa.array(size[line].astype(np.int32)), "after": pa.array(after.astype(np.int32)),
+            })
 
     return task(run)
 
 
-def _keys(simhash: Column) -> Column:
-    """The number and the bits of each pair of blocks."""
-    block = [F.shiftrightunsigned(simhash, at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
-    return F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for k, (i, j) in enumerate(PAIRS)])
-
+def _links(folder: str, tile: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from Meeting(Lines(folder), tile, 16 * tile).links(batches, "key")
 
-def _meet(different: DataFrame, folder: str, names: list[str]) -> DataFrame:
-    """key, place: lines that are within the edit distance share a key."""
-    spark = different.sparkSession
-    some = different.filter(F.pmod("line", F.lit(max(1, different.count() // SAMPLE))) == 0).select("place", "n")
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held = some.mapInArrow(_prefixes(folder, names, none, True), "key long, place long").groupBy("key").agg(F.count("*").alias("times"))
-    late = sorted(map(tuple, held.filter("times > 1").collect()))  # at most half the sample's pairs
-    ranks = np.minimum(np.sqrt([n for _, n in late]), 63).astype(np.int64)
-    shared = spark.sparkContext.broadcast((np.array([k for k, _ in late], np.uint64), ranks))
-    return different.filter("n > 3").select("place", "n").mapInArrow(lambda x: _prefixes(folder, names, shared.value, False)(x), "key long, place long")
+    return task(run)
 
 
-def duplicate_lines(docs: DataFrame, folder: str | None = None, every: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, content (hash of the text), n_lines, removed (numbers of the lines to remove, from 0): one row per doc_id and text.
 
-    `every` compares all lines that can be within the edit distance, not only those with near SimHashes. `folder` is for the mapped files; every machine must have it mounted.
+    `folder` is for the mapped files; every machine must have it mounted.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = mounted(folder or new_folder(spark, "lines"))
     content = F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("content")
-    kinds = "doc_id long, content long, line_no long, n long, line long, simhash long, at long, file string"
-    rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), content, "text").mapInArrow(_read(folder, every), kinds), "lines")
-    names = sorted(os.listdir(folder)) if os.path.isdir(folder) else []  # one per task
-    place = (F.shiftleft(F.array_position(F.lit(names or [""]), F.col("file")) - 1, 40) + F.col("at")).alias("place")
-    lines = rows.filter("line_no >= 0").select("doc_id", "content", "line_no", "line", "simhash", "n", place)
-    different = lines.groupBy("line").agg(F.min("place").alias("place"), F.min("simhash").alias("simhash"), F.min("n").cast("int").alias("n"), F.count("*").alias("times"))
+    kinds = "doc_id long, content long, line_no long, n long, line long, place long"
+    rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), content, "text").mapInArrow(_read(folder), kinds), "lines")
+    lines = rows.filter("line_no >= 0").select("doc_id", "content", "line_no", "line", "n", "place")
+    different = lines.groupBy("line").agg(F.min("place").alias("place"), F.min("n").cast("int").alias("n"), F.count("*").alias("times"))
     different = stored(different, "different")
-    if every:
-        meet = _meet(different, folder, names).repartition("key").sortWithinPartitions("key", "place")
-    else:
-        meet = different.select(F.explode(_keys(F.col("simhash"))).alias("key"), "place", "n", "simhash")
-        meet = meet.repartition("key").sortWithinPartitions("key", "n", "place")
-    groups = components(meet.mapInArrow((_linked if every else _near)(folder, names), "a long, b long"))
+    long = different.filter("n > 3").select("place", "n")
+    total = long.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    rank = frequency.ranks(long, _counted(folder), frequency.counters(total))
+    shared = spark.sparkContext.broadcast(rank)
+    meet = long.mapInArrow(lambda x: _prefixes(folder, shared.value)(x), "key long, place long, n int, after int")
+    meet = meet.repartition("key").sortWithinPartitions("key", "n", "place")
+    groups = components(meet.mapInArrow(_links(folder, TILE), "a long, b long"))
     # Only lines that occur again or are linked can have anything to remove.
     of = different.join(groups, different["place"] == groups["id"], "left").filter("times > 1 OR root IS NOT NULL").select("line", F.coalesce("root", "place").alias("group"))
     where = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "line_no").alias("where")
@@ -441,9 +318,9 @@ def duplicate_lines(docs: DataFrame, folder: str | None = None, every: bool = Fa
     return out.select(F.col("id").alias("doc_id"), F.col("c").alias("content"), "n_lines", F.coalesce("removed", none).alias("removed"))
 
 
-def deduplicate_lines(docs: DataFrame, folder: str | None = None, every: bool = False) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """The documents without removed lines, and without those of which no word is left that had one; all columns of the input."""
-    gone = duplicate_lines(docs, folder, every).filter(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("content").alias("__content"), F.col("removed").alias("__removed"))
+    gone = duplicate_lines(docs, folder).filter(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("content").alias("__content"), F.col("removed").alias("__removed"))
     same = docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__content"))
     rows = docs.join(gone, same, "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__removed"), i.cast("long")))

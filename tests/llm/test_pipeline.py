@@ -106,5 +106,5 @@ def test_all_queries_are_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert np.all([n in names for n in __spark_entry__.oracle_sql()])
