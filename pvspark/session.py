@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,18 +47,35 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "
     return configure(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df`, so that a lost executor never replays the plan behind it.
+_own: str | None = None
+
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session without that
-    setting gets a temporary folder of its own.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session without that setting gets a temporary folder, which goes with the process.
     """
+    global _own
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="pvspark-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return _own
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own, made by whoever writes into it first."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint `df`, so that a lost executor never replays the plan behind it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="pvspark-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
