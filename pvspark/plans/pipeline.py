@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pvspark.functions import physics
 from pvspark.functions.timeparse import require_times
-from pvspark.operators import features, fill, learn, metrics, profile, sequences, split
+from pvspark.operators import features, fill, learn, metrics, profile, search, sequences, split
 from pvspark.operators.clean import PLANT, TIME, available, clean
 from pvspark.operators.small import checked_small
 from pvspark.session import configure
@@ -111,15 +111,18 @@ def day_ahead_step(spark: SparkSession, folder: str, **overrides) -> DataFrame:
     return files.read_stage(spark, folder, "day_ahead_scores")
 
 
-def tuned(spark: SparkSession, folder: str, key: str, settings: list[dict], folds: int, name: str) -> list[learn.Fitted]:
-    """Cross-validate settings of a registry model on each plant's training rows; the best ones, fitted, for `model_step(extra=...)`."""
-    prepared, features = learn.prepare(files.read_stage(spark, folder, "split"))
-
-    def one(plant, rows):
-        found = learn.search(rows, learn.MODELS[key][1](), settings, folds)
-        return learn.Fitted(plant, key, name, found.bestModel, features)
+def tuned(
+    spark: SparkSession, folder: str, key: str, settings: list[dict], folds: int, name: str, most: int | None = None, seconds: float | None = None
+) -> list[learn.Fitted]:
+    """Cross-validate settings of a registry model on each plant's training rows; the best ones, fitted, for `model_step(extra=...)`.
 
-    return learn.for_each_plant(prepared.filter("split = 'train'"), one)
+    Results are kept in the folder `search`, so a call after a stop goes on where the last one ended. With `most` or `seconds` a call does that many
+    fits, or begins none after that time, and raises `search.Unfinished` while some are missing.
+    """
+    prepared, features = learn.prepare(files.read_stage(spark, folder, "split"))
+    found = search.Search(prepared, features, learn.MODELS[key][1](), settings, folds, f"{folder}/search")
+    found.fill(most, seconds)
+    return found.best(name, key)
 
 
 def model_step(

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvspark.functions import physics, text, timeparse
-from pvspark.operators import features, fill, learn, metrics, profile, scale, sequences, split
+from pvspark.operators import features, fill, learn, metrics, profile, scale, search, sequences, split
 from pvspark.operators import series as S
 from pvspark.operators.clean import PLANT, SENSOR_COLS, SOURCE, TIME, drop_bad_times
 from pvspark.operators.small import checked_small
 from pvspark.plans import fixtures as fx
-from pvspark.session import configure, cut
+from pvspark.session import configure, cut, scratch
 from pvspark.sources import files
 from pvspark.sources import weather as payloads
 
@@ -631,6 +631,21 @@ def search_grid(spark, sf):
     return _search(spark, sf, learn.MODELS["decision_tree"][1](), settings, learn.GRID_FOLDS)
 
 
+#: The space of the full search, with forests that can be grown beside all other queries.
+SMALL_SPACE = {**learn.FOREST_SPACE, "numTrees": [3, 5], "maxDepth": [4, 6]}
+
+
+@query
+def search_random(spark, sf):
+    """Randomized search, stopped half way and continued."""
+    prepared, names = _prepared(spark, sf)
+    settings = learn.draw_settings(SMALL_SPACE, draws=2)
+    found = search.Search(prepared, names, learn.MODELS["random_forest"][1](), settings, 2, scratch(spark, "search"))
+    found.fill(most=4)
+    found.fill()
+    return found.summary().drop("seconds_per_fit")
+
+
 @query
 def forecast_day_ahead(spark, sf):
     rows = cut(learn.spread(_day_ahead(spark, sf)))

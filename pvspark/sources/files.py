@@ -27,6 +27,17 @@ class MissingStage(FileNotFoundError):
     """An earlier stage has not written its output yet."""
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder. Failures of the storage are raised."""
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
 def number(col: str) -> Column:
     """Text to double; blanks, NaN and anything unreadable become null."""
     v = F.col(col).try_cast("double")
@@ -114,8 +125,7 @@ BOARD_SCHEMA = T.StructType(
 
 def _board_versions(spark: SparkSession, path: str) -> list[str]:
     """Folders of the board's versions, newest first; none if there is no board. Failures of the storage are raised."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, place = _file_system(spark, path)
     if not fs.exists(place):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(place) if s.getPath().getName().startswith("version=")]
