@@ -1,7 +1,7 @@
 """How frequent hashed values are over a whole table, in a fixed number of counters.
 
-Values that share a counter look as frequent as both together, which is enough to put frequent values last in an order. The number of
-counters follows the number of values between LEAST and MOST, so what is broadcast (one byte a counter) is bounded.
+Values that share a counter look as frequent as both together, which is enough to put frequent values last in an order. A task hands on two
+bytes a counter, whatever it has counted; what is broadcast has one byte a counter.
 """
 
 from __future__ import annotations
@@ -14,21 +14,18 @@ from pyspark.sql import DataFrame
 
 from pvspark.llm.words import task
 
-LEAST, MOST, PER_COUNTER = 1 << 16, 1 << 25, 16
+COUNTERS = 1 << 22
 _BLOCK = 1 << 14
 _HELD = 1 << 21
+_MOST = (1 << 16) - 1
 
 
-def counters(values: int) -> int:
-    """A power of two that gives about PER_COUNTER values a counter."""
-    size = LEAST
-    while size < MOST and size * PER_COUNTER < values:
-        size *= 2
-    return size
+def ranks(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], values: int, size: int = COUNTERS) -> np.ndarray:
+    """One byte per counter, growing with the logarithm of its count; 128 is the mean of about `values` values.
 
-
-def ranks(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int) -> np.ndarray:
-    """One byte per counter, growing with the logarithm of its count. `read` makes unsigned, well mixed values from the batches of a task."""
+    `read` makes unsigned, well mixed values from the batches of a task. A task counts up to 65,535 of one kind.
+    """
+    mean = values / size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, some = np.zeros(size, np.int32), 0, []
@@ -40,6 +37,7 @@ def ranks(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[n
                 held, some = 0, []
         if some:
             total += np.bincount((np.concatenate(some) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.int32)
+        total = np.minimum(total, _MOST).astype(np.uint16)
         for k in range(0, size, _BLOCK):
             if total[k : k + _BLOCK].any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k // _BLOCK]), "counts": pa.array([total[k : k + _BLOCK].tobytes()], pa.binary())})
@@ -48,10 +46,10 @@ def ranks(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[n
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                mine = np.frombuffer(counts, np.int32).astype(np.int64)
+                mine = np.frombuffer(counts, np.uint16).astype(np.int64)
                 sums[k] = sums[k] + mine if k in sums else mine
         for k, total in sums.items():
-            rank = np.minimum(12 * np.log2(total + 1.0), 255).astype(np.uint8)
+            rank = np.clip(128 + 16 * np.log2((total + 0.5) / (mean + 0.5)), 0, 255).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"block": pa.array([k]), "counts": pa.array([rank.tobytes()], pa.binary())})
 
     kind = "block long, counts binary"

@@ -204,7 +204,7 @@ def groups(docs: DataFrame, folder: str | None = None) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.min("place").alias("place"))
     classes = stored(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    rank = frequency.ranks(classes.select("place", "n"), _shingles(folder), frequency.counters(total))
+    rank = frequency.ranks(classes.select("place", "n"), _shingles(folder), total)
     shared = spark.sparkContext.broadcast(rank)
     meet = classes.select("place", "n").mapInArrow(lambda x: _prefixes(folder, shared.value)(x), "shingle long, place long, n int, after int")
     meet = meet.repartition("shingle").sortWithinPartitions("shingle", "n", "place")

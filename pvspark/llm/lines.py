@@ -299,7 +299,7 @@ def duplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
     different = stored(different, "different")
     long = different.filter("n > 3").select("place", "n")
     total = long.agg(F.sum(F.col("n") - 1)).first()[0] or 0
-    rank = frequency.ranks(long, _counted(folder), frequency.counters(total))
+    rank = frequency.ranks(long, _counted(folder), total)
     shared = spark.sparkContext.broadcast(rank)
     meet = long.mapInArrow(lambda x: _prefixes(folder, shared.value)(x), "key long, place long, n int, after int")
     meet = meet.repartition("key").sortWithinPartitions("key", "n", "place")
