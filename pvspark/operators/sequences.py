@@ -13,38 +13,58 @@ LOOKBACK, HORIZON = 2 * STEPS_PER_DAY, STEPS_PER_DAY
 SEQUENCE_FEATURES = ["ac_power", "irradiation", "module_temperature", "temp_diff"]
 
 
-def _starts(
-    df: DataFrame, keys: list[str], time: str, length: int, max_rows: int, longest: int | None = None
-) -> S.Series:
+def _starts(df: DataFrame, keys: list[str], time: str, length: int, max_rows: int) -> S.Series:
     """Series with a `_full` flag on rows which have `length` rows from themselves on."""
-    cut = S.segments(df, keys, [time], after=length - 1, max_rows=max_rows, longest=longest)
+    cut = S.segments(df, keys, [time], after=length - 1, max_rows=max_rows)
     return cut.with_columns({"_full": f"count(1) {cut.over(f'ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING')} = {length}"})
 
 
+#: Rows of a series in one block; more if a window is longer.
+BLOCK_ROWS = 4096
+
+
+def series_blocks(
+    df: DataFrame, keys: list[str], time: str, features: list[str], target: str, length: int,
+    block_rows: int = BLOCK_ROWS, max_rows: int | None = None,
+) -> DataFrame:
+    """Each series as arrays: `times`, `x` (structs of the features) and `targets` of a block's rows and the `length` - 1 rows behind them.
+
+    `n_starts` rows of a block begin a window of `length` rows that fits into the series. Blocks without one are left out. A reading is copied once at most,
+    for the block before it, so what is shuffled hardly depends on `length`.
+    """
+    size = max(block_rows, length)
+    needed = list(dict.fromkeys([*keys, time, *features, target]))
+    rows = S.row_index(df.select(*needed), keys, [time], "_i", max_rows)
+    home, offset = f"CAST(floor((_i - 1) / {size}) AS BIGINT)", f"((_i - 1) % {size})"
+    homes = f"array_compact(array({home}, CASE WHEN {offset} < {length - 1} AND {home} > 0 THEN {home} - 1 END))"
+    rows = rows.selectExpr("*", f"explode({homes}) AS block")
+    entry = f"struct(_i, {S.q(time)} AS _time, struct({', '.join(map(S.q, features))}) AS _x, {S.q(target)} AS _y)"
+    blocks = rows.groupBy(*keys, "block").agg(F.expr(f"array_sort(collect_list({entry}), (a, b) -> CAST(a._i - b._i AS INT)) AS _rows"))
+    return blocks.selectExpr(
+        *map(S.q, keys), "block", "transform(_rows, e -> e._time) AS times", "transform(_rows, e -> e._x) AS x", "transform(_rows, e -> e._y) AS targets",
+        f"least({size}, size(_rows) - {length - 1}) AS n_starts",
+    ).filter("n_starts > 0")
+
+
+def cut_windows(blocks: DataFrame, keys: list[str], lookback: int = LOOKBACK, horizon: int = HORIZON) -> DataFrame:
+    """The windows of blocks, as slices of their arrays: `start_time`, `x` and the next `horizon` targets `y`."""
+    places = blocks.selectExpr(*map(S.q, keys), "times", "x", "targets", "explode(sequence(1, n_starts)) AS _s")
+    return places.selectExpr(
+        *map(S.q, keys), "times[_s - 1] AS start_time", f"slice(x, _s, {lookback}) AS x", f"slice(targets, _s + {lookback}, {horizon}) AS y"
+    )
+
+
 def sequence_windows(
     df: DataFrame, keys: list[str], time: str, features: list[str] | None = None, target: str = "ac_power",
-    lookback: int = LOOKBACK, horizon: int = HORIZON, max_rows: int | None = None, longest: int | None = None,
+    lookback: int = LOOKBACK, horizon: int = HORIZON, max_rows: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per window: `x` holds `lookback` structs of the features, `y` the next `horizon` targets.
 
     Windows slide by one row, count rows rather than clock time, and never leave their series: pass the
-    split as a key to keep them inside a split. Each reading is copied lookback + horizon times, so only the
-    needed columns enter.
+    split as a key to keep them inside a split. They are cut from blocks where they are needed; only blocks are shuffled.
     """
-    features = features or SEQUENCE_FEATURES
-    needed = list(dict.fromkeys([*keys, time, *features, target]))
-    cut = _starts(df.select(*needed), keys, time, lookback + horizon, max_rows, longest)
-    past = cut.over(f"ROWS BETWEEN CURRENT ROW AND {lookback - 1} FOLLOWING")
-    future = cut.over(f"ROWS BETWEEN {lookback} FOLLOWING AND {lookback + horizon - 1} FOLLOWING")
-    # Structs keep nulls, which collect_list alone would drop.
-    cut = cut.with_columns(
-        {
-            "x": f"collect_list(struct({', '.join(map(S.q, features))})) {past}",
-            "y": f"collect_list(struct({S.q(target)} AS v)) {future}",
-        }
-    )
-    out = cut.frame.filter(f"_full AND {S.OWN}")
-    return out.selectExpr(*map(S.q, keys), f"{S.q(time)} AS start_time", "x", "transform(y, e -> e.v) AS y")
+    blocks = series_blocks(df, keys, time, features or SEQUENCE_FEATURES, target, lookback + horizon, block_rows, max_rows)
+    return cut_windows(blocks, keys, lookback, horizon)
 
 
 def window_starts(

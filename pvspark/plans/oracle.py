@@ -321,6 +321,40 @@ def weights(names: list[str], alpha: float) -> str:
     return sql("\nUNION ALL ".join(rows), *least_squares(names, alpha))
 
 
+NUMBERED_SERIES = f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY plant_id, split ORDER BY date_time) AS i,
+    count(*) OVER (PARTITION BY plant_id, split) AS n FROM (
+    SELECT p.*, {SPLIT} FROM plant_series p JOIN (SELECT plant_id, min(date_time) AS start_time FROM plant_series GROUP BY plant_id) USING (plant_id)))"""
+
+def day_ahead_weights(lookback: int = 2, horizon: int = 3) -> str:
+    """Linear models of the next steps by elimination; inputs reading by reading."""
+    names = ["ac_power", "irradiation", "module_temperature", "temp_diff"]
+    p = lookback * len(names)
+    xs = [f"lead({c}, {k}) OVER w AS x{k * len(names) + j}" for k in range(lookback) for j, c in enumerate(names)]
+    ys = [f"lead(ac_power, {lookback + k}) OVER w AS y{k}" for k in range(horizon)]
+    places = [(i, j) for i in range(p) for j in range(i, p)]
+    moments = [f"covar_pop(x{i}, x{j}) AS a{i}_{j}" for i, j in places] + [f"covar_pop(x{i}, x{j}) AS a{j}_{i}" for i, j in places if i != j]
+    moments += [f"covar_pop(x{i}, y{k}) AS a{i}_{p + k}" for i in range(p) for k in range(horizon)]
+    means = [f"m{i}" for i in range(p)] + [f"my{k}" for k in range(horizon)]
+    steps = []
+    for k in range(p):
+        row = [f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" for j in range(k + 1, p + horizon)]
+        row += [f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(p) if i != k for j in range(k + 1, p + horizon)]
+        steps.append(f"step{k + 1} AS MATERIALIZED (SELECT plant_id, n, {', '.join(means)}, {', '.join(row)} FROM step{k})")
+    rows = []
+    for k in range(horizon):
+        head = f"SELECT plant_id, CAST({k + 1} AS INT) AS step, n"
+        rows += [f"{head}, 'x{i}' AS input, {r(f'a{i}_{p + k}', 'weight', 4)} FROM step{p}" for i in range(p)]
+        rows.append(f"{head}, 'intercept' AS input, {r(f'my{k} - (' + ' + '.join(f'a{i}_{p + k} * m{i}' for i in range(p)) + ')', 'weight', 4)} FROM step{p}")
+    return sql(
+        "\nUNION ALL ".join(rows), *PLANT_SERIES, NUMBERED_SERIES,
+        f"""xs AS MATERIALIZED (SELECT plant_id, {', '.join(xs + ys)} FROM numbered WHERE split = 'train'
+    WINDOW w AS (PARTITION BY plant_id ORDER BY date_time) QUALIFY i + {lookback + horizon - 1} <= n)""",
+        f"""step0 AS MATERIALIZED (SELECT plant_id, count(*) AS n, {', '.join(f"avg(x{i}) AS m{i}" for i in range(p))}, {', '.join(f"avg(y{k}) AS my{k}" for k in range(horizon))},
+    {', '.join(moments)} FROM xs GROUP BY plant_id)""",
+        *steps,
+    )
+
+
 WIND_BINNED = binned("om_wind_speed_10m", "temp_diff", "sunny")
 CLOUD_BINNED = binned("om_cloud_cover", "om_direct_radiation", "peak")
 
@@ -562,4 +596,13 @@ WHERE s.i BETWEEN c.i + 192 AND c.i + 287""",
   ON t.plant_id = h.plant_id AND t.split = h.split AND t.source_key = h.source_key AND t.i BETWEEN h.i + 1 AND h.i + 4
   WHERE h.i >= 8 AND h.i + 4 <= h.n)""",
     ),
+    "day_ahead_weights": day_ahead_weights(),
+    "eval_multistep_day": sql(
+        f"SELECT plant_id, split, {rs(METRICS)} FROM (SELECT plant_id, split, {scores('true', '', 'y', 'p')} FROM flat GROUP BY ALL)",
+        *PLANT_SERIES, NUMBERED_SERIES,
+        """flat AS (SELECT t.plant_id, t.split, t.ac_power AS y, d.ac_power AS p FROM numbered h JOIN numbered t
+  ON t.plant_id = h.plant_id AND t.split = h.split AND t.i BETWEEN h.i + 1 AND h.i + 96
+  JOIN numbered d ON d.plant_id = t.plant_id AND d.split = t.split AND d.i = t.i - 96
+  WHERE h.i >= 192 AND h.i + 96 <= h.n)""",
+    ),
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvspark.functions import physics, text, timeparse
-from pvspark.operators import features, fill, learn, metrics, profile, scale, search, sequences, split
+from pvspark.operators import dayahead, features, fill, learn, metrics, profile, scale, search, sequences, split
 from pvspark.operators import series as S
 from pvspark.operators.clean import PLANT, SENSOR_COLS, SOURCE, TIME, drop_bad_times
 from pvspark.operators.small import checked_small
@@ -481,8 +481,7 @@ def _window_digest(windows):
 
 @query
 def seq_windows(spark, sf):
-    rows, n = checked_small(fx.plant_series(spark, sf))
-    return _window_digest(sequences.sequence_windows(rows, [PLANT], TIME, longest=n))
+    return _window_digest(sequences.sequence_windows(fx.plant_series(spark, sf), [PLANT], TIME))
 
 
 @query
@@ -510,6 +509,14 @@ def eval_multistep(spark, sf):
     return rounded(metrics.evaluate(sequences.steps_of(held), "y", "p", (PLANT, "split")))
 
 
+@query
+def eval_multistep_day(spark, sf):
+    """Two days of history, one day ahead: the day before as the forecast."""
+    windows = sequences.sequence_windows(split.chrono_split(fx.plant_series(spark, sf)), [PLANT, "split"], TIME)
+    day = F.transform(F.slice("x", -sequences.STEPS_PER_DAY, sequences.STEPS_PER_DAY), lambda e: e["ac_power"])
+    return rounded(metrics.evaluate(sequences.steps_of(windows.withColumn("p", day)), "y", "p", (PLANT, "split")))
+
+
 # Learning. Tree fits differ from run to run of other engines, so these have no SQL twin.
 
 
@@ -597,8 +604,7 @@ def cv_folds(spark, sf):
 
 
 def _day_ahead(spark, sf):
-    series, n = checked_small(split.chrono_split(fx.plant_series(spark, sf)))
-    windows = sequences.sequence_windows(series, [PLANT, "split"], TIME, longest=n)
+    windows = sequences.sequence_windows(split.chrono_split(fx.plant_series(spark, sf)), [PLANT, "split"], TIME)
     return learn.day_ahead_rows(windows, sequences.STEPS_PER_DAY)
 
 
@@ -610,6 +616,38 @@ def day_ahead_inputs(spark, sf):
     return rounded(rows.agg(F.count("*").alias("n"), *sums, F.avg(F.col("day_before") * F.col("y")).alias("product")))
 
 
+SHORT = {"lookback": 2, "horizon": 3}
+
+
+def _plant_blocks(spark, sf, lookback=sequences.LOOKBACK, horizon=sequences.HORIZON):
+    rows = split.chrono_split(fx.plant_series(spark, sf))
+    return sequences.series_blocks(rows, [PLANT, "split"], TIME, sequences.SEQUENCE_FEATURES, "ac_power", lookback + horizon)
+
+
+@query
+def day_ahead_weights(spark, sf):
+    """Three steps ahead from two readings of the four series: few enough for SQL to solve."""
+    train = _plant_blocks(spark, sf, **SHORT).filter("split = 'train'")
+    models = dayahead.fit(train, sequences.SEQUENCE_FEATURES, **SHORT)
+    pairs = [F.struct(F.lit(f"x{i}").alias("input"), F.col("weights")[i].alias("weight")) for i in range(2 * len(sequences.SEQUENCE_FEATURES))]
+    pairs.append(F.struct(F.lit("intercept").alias("input"), F.col("intercept").alias("weight")))
+    return rounded(models.select(PLANT, F.col("step").cast("int").alias("step"), "n", F.inline(F.array(*pairs))), 4)
+
+
+@query
+def day_ahead_linear(spark, sf):
+    """The 96 next steps at once from two days of four series, beside the value of the day before."""
+    blocks = cut(_plant_blocks(spark, sf))
+    models = dayahead.fit(blocks.filter("split = 'train'"), sequences.SEQUENCE_FEATURES, alpha=learn.RIDGE_ALPHA * 1000)
+    held = blocks.filter("split <> 'train'")
+    found = dayahead.predict(held, models, sequences.SEQUENCE_FEATURES, [PLANT, "split"]).withColumn("model", F.lit("Linear, all steps"))
+    windows = sequences.cut_windows(held, [PLANT, "split"])
+    day = F.transform(F.slice("x", -sequences.STEPS_PER_DAY, sequences.STEPS_PER_DAY), lambda e: e["ac_power"])
+    before = windows.select(PLANT, "split", "start_time", "y", day.alias("p"), F.lit("Day before").alias("model"))
+    steps = sequences.steps_of(found.unionByName(before))
+    return metrics.evaluate(metrics.limit_predictions(steps, "p", None), "y", "p", (PLANT, "split", "model"))
+
+
 @query
 def importance_topk(spark, sf):
     prepared, names = _prepared(spark, sf)

@@ -139,12 +139,12 @@ def test_split_is_a_partition_in_time(spark):
         assert report[p, "train"].n_rows == 80 and report[p, "val"].n_rows == 28
 
 
-@pytest.mark.parametrize("max_rows", [1, 20, 1000])
-def test_windows_are_runs_of_rows(spark, max_rows):
+@pytest.mark.parametrize(("max_rows", "block_rows"), [(1, 1), (20, 13), (1000, 17), (1000, 4096)])
+def test_windows_are_runs_of_rows(spark, max_rows, block_rows):
     """Readings of a device are 0, 1, 2, … here, so a window tells by itself whether it is whole and where it begins."""
     sizes = {"a": 60, "b": 11, "c": 12, "d": 13}
     df = cleaned(spark, sizes)
-    got = sq.sequence_windows(df, ["source_key"], "date_time", ["ac_power", "irradiation"], lookback=8, horizon=4, max_rows=max_rows).collect()
+    got = sq.sequence_windows(df, ["source_key"], "date_time", ["ac_power", "irradiation"], lookback=8, horizon=4, max_rows=max_rows, block_rows=block_rows).collect()
     for key, n in sizes.items():
         starts = sorted(r.x[0]["ac_power"] for r in got if r.source_key == key)
         assert starts == list(range(n - 12 + 1))
@@ -154,6 +154,18 @@ def test_windows_are_runs_of_rows(spark, max_rows):
         assert r.start_time == T0 + k * STEP
 
 
+def test_blocks_hold_each_reading_twice_at_most(spark):
+    df = cleaned(spark, {"a": 400, "b": 5})
+    for length, block_rows in ((12, 50), (12, 400), (48, 50)):
+        blocks = sq.series_blocks(df, ["source_key"], "date_time", ["irradiation"], "ac_power", length, block_rows).collect()
+        size = max(block_rows, length)
+        assert {r.source_key for r in blocks} == {"a"} and sum(r.n_starts for r in blocks) == 400 - length + 1
+        for r in blocks:
+            first = r.block * size
+            assert r.targets == list(range(first, min(400, first + size + length - 1))) and len(r.x) == len(r.times) == len(r.targets)
+        assert sum(len(r.targets) for r in blocks) <= 400 + (400 // size) * (length - 1)
+
+
 def test_windows_keep_nulls(spark):
     df = cleaned(spark, {"a": 30}, gaps=0.5)
     out = sq.sequence_windows(df, ["source_key"], "date_time", ["irradiation"], lookback=8, horizon=4)
