@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.functions.physics import limited
@@ -59,9 +59,13 @@ def metrics_report(
 
 
 def upsert_board(board: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of `new` replace those with the same plant and model; columns known to one side only stay."""
-    kept = board.join(new.select(*BOARD_KEYS).distinct(), BOARD_KEYS, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    """Rows of `new` replace those with the same plant and model; columns known to one side only stay.
+
+    Both sides are read once: of the rows of a plant and model the newest side stays, one window over a board of one row each.
+    """
+    both = board.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    last = F.max("_side").over(Window.partitionBy(*BOARD_KEYS))
+    return both.withColumn("_last", last).filter("_side = _last").drop("_side", "_last")
 
 
 def preferred_model(board: DataFrame, priority: list[str] | None = None) -> DataFrame:

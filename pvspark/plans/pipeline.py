@@ -155,7 +155,7 @@ def model_step(
         learn.save_model(one, f"{folder}/models")
     files.write_report_csv(rows, f"{folder}/metrics_report_csv")
     files.write_report_text(metrics.report_lines(rows), f"{folder}/metrics_report_txt")
-    files.write_board(metrics.upsert_board(files.read_board(spark, f"{folder}/board"), rows), f"{folder}/board")
+    files.add_to_board(rows, f"{folder}/board")
 
     best, _ = checked_small(metrics.preferred_model(rows).select("plant", "model"))
     plant_name = F.concat(F.lit("Plant "), F.col(PLANT).cast("string"))

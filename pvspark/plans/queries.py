@@ -69,6 +69,44 @@ def src_weather(spark, sf):
     return files.type_weather(files.parse_lines(lines, [TIME, PLANT, *files.WEATHER_COLS]), F.col(PLANT).cast("int"))
 
 
+def _through_files(spark, name, df, day_first=()):
+    """Input files of every plant, written in its time format. The second plant's columns are in another order."""
+    folder = scratch(spark, name)
+    stamp = F.when(F.col(PLANT).isin(*day_first), F.date_format(TIME, timeparse.DAY_FIRST)).otherwise(F.date_format(TIME, timeparse.ISO))
+    text = df.withColumn(TIME, stamp)
+    paths = {1: f"{folder}/first", 2: f"{folder}/second"}
+    files.write_csv(text.filter(F.col(PLANT) == 1), paths[1])
+    files.write_csv(text.filter(F.col(PLANT) == 2).select(*reversed(df.columns)), paths[2])
+    return paths
+
+
+@query
+def files_generation(spark, sf):
+    rows = fx.generation(spark, sf)
+    back = files.read_generation(spark, _through_files(spark, "generation", rows, (1,)))
+    return back.withColumn(SOURCE, F.col(SOURCE).cast("long")).select(*rows.columns)
+
+
+@query
+def files_sensor(spark, sf):
+    return files.read_sensor(spark, _through_files(spark, "sensor", fx.sensor(spark, sf)))
+
+
+@query
+def files_weather(spark, sf):
+    rows = fx.weather(spark, sf)
+    return files.read_weather(spark, _through_files(spark, "weather", rows)).select(*rows.columns)
+
+
+@query
+def stage_table(spark, sf):
+    """The split table, published twice and read back."""
+    folder, rows = scratch(spark, "stages"), split.chrono_split(fx.generation(spark, sf))
+    files.write_stage(rows.filter("split = 'train'"), folder, "split", (PLANT, "split"))
+    files.write_stage(rows, folder, "split", (PLANT, "split"))
+    return files.read_stage(spark, folder, "split").select(*KEYS, "split")
+
+
 def _payload_text(spark, sf, broken: bool):
     """One JSON payload per plant and day, at most 24 hours each. Some days are spoilt if `broken`."""
     day = F.to_date(TIME)
@@ -437,13 +475,35 @@ def metrics_text(spark, sf):
     return metrics.report_lines(board)
 
 
-@query
-def leaderboard_upsert(spark, sf):
+def _board_and_news(spark, sf):
     rows = fx.scored(spark, sf)
     board = metrics.metrics_report(metrics.limit_predictions(rows))
     again = rows.filter(F.col("model") == fx.LAST).withColumn("prediction", F.col("last_reading"))
-    new = metrics.metrics_report(metrics.limit_predictions(again)).withColumn("author", F.lit("team"))
-    return rounded(metrics.upsert_board(board, new).select("plant", "model", "author", *metrics.BOARD_METRICS))
+    return board, metrics.metrics_report(metrics.limit_predictions(again)).withColumn("author", F.lit("team"))
+
+
+@query
+def leaderboard_upsert(spark, sf):
+    return rounded(metrics.upsert_board(*_board_and_news(spark, sf)).select("plant", "model", "author", *metrics.BOARD_METRICS))
+
+
+@query
+def leaderboard_files(spark, sf):
+    """The same through published versions."""
+    board, news = _board_and_news(spark, sf)
+    path = scratch(spark, "board")
+    files.add_to_board(board, path)
+    files.add_to_board(news, path)
+    return rounded(files.read_board(spark, path).select("plant", "model", "author", *metrics.BOARD_METRICS))
+
+
+@query
+def report_file(spark, sf):
+    """The report as CSV, read back."""
+    path = f"{scratch(spark, 'report')}/metrics_report"
+    files.write_report_csv(metrics.metrics_report(_limited(spark, sf)), path)
+    schema = f"plant string, model string, {', '.join(f'{c} double' for c in metrics.BOARD_METRICS)}"
+    return rounded(spark.read.schema(schema).option("header", True).csv(path))
 
 
 @query

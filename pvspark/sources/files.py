@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+from urllib.parse import unquote_plus
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -12,6 +14,10 @@ from pyspark.sql import types as T
 
 from pvspark.functions.timeparse import DAY_FIRST, ISO, parse_by_plant, parse_time
 from pvspark.operators.clean import PLANT, SENSOR_COLS, SOURCE, TIME
+from pvspark.operators.metrics import upsert_board
+from pvspark.operators.small import checked_small, join_side
+from pvspark.session import cut
+from pvspark.sources.publish import file_system, newest, publish, published
 
 # Columns of the input files.
 GENERATION_MEASURES = ["dc_power", "ac_power", "daily_yield", "total_yield"]
@@ -23,19 +29,12 @@ WEATHER_VARIABLES = [
 WEATHER_COLS = [f"om_{v}" for v in WEATHER_VARIABLES]
 
 
-class MissingStage(FileNotFoundError):
-    """An earlier stage has not written its output yet."""
-
+#: Versions of a stage table that are kept.
+KEPT_STAGES = 3
 
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder. Failures of the storage are raised."""
-    fs, place = _file_system(spark, path)
-    return fs.exists(place)
+class MissingStage(FileNotFoundError):
+    """An earlier stage has not written its output yet."""
 
 
 def number(col: str) -> Column:
@@ -70,47 +69,97 @@ def type_weather(text: DataFrame, plant: int | Column) -> DataFrame:
     return _typed(_lower(text), [*WEATHER_COLS, "latitude", "longitude"], parse_time(TIME, ISO), plant)
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.option("header", True).csv(path)
-    except AnalysisException as e:
-        raise MissingStage(f"no input at {path}") from e
-
-
-def _per_plant(spark: SparkSession, paths: dict[int, str], typed) -> DataFrame:
-    out = None
+def _plant_files(spark: SparkSession, paths: dict[int, str]) -> tuple[list[str], list[tuple[str, int]]]:
+    """The files and folders that `paths` name (which may be patterns), and the plants of every file in them."""
+    roots: list[tuple[str, int]] = []
     for plant, path in sorted(paths.items()):
-        part = typed(_csv(spark, path), plant)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+        fs, place = file_system(spark, path)
+        found = fs.globStatus(place)
+        if not found:
+            raise MissingStage(f"no input at {path}")
+        roots += [(s.getPath().toString(), plant) for s in found]
+    places = list(dict.fromkeys(r for r, _ in roots))
+    plants: dict[str, list[int]] = {}
+    for root, plant in roots:
+        plants.setdefault(_plain(root), []).append(plant)
+    rows = []
+    for file in spark.read.text(places).inputFiles():
+        # A file belongs to the folder it lies in, or to one above.
+        part = _plain(file)
+        while part and part not in plants:
+            part = part.rpartition("/")[0]
+        rows += [(_plain(file), plant) for plant in plants.get(part, [])]
+    return places, rows
+
+
+def _plain(uri: str) -> str:
+    """An address as `_plain_column` writes it: addresses of a file differ in slashes and escapes."""
+    return re.sub("^([^:/]+):/+", r"\1:/", unquote_plus(uri)).rstrip("/")
+
+
+def _plain_column(uri: Column) -> Column:
+    return F.regexp_replace(F.coalesce(F.try_url_decode(uri), uri), "^([^:/]+):/+", "$1:/")
+
+
+#: Column of the plant that a file belongs to.
+_OF = "_plant"
+
+
+def read_plant_files(spark: SparkSession, paths: dict[int, str], time: str = TIME) -> DataFrame:
+    """The text columns of the CSV files of all plants, and `_plant`: one scan, however many plants and files there are.
+
+    Each file's columns are told by its own header: the line that names the time column. Headers are found by one more scan. A file has no
+    line breaks inside quotes. Lines of a file without a header make the job fail.
+    """
+    places, rows = _plant_files(spark, paths)
+    plants = spark.createDataFrame(rows, f"_file string, {_OF} int")
+    lines = spark.read.text(places).select(_plain_column(F.col("_metadata.file_path")).alias("_file"), F.col("value").alias("_line")).filter("trim(_line) <> ''")
+    fields = F.transform(F.split(F.regexp_replace("_line", '["\ufeff]', ""), ","), lambda c: F.lower(F.trim(c)))
+    named = lines.filter(F.lower("_line").contains(time)).select("_file", fields.alias("_names")).filter(F.array_contains("_names", time))
+    # One row per file.
+    headers = cut(named.groupBy("_file").agg(F.first("_names").alias("_names")))
+    layouts = [r[0] for r in headers.select("_names").distinct().collect()]  # one row per layout
+    columns = list(dict.fromkeys(c for names in sorted(layouts) for c in names))
+    most = max(map(len, layouts), default=1)
+    at = F.array(*[F.array_position("_names", F.lit(c)).cast("int") for c in columns]) if columns else F.array().cast("array<int>")
+    of = join_side(plants, headers.select("_file", at.alias("_at")), ["_file"], rows=len(rows))
+    text = F.from_csv("_line", ", ".join(f"c{i} string" for i in range(most)))
+    got = join_side(lines, of, ["_file"], "inner", rows=len(rows))
+    known = F.when(F.col("_at").isNull(), F.raise_error(F.concat(F.lit("no header in "), F.col("_file")))).otherwise(text)
+    got = got.select(_OF, "_at", known.alias("_c"))
+    values = F.array(*[F.col("_c")[f"c{i}"] for i in range(most)])
+    got = got.select(_OF, *[F.when(F.col("_at")[k] > 0, F.get(values, F.col("_at")[k] - 1)).alias(c) for k, c in enumerate(columns)])
+    return got.filter(F.coalesce(F.lower(F.trim(time)) != time, F.lit(True))) if columns else got
 
 
 def read_generation(spark: SparkSession, paths: dict[int, str], day_first_plants: tuple[int, ...] = (1,)) -> DataFrame:
     """One table from the generation files of all plants."""
-    return _per_plant(spark, paths, lambda df, plant: type_generation(df, plant, day_first_plants))
+    return type_generation(read_plant_files(spark, paths), F.col(_OF), day_first_plants).drop(_OF)
 
 
 def read_sensor(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    sensor = _per_plant(spark, paths, type_sensor)
-    return sensor.select(PLANT, TIME, *SENSOR_COLS)
+    return type_sensor(read_plant_files(spark, paths), F.col(_OF)).select(PLANT, TIME, *SENSOR_COLS)
 
 
 def read_weather(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    return _per_plant(spark, paths, type_weather)
+    return type_weather(read_plant_files(spark, paths), F.col(_OF)).drop(_OF)
 
 
 def read_stage(spark: SparkSession, folder: str, stage: str) -> DataFrame:
     """A stage table written by `write_stage`; types come back as they were."""
     try:
-        return spark.read.parquet(f"{folder}/{stage}")
+        return spark.read.parquet(newest(spark, f"{folder}/{stage}") or f"{folder}/{stage}")
     except AnalysisException as e:
         raise MissingStage(f"stage {stage!r} has no output in {folder}: run it first") from e
 
 
 def write_stage(df: DataFrame, folder: str, stage: str, partitions: tuple[str, ...] = (PLANT,)) -> None:
-    """Overwrite a stage table. The rebalance splits a dominant plant over many files of even size."""
+    """Replace a stage table as a whole. The rebalance splits a dominant plant over many files of even size.
+
+    Readers see the old table until the new one is complete, and those that have begun may read it on for two more writes.
+    """
     even = df.hint("rebalance", *[F.col(c) for c in partitions])
-    even.write.mode("overwrite").partitionBy(*partitions).parquet(f"{folder}/{stage}")
+    publish(df.sparkSession, f"{folder}/{stage}", lambda _, to: even.write.partitionBy(*partitions).parquet(to), keep=KEPT_STAGES)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -125,7 +174,10 @@ BOARD_SCHEMA = T.StructType(
 
 def _board_versions(spark: SparkSession, path: str) -> list[str]:
     """Folders of the board's versions, newest first; none if there is no board. Failures of the storage are raised."""
-    fs, place = _file_system(spark, path)
+    found = published(spark, path)
+    if found:
+        return [folder for _, folder in found]
+    fs, place = file_system(spark, path)  # a board from before there were manifests
     if not fs.exists(place):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(place) if s.getPath().getName().startswith("version=")]
@@ -144,11 +196,29 @@ def read_board(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], BOARD_SCHEMA)
 
 
-def write_board(df: DataFrame, path: str) -> None:
-    """Add a version next to the ones being read, so a failed write loses nothing."""
-    version = F.lit(time.time_ns() // 1_000_000)
+def _write_version(board: DataFrame, folder: str) -> None:
     # A board has one row per plant and model.
-    df.withColumn("version", version).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    board.coalesce(1).write.parquet(folder)
+
+
+def _version_name() -> str:
+    return f"version={time.time_ns()}"
+
+
+def write_board(df: DataFrame, path: str) -> None:
+    """Make `df` the newest version of the board. Rows that others add meanwhile are not in it; `add_to_board` keeps them."""
+    publish(df.sparkSession, path, lambda _, to: _write_version(df, to), _version_name)
+
+
+def add_to_board(new: DataFrame, path: str) -> None:
+    """Upsert rows into the newest board. Of writers at the same time each one's rows stay: who comes second starts again from the first one's board."""
+    spark = new.sparkSession
+    new, _ = checked_small(new)  # evaluated once, however often it is tried
+
+    def write(base: str | None, to: str) -> None:
+        _write_version(upsert_board(read_board(spark, path), new), to)
+
+    publish(spark, path, write, _version_name)
 
 
 def write_report_csv(board: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from multiprocessing.pool import ThreadPool
 
 import pytest
 from pyspark.errors import PySparkException
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pvspark.functions import text, timeparse
 from pvspark.operators.small import BROADCAST_ROWS, checked_small, join_side
-from pvspark.sources import files, weather
+from pvspark.sources import files, publish, weather
 
 T = dt.datetime
 
@@ -138,3 +139,58 @@ def test_small_side_check(spark):
         assert joined.filter("v is not null").count() == 10 and joined.count() == 20
         plan = joined._jdf.queryExecution().optimizedPlan().toString()
         assert ("broadcast" in plan) == (limit > 5)
+
+
+def test_one_scan_for_files_of_many_layouts(spark, tmp_path):
+    head = "DATE_TIME,PLANT_ID,SOURCE_KEY,DC_POWER,AC_POWER"
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x.csv").write_text(f"{head}\n15-05-2020 00:15,1,dev,1.5,2.5\n\n15-05-2020 00:30,1,\"de,v\",3.5,\n")
+    (tmp_path / "a b" / "y.csv").write_text("AC_POWER,date_time,SOURCE_KEY,EXTRA\n7,15-05-2020 00:45,other,note\n")
+    (tmp_path / "two.csv").write_text(f"{head}\n2020-05-15 00:15:00,2,dev,4,5\n")
+    paths = {1: f"{tmp_path}/a b", 2: f"{tmp_path}/two.csv", **{k: f"{tmp_path}/tw*.csv" for k in range(3, 9)}}
+    df = files.read_generation(spark, paths)
+    rows = {(r.plant_id, r.source_key, r.date_time): (r.dc_power, r.ac_power, r.extra) for r in df.collect()}
+    want = {(1, "dev", T(2020, 5, 15, 0, 15)): (1.5, 2.5, None), (1, "de,v", T(2020, 5, 15, 0, 30)): (3.5, None, None), (1, "other", T(2020, 5, 15, 0, 45)): (None, 7.0, "note")}
+    assert rows == want | {(k, "dev", T(2020, 5, 15, 0, 15)): (4.0, 5.0, None) for k in range(2, 9)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Union" not in plan
+    (tmp_path / "bare.csv").write_text("2020-05-15 00:15:00,2,dev,4,5\n")
+    with pytest.raises(PySparkException, match="no header in .*bare.csv"):
+        files.read_generation(spark, {1: f"{tmp_path}/two.csv", 2: f"{tmp_path}/bare.csv"}).collect()
+
+
+def test_two_writers_of_the_board_both_keep_their_rows(spark, tmp_path):
+    path = str(tmp_path / "board")
+
+    def rows(*models):
+        return spark.createDataFrame([("Plant 1", m, None, *[1.0] * 8) for m in models], files.BOARD_SCHEMA)
+
+    files.add_to_board(rows("A", "B"), path)
+    with ThreadPool(4) as pool:
+        pool.map(lambda k: files.add_to_board(rows(f"M{k}", "B"), path), range(4), chunksize=1)
+    assert sorted(r.model for r in files.read_board(spark, path).collect()) == ["A", "B", "M0", "M1", "M2", "M3"]
+    assert [n for n, _ in publish.published(spark, path)] == [5, 4, 3, 2, 1]
+
+
+def test_a_manifest_is_made_by_one_writer(spark, tmp_path):
+    path = str(tmp_path / "_manifest" / "000000000001")
+    with ThreadPool(8) as pool:
+        made = pool.map(lambda k: publish.create_if_absent(spark, path, f"{k}\n"), range(16), chunksize=1)
+    assert sum(made) == 1 and (tmp_path / "_manifest" / "000000000001").read_text() == f"{made.index(True)}\n"
+    assert [p.name for p in (tmp_path / "_manifest").iterdir()] == ["000000000001"]
+
+
+def test_a_killed_write_leaves_the_old_stage(spark, tmp_path):
+    folder = str(tmp_path)
+    files.write_stage(spark.range(3).withColumn("plant_id", F.lit(1)), folder, "s")
+    began = files.read_stage(spark, folder, "s")
+    broken = spark.range(9).withColumn("plant_id", F.when(F.col("id") > 5, F.raise_error(F.lit("killed"))).otherwise(F.lit(1)).cast("int"))
+    with pytest.raises(PySparkException, match="killed"):
+        files.write_stage(broken, folder, "s")
+    assert files.read_stage(spark, folder, "s").count() == 3
+    # A stage may be replaced by what is read from it, and readers go on with what they began.
+    files.write_stage(files.read_stage(spark, folder, "s").filter("id > 0"), folder, "s")
+    assert files.read_stage(spark, folder, "s").count() == 2 and began.count() == 3
+    for _ in range(4):
+        files.write_stage(files.read_stage(spark, folder, "s"), folder, "s")
+    assert len([p for p in (tmp_path / "s").glob("_data-*") if any(p.glob("_SUCCESS"))]) == files.KEPT_STAGES
