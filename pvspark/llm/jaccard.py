@@ -179,6 +179,12 @@ class Comparison:
     def possible(self, differ: np.ndarray, n, m) -> np.ndarray:
         return (n + m - differ.sum(axis=-1, dtype=np.int64)) // 2 >= _need(n, m)
 
+    def surely(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.zeros(len(a), bool)
+
+    def first(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> np.ndarray:
+        return np.ones(len(a), bool)
+
     def alike(self, a: int, n: int, b: int, m: int) -> bool:
         return len(np.intersect1d(self.sets.values(a, n), self.sets.values(b, m), assume_unique=True)) >= _need(n, m)
 

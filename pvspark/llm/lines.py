@@ -41,6 +41,8 @@ HEAD = 2 * (MARK + 1)
 #: Of the hash of a pair of words 44 bits count; equal ones only cost comparisons.
 _HASH = np.uint64(44)
 _LINES = 1 << 14
+#: Words of lines that are compared at once.
+_WORDS = 1 << 20
 
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
@@ -119,7 +121,8 @@ def prefixes(words: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.
     pos = place - np.repeat(np.cumsum(count) - count, count)
     early = pos < np.repeat(np.where(size < 4, 0, size - least(size)), count)
     line, value, again, pos = line[early], value[early], again[early], pos[early]
-    return line, (mix(value + (again.astype(np.uint64) << _HASH)) >> np.uint64(1)).astype(np.int64), count[line] - pos - 1
+    # 40 bits, as every byte of a key is written for each line; equal ones only cost comparisons.
+    return line, (mix(value + (again.astype(np.uint64) << _HASH)) >> np.uint64(24)).astype(np.int64), count[line] - pos - 1
 
 
 def least(n):
@@ -209,8 +212,8 @@ class Lines:
 
     percent = PERCENT
 
-    def __init__(self, folder: str) -> None:
-        self.files = Reader(folder, np.uint32)
+    def __init__(self, folder: str, rank: np.ndarray | None = None) -> None:
+        self.files, self.rank = Reader(folder, np.uint32), rank
 
     def need(self, n, m):
         """Pairs of words that the longer line, of m words, keeps of the other one."""
@@ -226,11 +229,45 @@ class Lines:
     def words(self, place: int, n: int) -> np.ndarray:
         return self.files.at(place, HEAD, n)
 
+    def surely(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Lines of one length with few other words at the same places."""
+        out = np.zeros(len(a), bool)
+        same = np.flatnonzero(n == m)
+        total, start = np.cumsum(n[same]), 0
+        while start < len(same):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _WORDS, "right")))
+            some = same[start:stop]
+            size = n[some]
+            differ = self.files.ragged(a[some], HEAD, size) != self.files.ragged(b[some], HEAD, size)
+            out[some] = np.add.reduceat(differ, np.cumsum(size) - size, dtype=np.int64) <= size * (100 - PERCENT) // 100
+            start = stop
+        return out
+
+    def first(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        total, start = np.cumsum(n + m), 0
+        while start < len(a):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _WORDS, "right")))
+            stop = min(stop, start + _LINES // 2)
+            some = slice(start, stop)
+            places, where = np.unique(np.r_[a[some], b[some]], return_inverse=True)
+            size = np.empty(len(places), np.int64)
+            size[where] = np.r_[n[some], m[some]]
+            line, key, _ = prefixes(self.files.ragged(places, HEAD, size), size, self.rank)
+            # The keys before the one at which the pair meets, of either line.
+            before = size[where] - 2 - np.r_[after_a[some], after_b[some]]
+            at = np.repeat(np.searchsorted(line, where), before) + np.arange(int(before.sum())) - np.repeat(np.cumsum(before) - before, before)
+            pair = np.repeat(np.tile(np.arange(stop - start), 2), before)
+            code = mix(key[at].view(np.uint64)) + mix(pair.astype(np.uint64) + np.uint64(1))
+            order = np.argsort(code)
+            twice = code[order][1:] == code[order][:-1]
+            out[start + pair[order][1:][twice]] = False
+            start = stop
+        return out
+
     def alike(self, a: int, n: int, b: int, m: int) -> bool:
         most = max(n, m) * (100 - PERCENT) // 100
         one, other = self.words(a, n), self.words(b, m)
-        if n == m and np.count_nonzero(one != other) <= most:
-            return True
         return (max(n, m) < 200 or _shared(one, other) >= max(n, m) - most) and edit_distance(one, other, most) <= most
 
 
@@ -276,9 +313,9 @@ def _prefixes(folder: str, rank: np.ndarray):
     return task(run)
 
 
-def _links(folder: str, tile: int):
+def _links(folder: str, rank: np.ndarray, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from Meeting(Lines(folder), tile, 16 * tile).links(batches, "key")
+        yield from Meeting(Lines(folder, rank), tile, 16 * tile).links(batches, "key")
 
     return task(run)
 
@@ -300,10 +337,10 @@ def duplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
     long = different.filter("n > 3").select("place", "n")
     total = long.agg(F.sum(F.col("n") - 1)).first()[0] or 0
     rank = frequency.ranks(long, _counted(folder), total)
-    shared = spark.sparkContext.broadcast(rank)
+    shared, tile = spark.sparkContext.broadcast(rank), TILE
     meet = long.mapInArrow(lambda x: _prefixes(folder, shared.value)(x), "key long, place long, n int, after int")
     meet = meet.repartition("key").sortWithinPartitions("key", "n", "place")
-    groups = components(meet.mapInArrow(_links(folder, TILE), "a long, b long"))
+    groups = components(meet.mapInArrow(lambda x: _links(folder, shared.value, tile)(x), "a long, b long"))
     # Only lines that occur again or are linked can have anything to remove.
     of = different.join(groups, different["place"] == groups["id"], "left").filter("times > 1 OR root IS NOT NULL").select("line", F.coalesce("root", "place").alias("group"))
     where = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "line_no").alias("where")

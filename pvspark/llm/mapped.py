@@ -78,5 +78,20 @@ class Reader:
             out[rows] = self.file(str(int(files[a])))[(places[rows] & ((1 << POSITION) - 1))[:, None] + np.arange(n)]
         return out
 
+    def ragged(self, places: np.ndarray, skip: int, sizes: np.ndarray) -> np.ndarray:
+        """`sizes` values from behind the first `skip` ones at each of these places, behind one another."""
+        out = np.empty(int(sizes.sum()), self.kind)
+        ends = np.cumsum(sizes)
+        order = np.argsort(places)
+        files = places[order] >> POSITION
+        edge = np.flatnonzero(np.diff(files, prepend=-1, append=-1))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            rows = order[a:b]
+            n = sizes[rows]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at = (places[rows] & ((1 << POSITION) - 1)) + skip
+            out[np.repeat(ends[rows] - n, n) + inside] = self.file(str(int(files[a])))[np.repeat(at, n) + inside]
+        return out
+
     def at(self, place: int, skip: int, n: int) -> np.ndarray:
         return self.get(str(place >> POSITION), (place & ((1 << POSITION) - 1)) + skip, n)

@@ -34,6 +34,12 @@ class Kind(Protocol):
     def possible(self, differ: np.ndarray, n, m) -> np.ndarray:
         """Whether a pair can be linked; `differ` has the number of different bits of each integer of their heads."""
 
+    def surely(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Pairs that a look at all of them at once shows to be linked; of the others nothing is known."""
+
+    def first(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> np.ndarray:
+        """Pairs that share nothing before the key at which they meet. The others have been compared there, or will be, maybe by another task."""
+
     def alike(self, a: int, n: int, b: int, m: int) -> bool:
         """Whether a pair is linked."""
 
@@ -64,7 +70,7 @@ class Meeting:
 
     def __init__(self, kind: Kind, tile: int, columns: int) -> None:
         self.kind, self.tile, self.columns = kind, tile, columns
-        self.groups, self.unlike, self.found = Groups(), set(), []
+        self.groups, self.unlike, self.found, self.held, self.many = Groups(), set(), [], [], 0
 
     def _alike(self, a: int, n: int, b: int, m: int) -> bool:
         pair = (a, b) if a < b else (b, a)
@@ -99,25 +105,69 @@ class Meeting:
                 possible = (to > at) & (to < most[start:stop, None]) & (np.minimum(after[start:stop, None], after[None, left:right]) + 1 >= kind.need(n, m))
                 if possible.any():
                     possible &= kind.possible(np.bitwise_count(rows[:, None, :] ^ kind.heads(places[left:right])[None, :, :]), n, m)
+                    self._stars(places, sizes, start, left, possible)
+                    self._first(places, sizes, after, start, left, possible)
                     self.found += self.groups.link(
                         listed[start:stop], listed[left:right], possible,
                         lambda i, j, a=start, b=left: self._alike(listed[a + i], int(sizes[a + i]), listed[b + j], int(sizes[b + j])),
                     )
 
-    def _pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> None:
-        """Pairs of places, with their sizes; each once."""
+    def _first(self, places: np.ndarray, sizes: np.ndarray, after: np.ndarray, start: int, left: int, possible: np.ndarray) -> None:
+        """Leave only pairs to compare that aren't in one group and meet here first."""
+        of = {p: self.groups.root(p) for p in {*places[start : start + len(possible)].tolist(), *places[left : left + possible.shape[1]].tolist()}}
+        rows, columns = (np.array([of[p] for p in places[k : k + n].tolist()]) for k, n in ((start, possible.shape[0]), (left, possible.shape[1])))
+        possible &= rows[:, None] != columns[None, :]
+        i, j = np.nonzero(possible)
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k : k + PAIRS] + start, j[k : k + PAIRS] + left
+            possible[a - start, b - left] = self.kind.first(places[a], places[b], sizes[a], sizes[b], after[a], after[b])
+
+    def _stars(self, places: np.ndarray, sizes: np.ndarray, start: int, left: int, possible: np.ndarray) -> None:
+        """Join what one look shows to be linked, row by row, unless it is in the row's group by then."""
+        for i in np.flatnonzero(possible.any(axis=1)).tolist():
+            root = self.groups.root(int(places[start + i]))
+            ends = left + np.flatnonzero(possible[i])
+            ends = ends[[self.groups.root(p) != root for p in places[ends].tolist()]]
+            if len(ends):
+                one = np.full(len(ends), start + i)
+                ends = ends[self.kind.surely(places[one], places[ends], sizes[one], sizes[ends])]
+                self._join(places[np.full(len(ends), start + i)], places[ends])
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> None:
+        """Pairs of places, with their sizes and what follows the key. A pair may be there for several keys."""
+        keep = self.kind.first(a, b, n, m, after_a, after_b)
+        a, b, n, m = a[keep], b[keep], n[keep], m[keep]
         _, once = np.unique(mix(a.view(np.uint64)) * np.uint64(3) + b.view(np.uint64), return_index=True)
         once.sort()
         a, b, n, m = a[once], b[once], n[once], m[once]
         some, where = np.unique(np.r_[a, b], return_inverse=True)
         heads = self.kind.heads(some)
-        differ = np.bitwise_count(heads[where[: len(a)]] ^ heads[where[len(a) :]])
-        for k in np.flatnonzero(self.kind.possible(differ, n, m)).tolist():
-            one, other = int(a[k]), int(b[k])
-            if self.groups.root(one) != self.groups.root(other) and self._alike(one, int(n[k]), other, int(m[k])):
+        keep = self.kind.possible(np.bitwise_count(heads[where[: len(a)]] ^ heads[where[len(a) :]]), n, m)
+        a, b, n, m = a[keep], b[keep], n[keep], m[keep]
+        linked = self.kind.surely(a, b, n, m)
+        self._join(a[linked], b[linked])
+        rest = ~linked
+        for one, x, other, y in zip(a[rest].tolist(), n[rest].tolist(), b[rest].tolist(), m[rest].tolist(), strict=True):
+            if self.groups.root(one) != self.groups.root(other) and self._alike(one, x, other, y):
                 self.groups.join(one, other)
                 self.found.append((one, other))
 
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.found += [pair for pair in zip(a.tolist(), b.tolist(), strict=True) if self.groups.join(*pair)]
+
+    def _flush(self, least: int) -> None:
+        """Compare the pairs that are held, if there are `least`."""
+        if self.many >= least:
+            whole = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            for k in range(0, self.many, PAIRS):
+                self._pairs(*(x[k : k + PAIRS] for x in whole))
+            self.held, self.many = [], 0
+
+    def _out(self) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in self.found], pa.int64()), "b": pa.array([x for _, x in self.found], pa.int64())})
+            self.found = []
+
     def links(self, batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b) that connect what is linked. Columns of the rows: the key, place, n and after."""
         kind = self.kind
@@ -129,22 +179,18 @@ class Meeting:
             sizes, after = (batch.column(c).to_numpy()[some].astype(np.int64) for c in ("n", "after"))
             length = length[length > 1]
             edge = np.cumsum(length) - length
-            at, off, pairs, held = np.flatnonzero(np.repeat(length <= self.tile, length)), 0, [], 0
+            at, off = np.flatnonzero(np.repeat(length <= self.tile, length)), 0
             while len(at):
                 off += 1
                 at = at[at + off < len(keys)]
                 # Sorted by size, the others are out of reach from here on.
                 at = at[(keys[at] == keys[at + off]) & (kind.percent * sizes[at + off] <= 100 * sizes[at])]
                 near = at[np.minimum(after[at], after[at + off]) + 1 >= kind.need(sizes[at], sizes[at + off])]
-                pairs.append((places[near], places[near + off], sizes[near], sizes[near + off]))
-                held += len(near)
-                if held >= PAIRS or not len(at):
-                    whole = [np.concatenate(x) for x in zip(*pairs, strict=True)]
-                    for k in range(0, held, PAIRS):
-                        self._pairs(*(x[k : k + PAIRS] for x in whole))
-                    pairs, held = [], 0
+                self.held.append((places[near], places[near + off], sizes[near], sizes[near + off], after[near], after[near + off]))
+                self.many += len(near)
+                self._flush(PAIRS)
             for start, size in zip(edge[length > self.tile].tolist(), length[length > self.tile].tolist(), strict=True):
                 self._tiles(places[start : start + size], sizes[start : start + size], after[start : start + size])
-            if self.found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in self.found], pa.int64()), "b": pa.array([x for _, x in self.found], pa.int64())})
-                self.found = []
+            yield from self._out()
+        self._flush(1)
+        yield from self._out()
