@@ -7,7 +7,7 @@ from pvspark.llm import license, quality
 SPACES = r"[ \x09-\x0D]+"
 
 
-def quality_rules(max_texts: int = quality.MAX_TEXTS, min_left: float = quality.MIN_LEFT) -> str:
+def quality_rules(share: float = quality.SHARE, least: int = quality.LEAST, min_left: float = quality.MIN_LEFT) -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '{SPACES}'), lambda x: x <> '') AS ws FROM d),
@@ -21,7 +21,9 @@ dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_
 normed AS (
   SELECT r, host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[^\p{{L}}0]+', ' ', 'g')) AS norm,
     len(list_filter(string_split_regex(line, '{SPACES}'), lambda x: x <> '')) AS n FROM lines),
-common AS (SELECT host, norm FROM normed WHERE norm <> '' GROUP BY host, norm HAVING count(DISTINCT t) > {max_texts}),
+sizes AS (SELECT host, count(*) AS documents FROM d GROUP BY host),
+common AS (SELECT host, norm FROM normed JOIN sizes USING (host) WHERE norm <> '' GROUP BY host, norm, documents
+  HAVING count(DISTINCT r) > {least} AND count(DISTINCT r) > CAST({share} AS DOUBLE) * documents),
 gone AS (SELECT r, count(*) AS lines, sum(n) AS words FROM normed JOIN common USING (host, norm) GROUP BY r),
 counted AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(list_aggregate(list_concat([''], ws), 'string_agg', '')) AS BIGINT) AS word_chars,

@@ -1,10 +1,10 @@
-"""Quality rules: word and line counts of one text, and lines that many texts of one host share.
+"""Quality rules: word and line counts of one text, and lines that many documents of one host share.
 
 Everything is native: higher-order functions inside a row, hash aggregates and joins between rows.
 
-Null text counts as empty, a null host as the host ''. Repeated rows give repeated rows. A document is told apart by its
+Null text counts as empty, a null host as the host ''. Repeated rows give repeated rows and are documents of their own. A document is told apart by its
 doc_id and the 64-bit hash of its text, so that rows which share a doc_id, or have none, don't mix. Columns of the input
-that clash with the names used here are not read and don't matter.
+that clash with the names used here are not read and don't matter. An empty table gives no rows; texts are counted whole, however long.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pvspark.llm.shared import stored
 
 SPACES = r"[ \x09-\x0D]+"
 MIN_WORDS = 50
-#: A line goes from a host once more than this many different texts of that host hold it ...
-MAX_TEXTS = 200
+#: A line goes from a host once more than this share of that host's documents hold it, and more than this many ...
+SHARE, LEAST = 0.2, 20
 #: ... and a document goes with it if fewer than this share of its words is left.
 MIN_LEFT = 0.3
 
@@ -88,22 +88,23 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs[host], F.lit("")).alias("host"), F.xxhash64(text).alias("content"), *counts(docs["text"]), lines.alias("lines"))
 
 
-def frequent_lines(rows: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """Per host and text the lines that more than `max_texts` different texts of that host hold.
+def frequent_lines(rows: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """Per host the lines (their hashes, `frequent`) that more than `share` of its documents hold, and more than `least`.
 
-    `rows` comes from `measured`. Columns host, content, frequent (the lines' hashes). Copies of a text count once: they
-    are the business of deduplication, and don't make a page's own lines boilerplate. Counts are partial before each
-    shuffle, so a line which a third of all texts share costs one row per task there.
+    `rows` comes from `measured`. Counts are partial before each shuffle, so a line which a third of all documents share costs one row per task there. A host
+    has at most 1 / share times as many such lines as its documents have on average.
     """
-    lines = rows.select("host", "content", F.explode("lines.line").alias("line")).distinct()
-    texts = F.count("*").alias("texts")  # as lines are distinct, one row per text
-    common = lines.groupBy("host", "line").agg(texts).filter(F.col("texts") > max_texts).drop("texts")
-    return lines.join(common, ["host", "line"]).groupBy("host", "content").agg(F.collect_list("line").alias("frequent"))
+    documents = rows.groupBy("host").agg(F.count("*").alias("documents"))
+    lines = rows.select("host", F.explode(F.array_distinct("lines.line")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("holders"))
+    # Few lines pass the second limit; the first one needs the size of their host.
+    common = lines.filter(F.col("holders") > least).join(documents, "host").filter(F.col("holders") > F.lit(share) * F.col("documents"))
+    return common.groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
-def judged(rows: DataFrame, max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
-    """`measured` rows with frequent, removed_lines, removed_words, base_failed and kept."""
-    rows = rows.join(frequent_lines(rows, max_texts), ["host", "content"], "left")
+def judged(rows: DataFrame, share: float = SHARE, least: int = LEAST, min_left: float = MIN_LEFT) -> DataFrame:
+    """`measured` rows with frequent (of their host), removed_lines, removed_words, base_failed and kept."""
+    # Written, so that its size decides whether it is broadcast; beyond that a host with very many documents is split.
+    rows = rows.join(stored(frequent_lines(rows, share, least), "frequent"), "host", "left")
     gone = F.when(F.col("frequent").isNotNull(), F.filter("lines", lambda x: F.array_contains(F.col("frequent"), x["line"])))
     rows = rows.withColumns({
         "removed_lines": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
@@ -114,22 +115,22 @@ def judged(rows: DataFrame, max_texts: int = MAX_TEXTS, min_left: float = MIN_LE
     return rows.withColumn("kept", ~F.col("base_failed") & left)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per document: counts, base_failed, removed_lines, removed_words, kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated three-word windows. kept: not base_failed,
     and at least `min_left` of the words stand in lines that stay.
     """
-    rows = judged(stored(measured(docs, host), "quality"), max_texts, min_left)
+    rows = judged(stored(measured(docs, host), "quality"), share, least, min_left)
     return rows.select(
         "doc_id", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
         "base_failed", "kept", "removed_lines", "removed_words",
     )
 
 
-def clean(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that are kept, without their frequent lines; all columns of the input."""
-    verdicts = judged(stored(measured(docs, host), "quality"), max_texts, min_left)
+    verdicts = judged(stored(measured(docs, host), "quality"), share, least, min_left)
     # Rows with the same doc_id, host and text have the same verdict.
     verdicts = verdicts.filter("kept").select(
         F.col("doc_id").alias("__doc"), F.col("host").alias("__host"), F.col("content").alias("__content"), F.col("frequent").alias("__frequent")

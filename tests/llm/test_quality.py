@@ -40,30 +40,42 @@ def test_counts_of_odd_texts(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
 
 
-@pytest.mark.parametrize(("most", "left"), [(quality.MAX_TEXTS, quality.MIN_LEFT), (1, 0.9), (0, 0.3)])
-def test_equals_sql(spark, most, left):
+@pytest.mark.parametrize(("share", "least", "left"), [(quality.SHARE, quality.LEAST, quality.MIN_LEFT), (0.05, 1, 0.9), (0.0, 0, 0.3), (0.1, 2, 0.95)])
+def test_equals_sql(spark, share, least, left):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    same(quality.quality_rules(docs, max_texts=most, min_left=left), connect(), oracle.quality_rules(most, left))
+    same(quality.quality_rules(docs, share=share, least=least, min_left=left), connect(), oracle.quality_rules(share, least, left))
 
 
-def test_lines_are_counted_once_per_text_and_per_host(spark):
-    rows = [(k, f"Follow us, now!\n{own(k)}", "en", "a") for k in range(4)] + [(9, f"follow us now\n{own(9)}", "en", "b")]
-    rows += [(20 + k, f"{own(99)}\nsame page", "en", "a") for k in range(6)]  # six copies of one text
-    got = {r.doc_id: r for r in quality.quality_rules(documents(spark, rows), max_texts=3).collect()}
-    assert [got[k].removed_lines for k in range(4)] == [1] * 4 and [got[k].removed_words for k in range(4)] == [3] * 4
-    assert got[9].removed_lines == 0 and got[20].removed_lines == 0 and all(r.kept for r in got.values())
+def test_lines_are_counted_once_per_document_and_per_host(spark):
+    rows = [(k, f"Follow us, now!\n{own(k)}\nfollow us now", "en", "a") for k in range(4)] + [(9, f"follow us now\n{own(9)}", "en", "b")]
+    rows += [(20 + k, f"{own(20 + k)}\n{'twice on a page' if k < 3 else 'else'}" + "\ntwice on a page" * (k == 0), "en", "a") for k in range(6)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in quality.quality_rules(docs, share=0.3, least=3).collect()}
+    # Four of the ten documents of host a hold the line, on two lines each; three hold the other one.
+    assert [got[k].removed_lines for k in range(4)] == [2] * 4 and [got[k].removed_words for k in range(4)] == [6] * 4
+    assert got[9].removed_lines == 0 and all(got[20 + k].removed_lines == 0 for k in range(6)) and all(r.kept for r in got.values())
+    assert all(r.removed_lines == 0 for r in quality.quality_rules(docs, share=0.4, least=3).collect())
+    assert all(r.removed_lines == 0 for r in quality.quality_rules(docs, share=0.3, least=4).collect())
+
+
+def test_the_verdict_is_alike_at_every_size(spark):
+    """Ten times the documents, ten times the holders: the same lines go."""
+    for n in (40, 400):
+        rows = [(k, f"{'menu of all pages' if k % 4 == 0 else ''}\n{own(k % 100)} {k}\n{'seldom seen' if k % 10 == 0 else ''}", "en", "a") for k in range(n)]
+        got = quality.quality_rules(documents(spark, rows), share=0.2, least=3).filter("removed_lines > 0")
+        assert {r.doc_id for r in got.collect()} == {k for k in range(n) if k % 4 == 0}
 
 
 def test_clean_takes_lines_out_and_drops_the_depleted(spark):
     menu = "\n".join(f"menu entry number {w} of this site here" for w in "abcdefghij")
     rows = [(k, f"{menu}\n{own(k)}") for k in range(4)] + [(4, f"{menu}\nhardly a word"), (5, None), (6, "short"), (None, own(77))]
     docs = documents(spark, rows)
-    out = quality.clean(docs, max_texts=3, min_left=0.3)
+    out = quality.clean(docs, share=0.3, least=3, min_left=0.3)
     assert out.columns == docs.columns
     got = {r.doc_id: r.text for r in out.collect()}
     assert got == {**{k: own(k) for k in range(4)}, None: own(77)}
     twice = docs.union(docs)
-    assert quality.clean(twice, max_texts=3).count() == 2 * out.count()
+    assert quality.clean(twice, share=0.3, least=3).count() == 2 * out.count()
 
 
 def test_empty_table(spark):
