@@ -38,7 +38,7 @@ FROM counted"""
 
 def scan_licenses() -> str:
     cases = " ".join(
-        f"WHEN s = '{known}' OR ends_with(s, ' {known}') THEN '{name}'"
+        f"WHEN {' OR '.join(f"ends_with(' ' || s, ' {no} {known}')" for no in license.NEGATIONS)} THEN NULL WHEN s = '{known}' OR ends_with(s, ' {known}') THEN '{name}'"
         for name, known in sorted(license.SENTENCES.items(), key=lambda x: -len(x[1]))
     )
     told = " OR ".join(f"contains(s, '{k}')" for k in license.KEYWORDS)
@@ -54,14 +54,19 @@ def scan_licenses() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 parts AS (SELECT r, unnest(string_split_regex(t, '{license.ENDS}')) AS p, generate_subscripts(string_split_regex(t, '{license.ENDS}'), 1) AS i FROM d),
 normed AS (SELECT r, i, trim(regexp_replace(replace(lower(p), 'licence', 'license'), '[^a-z0-9.]+', ' ', 'g')) AS s FROM parts),
-named AS (SELECT r, i, CASE {cases} ELSE '?' END AS id FROM normed WHERE {told}),
+named AS (SELECT r, i, coalesce(CASE {cases} END, '?') AS id FROM normed WHERE {told}),
 texts AS (
   SELECT r, string_agg('<' || id || '>', '' ORDER BY i) AS rest, CAST([] AS VARCHAR[]) AS found, count(*) AS n_sentences,
     count(*) FILTER (id <> '?') AS n_known, string_agg(id, ',' ORDER BY i) FILTER (id <> '?') AS sentence_ids FROM named GROUP BY r),
-{", ".join(steps)}
+{", ".join(steps)},
+tags AS (SELECT r, list_filter(string_split_regex(array_to_string(regexp_extract_all(t, '{license.TAG}', 1), ' '), '{license.BETWEEN}'), lambda x: x NOT IN ('', 'OR', 'AND', 'WITH')) AS names
+  FROM d WHERE contains(t, 'SPDX-License-Identifier')),
+named_all AS (SELECT d.r, list_concat(coalesce({last}.found, []), list_filter(coalesce(tags.names, []), lambda x: NOT list_contains(coalesce({last}.found, []), x))) AS names
+  FROM d LEFT JOIN {last} USING (r) LEFT JOIN tags USING (r)),
+once AS (SELECT r, list_filter(names, lambda x, i: list_position(names, x) = i) AS names FROM named_all)
 SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(sentence_ids, '') AS sentence_ids,
-  coalesce(array_to_string({last}.found, ','), '') AS licenses
-FROM d LEFT JOIN texts USING (r) LEFT JOIN {last} USING (r)"""
+  array_to_string(CASE WHEN len(once.names) > 1 THEN list_filter(once.names, lambda x: x <> 'Proprietary') ELSE once.names END, ',') AS licenses
+FROM d LEFT JOIN texts USING (r) JOIN once USING (r)"""
 
 
 JACCARD = rf"""
