@@ -124,14 +124,19 @@ class Meeting:
 
     def _stars(self, places: np.ndarray, sizes: np.ndarray, start: int, left: int, possible: np.ndarray) -> None:
         """Join what one look shows to be linked, row by row, unless it is in the row's group by then."""
-        for i in np.flatnonzero(possible.any(axis=1)).tolist():
-            root = self.groups.root(int(places[start + i]))
-            ends = left + np.flatnonzero(possible[i])
-            ends = ends[[self.groups.root(p) != root for p in places[ends].tolist()]]
+        rows, columns = places[start : start + possible.shape[0]], places[left : left + possible.shape[1]]
+        of_row, of_column = self.groups.roots(rows.tolist()), self.groups.roots(columns.tolist())
+        apart = possible & (of_row[:, None] != of_column[None, :])
+        for i in np.flatnonzero(apart.any(axis=1)).tolist():
+            ends = np.flatnonzero(apart[i] & (of_column != of_row[i]))
             if len(ends):
-                one = np.full(len(ends), start + i)
-                ends = ends[self.kind.surely(places[one], places[ends], sizes[one], sizes[ends])]
-                self._join(places[np.full(len(ends), start + i)], places[ends])
+                one = np.full(len(ends), i)
+                ends = ends[self.kind.surely(rows[one], columns[ends], sizes[start + one], sizes[left + ends])]
+            if len(ends):
+                old = np.unique(np.r_[of_row[i], of_column[ends]])
+                self._join(rows[np.full(len(ends), i)], columns[ends])
+                for roots in (of_row, of_column):
+                    roots[np.isin(roots, old)] = old[0]
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> None:
         """Pairs of places, with their sizes and what follows the key. A pair may be there for several keys."""
