@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pvspark.llm import frequency
 from pvspark.llm.graph import components
 from pvspark.llm.mapped import Reader, Writer
-from pvspark.llm.meeting import Meeting
+from pvspark.llm.meeting import BITS, NONE, Meeting, buckets, packed, unpacked
 from pvspark.llm.shared import mounted, new_folder, ship, stored
 from pvspark.llm.words import MARKS, hashes, mix, parts, task
 
@@ -102,8 +102,10 @@ def pairs_of(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return of[inside], value
 
 
-def prefixes(words: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines, keys, and how many pairs of the line come after each; any two lines within the edit distance share a key. At most _LINES lines.
+def prefixes(words: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, keys, how many pairs of the line come after each, and the key before it. At most _LINES lines.
+
+    Any two lines within the edit distance share a key.
 
     A pair of words that a line holds again is another one there. A line of n words shares at least least(n) pairs with a line that is
     linked to it, so it takes all but least(n) - 1 of them. Lines under four words have no near ones.
@@ -121,8 +123,9 @@ def prefixes(words: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.
     pos = place - np.repeat(np.cumsum(count) - count, count)
     early = pos < np.repeat(np.where(size < 4, 0, size - least(size)), count)
     line, value, again, pos = line[early], value[early], again[early], pos[early]
-    # 40 bits, as every byte of a key is written for each line; equal ones only cost comparisons.
-    return line, (mix(value + (again.astype(np.uint64) << _HASH)) >> np.uint64(24)).astype(np.int64), count[line] - pos - 1
+    # Few bits, as every byte of a key is written for each line.
+    key = (mix(value + (again.astype(np.uint64) << _HASH)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return line, key, count[line] - pos - 1, np.where(pos == 0, NONE, np.r_[NONE, key[:-1]][: len(key)])
 
 
 def least(n):
@@ -253,7 +256,7 @@ class Lines:
             places, where = np.unique(np.r_[a[some], b[some]], return_inverse=True)
             size = np.empty(len(places), np.int64)
             size[where] = np.r_[n[some], m[some]]
-            line, key, _ = prefixes(self.files.ragged(places, HEAD, size), size, self.rank)
+            line, key, _, _ = prefixes(self.files.ragged(places, HEAD, size), size, self.rank)
             # The keys before the one at which the pair meets, of either line.
             before = size[where] - 2 - np.r_[after_a[some], after_b[some]]
             at = np.repeat(np.searchsorted(line, where), before) + np.arange(int(before.sum())) - np.repeat(np.cumsum(before) - before, before)
@@ -302,20 +305,18 @@ def _counted(folder: str):
     return read
 
 
-def _prefixes(folder: str, rank: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(folder: str, rank: np.ndarray, count: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for places, size, words in _some(folder, batches):
-            line, key, after = prefixes(words, size, rank)
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(key), "place": pa.array(places[line], pa.int64()), "n": pa.array(size[line].astype(np.int32)), "after": pa.array(after.astype(np.int32)),
-            })
+            line, key, after, before = prefixes(words, size, rank)
+            yield key, places[line], size[line], after, before
 
-    return task(run)
+    return task(lambda batches: packed(rows(batches), count))
 
 
 def _links(folder: str, rank: np.ndarray, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from Meeting(Lines(folder, rank), tile, 16 * tile).links(batches, "key")
+        yield from Meeting(Lines(folder, rank), tile, 16 * tile).links(unpacked(batches), "key")
 
     return task(run)
 
@@ -337,9 +338,9 @@ def duplicate_lines(docs: DataFrame, folder: str | None = None) -> DataFrame:
     long = different.filter("n > 3").select("place", "n")
     total = long.agg(F.sum(F.col("n") - 1)).first()[0] or 0
     rank = frequency.ranks(long, _counted(folder), total)
-    shared, tile = spark.sparkContext.broadcast(rank), TILE
-    meet = long.mapInArrow(lambda x: _prefixes(folder, shared.value)(x), "key long, place long, n int, after int")
-    meet = meet.repartition("key").sortWithinPartitions("key", "n", "place")
+    shared, tile, count = spark.sparkContext.broadcast(rank), TILE, buckets(total)
+    meet = long.mapInArrow(lambda x: _prefixes(folder, shared.value, count)(x), "bucket long, rows long, data binary")
+    meet = meet.repartition("bucket").sortWithinPartitions("bucket")
     groups = components(meet.mapInArrow(lambda x: _links(folder, shared.value, tile)(x), "a long, b long"))
     # Only lines that occur again or are linked can have anything to remove.
     of = different.join(groups, different["place"] == groups["id"], "left").filter("times > 1 OR root IS NOT NULL").select("line", F.coalesce("root", "place").alias("group"))

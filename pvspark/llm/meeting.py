@@ -2,12 +2,17 @@
 
 Rows of a task are sorted by key, size and place. A row tells how many elements its set has after the key's, in the order that all sets share. A
 linked pair is compared at the first element it shares, if not before: there, what follows in both sets is enough for a link. So pairs whose rest is
-too short are left to another key, or aren't linked.
+too short are left to another key, or aren't linked. A row may also tell the key that comes before this one in its set: two rows with the same one
+have met there.
+
+Rows can be packed: a task sorts those of many sets by bucket, a range of keys, and hands on one row per bucket. What is shuffled then has as many
+rows as there are buckets, and bytes of one kind lie together, so that they compress.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -18,6 +23,13 @@ from pvspark.llm.words import mix
 
 #: Pairs that are worked on at once.
 PAIRS = 1 << 16
+#: Keys are whole numbers below 2 ** BITS where they are packed.
+BITS = 40
+#: Rows of a bucket, about, and rows that a task packs at once.
+BUCKET, HELD = 1 << 16, 1 << 21
+#: The key before a row's where there is none.
+NONE = -1
+_KINDS = {"key": np.int64, "place": np.int64, "n": np.int32, "after": np.int32, "before": np.int64}
 
 
 class Kind(Protocol):
@@ -65,6 +77,57 @@ def _joined(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
+def buckets(rows: int) -> int:
+    """How many buckets about so many rows make, all of equal range."""
+    return min(rows // BUCKET + 1, 1 << 22)
+
+
+def packed(rows: Iterator[tuple[np.ndarray, ...]], count: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, rows, data) from key, place, n, after and before, given as arrays of some rows at a time."""
+    held, many = [], 0
+    for some in chain(rows, [None]):
+        if some is not None:
+            held.append(some)
+            many += len(some[0])
+        if many and (some is None or many >= HELD):
+            whole = [np.concatenate(x).astype(kind) for x, kind in zip(zip(*held, strict=True), _KINDS.values(), strict=True)]
+            order = np.argsort(whole[0])
+            whole = [x[order] for x in whole]
+            bucket = (whole[0] * count) >> BITS
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            data = [b"".join(_planes(x[a:b]) for x in whole) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            for k in range(0, len(data), 1024):
+                part = slice(k, k + 1024)
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(bucket[edge[:-1]][part]), "rows": pa.array(np.diff(edge)[part]), "data": pa.array(data[part], pa.binary()),
+                })
+            held, many = [], 0
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `packed` has packed, one batch per bucket, sorted by key, size and place. Rows of a bucket come one after another."""
+    for batch in runs(batches, "bucket"):
+        bucket = batch.column("bucket").to_numpy()
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        counts, data = batch.column("rows").to_pylist(), batch.column("data")
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            columns = {k: [] for k in _KINDS}
+            for i in range(a, b):
+                view, at = np.frombuffer(data[i].as_buffer(), np.uint8), 0
+                for k, kind in _KINDS.items():
+                    size = np.dtype(kind).itemsize * counts[i]
+                    columns[k].append(np.ascontiguousarray(view[at : at + size].reshape(-1, counts[i]).T).view(kind).reshape(-1))
+                    at += size
+            whole = {k: np.concatenate(x) for k, x in columns.items()}
+            order = np.lexsort((whole["place"], whole["n"], whole["key"]))
+            yield pa.RecordBatch.from_pydict({k: pa.array(x[order]) for k, x in whole.items()})
+
+
 class Meeting:
     """Groups of one task. Keys with up to `tile` rows are compared all at once, others in tiles of `tile` x `columns`."""
 
@@ -87,7 +150,7 @@ class Meeting:
         first = self.groups.root(places[0])
         return all(self.groups.root(p) == first for p in places)
 
-    def _tiles(self, places: np.ndarray, sizes: np.ndarray, after: np.ndarray) -> None:
+    def _tiles(self, places: np.ndarray, sizes: np.ndarray, after: np.ndarray, before: np.ndarray | None) -> None:
         """All rows of one key."""
         listed, kind = places.tolist(), self.kind
         if self._one_group(listed):
@@ -103,6 +166,8 @@ class Meeting:
                 n, m = sizes[start:stop, None], sizes[None, left:right]
                 at, to = np.arange(start, stop)[:, None], np.arange(left, right)[None, :]
                 possible = (to > at) & (to < most[start:stop, None]) & (np.minimum(after[start:stop, None], after[None, left:right]) + 1 >= kind.need(n, m))
+                if before is not None:
+                    possible &= (before[start:stop, None] != before[None, left:right]) | (before[start:stop, None] == NONE)
                 if possible.any():
                     possible &= kind.possible(np.bitwise_count(rows[:, None, :] ^ kind.heads(places[left:right])[None, :, :]), n, m)
                     self._stars(places, sizes, start, left, possible)
@@ -174,7 +239,7 @@ class Meeting:
             self.found = []
 
     def links(self, batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b) that connect what is linked. Columns of the rows: the key, place, n and after."""
+        """Pairs (a, b) that connect what is linked. Columns of the rows: the key, place, n and after, and before where it is known."""
         kind = self.kind
         for batch in runs(batches, key):
             keys = batch.column(key).to_numpy()
@@ -182,6 +247,7 @@ class Meeting:
             some = np.flatnonzero(np.repeat(length > 1, length))
             keys, places = keys[some], batch.column("place").to_numpy()[some]
             sizes, after = (batch.column(c).to_numpy()[some].astype(np.int64) for c in ("n", "after"))
+            before = batch.column("before").to_numpy()[some] if "before" in batch.schema.names else None
             length = length[length > 1]
             edge = np.cumsum(length) - length
             at, off = np.flatnonzero(np.repeat(length <= self.tile, length)), 0
@@ -191,11 +257,13 @@ class Meeting:
                 # Sorted by size, the others are out of reach from here on.
                 at = at[(keys[at] == keys[at + off]) & (kind.percent * sizes[at + off] <= 100 * sizes[at])]
                 near = at[np.minimum(after[at], after[at + off]) + 1 >= kind.need(sizes[at], sizes[at + off])]
+                if before is not None:
+                    near = near[(before[near] != before[near + off]) | (before[near] == NONE)]
                 self.held.append((places[near], places[near + off], sizes[near], sizes[near + off], after[near], after[near + off]))
                 self.many += len(near)
                 self._flush(PAIRS)
             for start, size in zip(edge[length > self.tile].tolist(), length[length > self.tile].tolist(), strict=True):
-                self._tiles(places[start : start + size], sizes[start : start + size], after[start : start + size])
+                self._tiles(*(None if x is None else x[start : start + size] for x in (places, sizes, after, before)))
             yield from self._out()
         self._flush(1)
         yield from self._out()
