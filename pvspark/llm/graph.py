@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,26 +35,6 @@ class Groups:
     def roots(self, keys: list) -> np.ndarray:
         return np.array([self.root(k) for k in keys], np.int64)
 
-    def link(self, rows: list, columns: list, possible: np.ndarray, alike: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-        """Join what `alike` says of the pairs that are `possible` (a matrix), but don't ask for pairs that are in one group by then.
-
-        Returns the pairs joined. A group of k is asked for about k times, however many pairs it has.
-        """
-        found = []
-        of_row, of_column = self.roots(rows), self.roots(columns)
-        possible = possible & (of_row[:, None] != of_column[None, :])
-        for i in np.flatnonzero(possible.any(axis=1)).tolist():
-            rest = np.flatnonzero(possible[i])
-            while len(rest := rest[of_column[rest] != of_row[i]]):
-                j, rest = int(rest[0]), rest[1:]
-                if alike(i, j):
-                    old = of_row[i], of_column[j]
-                    self.join(rows[i], columns[j])
-                    found.append((rows[i], columns[j]))
-                    for roots in (of_row, of_column):
-                        roots[(roots == old[0]) | (roots == old[1])] = min(old)
-        return found
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in `edges` (a, b): root is the smallest id that can be reached. Links of an id to itself and nulls don't count.

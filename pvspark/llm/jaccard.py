@@ -179,9 +179,18 @@ class Comparison:
     def possible(self, differ: np.ndarray, n, m) -> np.ndarray:
         return (n + m - differ.sum(axis=-1, dtype=np.int64)) // 2 >= _need(n, m)
 
+    def wide(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.zeros((len(places), 0), np.uint64)
+
+    def within(self, differ: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.ones(len(differ), bool)
+
     def surely(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return np.zeros(len(a), bool)
 
+    def maybe(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.ones(len(a), bool)
+
     def first(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> np.ndarray:
         return np.ones(len(a), bool)
 

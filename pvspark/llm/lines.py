@@ -38,6 +38,8 @@ TILE = 64
 #: Parities of a line's words and its SimHash, in numbers of 64 bits; in 32-bit numbers, they come before its words in its file.
 MARK = 4
 HEAD = 2 * (MARK + 1)
+#: Numbers of 64 bits with the parities of lines that meet many others at a key.
+WIDE = 16
 #: Of the hash of a pair of words 44 bits count; equal ones only cost comparisons.
 _HASH = np.uint64(44)
 _LINES = 1 << 14
@@ -229,6 +231,19 @@ class Lines:
         # An edit turns over two parities at most.
         return (differ[..., MARK] <= NEAR) | (differ[..., :MARK].sum(axis=-1, dtype=np.int64) <= 2 * (m * (100 - PERCENT) // 100))
 
+    def wide(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.empty((len(places), WIDE), np.uint64)
+        for k in range(0, len(places), 1024):
+            size = sizes[k : k + 1024]
+            line = np.repeat(np.arange(len(size)), size)
+            bit = self.files.ragged(places[k : k + 1024], HEAD, size) % np.uint32(64 * WIDE)
+            count = np.bincount(line * (64 * WIDE) + bit, minlength=len(size) * 64 * WIDE)
+            out[k : k + 1024] = np.packbits((count & 1).astype(np.uint8)).view(np.uint64).reshape(-1, WIDE)
+        return out
+
+    def within(self, differ: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return differ <= 2 * (m * (100 - PERCENT) // 100)
+
     def words(self, place: int, n: int) -> np.ndarray:
         return self.files.at(place, HEAD, n)
 
@@ -246,6 +261,27 @@ class Lines:
             start = stop
         return out
 
+    def maybe(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Lines that share enough words, wherever they stand."""
+        out = np.empty(len(a), bool)
+        total, start = np.cumsum(n + m), 0
+        while start < len(a):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _WORDS, "right")))
+            some = slice(start, stop)
+            # Pair, word and side in one integer of 31, 32 and 1 bits.
+            sides = []
+            for side, (places, size) in enumerate(((a[some], n[some]), (b[some], m[some]))):
+                pair = np.repeat(np.arange(stop - start, dtype=np.uint64), size)
+                sides.append(pair << np.uint64(33) | self.files.ragged(places, HEAD, size).astype(np.uint64) << np.uint64(1) | np.uint64(side))
+            code = np.sort(np.concatenate(sides))
+            edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            count, code = np.diff(np.r_[edge, len(code)]), code[edge]
+            both = np.flatnonzero(code[:-1] ^ code[1:] == np.uint64(1))
+            shared = np.bincount((code[both] >> np.uint64(33)).astype(np.int64), np.minimum(count[both], count[both + 1]), stop - start)
+            out[some] = shared >= m[some] - m[some] * (100 - PERCENT) // 100
+            start = stop
+        return out
+
     def first(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), bool)
         total, start = np.cumsum(n + m), 0
@@ -270,15 +306,7 @@ class Lines:
 
     def alike(self, a: int, n: int, b: int, m: int) -> bool:
         most = max(n, m) * (100 - PERCENT) // 100
-        one, other = self.words(a, n), self.words(b, m)
-        return (max(n, m) < 200 or _shared(one, other) >= max(n, m) - most) and edit_distance(one, other, most) <= most
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Words that both lines hold, as often as both do."""
-    (x, m), (y, n) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(m[i], n[j]).sum())
+        return edit_distance(self.words(a, n), self.words(b, m), most) <= most
 
 
 def _some(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

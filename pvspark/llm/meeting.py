@@ -46,9 +46,18 @@ class Kind(Protocol):
     def possible(self, differ: np.ndarray, n, m) -> np.ndarray:
         """Whether a pair can be linked; `differ` has the number of different bits of each integer of their heads."""
 
+    def wide(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A longer row of 64-bit integers per place, for keys with many rows."""
+
+    def within(self, differ: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Whether pairs can be linked whose long rows differ in so many bits."""
+
     def surely(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Pairs that a look at all of them at once shows to be linked; of the others nothing is known."""
 
+    def maybe(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Pairs that a closer look at all of them at once can't rule out."""
+
     def first(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> np.ndarray:
         """Pairs that share nothing before the key at which they meet. The others have been compared there, or will be, maybe by another task."""
 
@@ -87,21 +96,26 @@ def packed(rows: Iterator[tuple[np.ndarray, ...]], count: int) -> Iterator[pa.Re
     held, many = [], 0
     for some in chain(rows, [None]):
         if some is not None:
-            held.append(some)
+            held.append([x.astype(kind, copy=False) for x, kind in zip(some, _KINDS.values(), strict=True)])
             many += len(some[0])
         if many and (some is None or many >= HELD):
-            whole = [np.concatenate(x).astype(kind) for x, kind in zip(zip(*held, strict=True), _KINDS.values(), strict=True)]
-            order = np.argsort(whole[0])
-            whole = [x[order] for x in whole]
-            bucket = (whole[0] * count) >> BITS
-            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            data = [b"".join(_planes(x[a:b]) for x in whole) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            for k in range(0, len(data), 1024):
-                part = slice(k, k + 1024)
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(bucket[edge[:-1]][part]), "rows": pa.array(np.diff(edge)[part]), "data": pa.array(data[part], pa.binary()),
-                })
+            # Column by column, so that little more than the rows themselves is in memory.
+            columns = [list(x) for x in zip(*held, strict=True)]
             held, many = [], 0
+            key = np.concatenate(columns[0])
+            order = np.argsort(key)
+            bucket = (key[order] * count) >> BITS
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            bucket, ranges, planes = bucket[edge[:-1]], list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)), []
+            del key
+            for k in range(len(columns)):
+                column, columns[k] = np.concatenate(columns[k])[order], None
+                planes.append([_planes(column[a:b]) for a, b in ranges])
+                del column
+            for k in range(0, len(ranges), 128):
+                part = slice(k, k + 128)
+                data = [b"".join(x) for x in zip(*(x[part] for x in planes), strict=True)]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[part]), "rows": pa.array(np.diff(edge)[part]), "data": pa.array(data, pa.binary())})
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -129,11 +143,11 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Meeting:
-    """Groups of one task. Keys with up to `tile` rows are compared all at once, others in tiles of `tile` x `columns`."""
+    """Groups of one task. Keys with up to `tile` rows are compared all at once, others `tile` rows with `columns` others at a time."""
 
     def __init__(self, kind: Kind, tile: int, columns: int) -> None:
         self.kind, self.tile, self.columns = kind, tile, columns
-        self.groups, self.unlike, self.found, self.held, self.many = Groups(), set(), [], [], 0
+        self.groups, self.unlike, self.found, self.joined, self.held, self.many = Groups(), set(), [], 0, [], 0
 
     def _alike(self, a: int, n: int, b: int, m: int) -> bool:
         pair = (a, b) if a < b else (b, a)
@@ -146,84 +160,96 @@ class Meeting:
         self.unlike.add(pair)
         return False
 
-    def _one_group(self, places: list[int]) -> bool:
-        first = self.groups.root(places[0])
-        return all(self.groups.root(p) == first for p in places)
-
     def _tiles(self, places: np.ndarray, sizes: np.ndarray, after: np.ndarray, before: np.ndarray | None) -> None:
-        """All rows of one key."""
-        listed, kind = places.tolist(), self.kind
-        if self._one_group(listed):
+        """All rows of one key. Some that aren't in the largest group are compared with all that are left, until the largest group is all that is left.
+
+        So a group of alike rows is passed over once, however many pairs it has.
+        """
+        listed, left, inside = places.tolist(), np.ones(len(places), bool), np.zeros(len(places), bool)
+        roots, joined, wide = self.groups.roots(listed), self.joined, None
+        while True:
+            if joined != self.joined:
+                roots, joined = self.groups.roots(listed), self.joined
+            names, count = np.unique(roots[left], return_counts=True)
+            if len(names) < 2:
+                return
+            rows = np.flatnonzero(left & (roots != names[np.argmax(count)]))[: self.tile]
+            inside[rows] = True
+            wide = self.kind.wide(places, sizes) if wide is None else wide
+            heads = self.kind.heads(places[rows])
+            # Sorted by size, the others are out of reach.
+            low = np.searchsorted(100 * sizes, self.kind.percent * sizes[rows[0]], "left")
+            high = np.searchsorted(self.kind.percent * sizes, 100 * sizes[rows[-1]], "right")
+            others = low + np.flatnonzero(left[low:high])
+            for k in range(0, len(others), self.columns):
+                self._tile(places, sizes, after, before, rows, heads, wide, others[k : k + self.columns], inside)
+            left[rows] = inside[rows] = False
+
+    def _tile(
+        self, places: np.ndarray, sizes: np.ndarray, after: np.ndarray, before: np.ndarray | None,
+        rows: np.ndarray, heads: np.ndarray, wide: np.ndarray, columns: np.ndarray, inside: np.ndarray,
+    ) -> None:
+        """Compare `rows` with `columns`; rows `inside` both only once."""
+        kind, at, to = self.kind, rows[:, None], columns[None, :]
+        of_row, of_column = self.groups.roots(places[rows].tolist()), self.groups.roots(places[columns].tolist())
+        n, m = np.minimum(sizes[at], sizes[to]), np.maximum(sizes[at], sizes[to])
+        possible = (of_row[:, None] != of_column[None, :]) & ((to > at) | ~inside[to]) & (kind.percent * m <= 100 * n)
+        possible &= np.minimum(after[at], after[to]) + 1 >= kind.need(n, m)
+        if before is not None:
+            possible &= (before[at] != before[to]) | (before[at] == NONE)
+        if not possible.any():
             return
-        most = np.searchsorted(sizes, 100 * sizes // kind.percent, "right")
-        for start in range(0, len(places), self.tile):
-            stop = min(start + self.tile, len(places))
-            rows = kind.heads(places[start:stop])
-            for left in range(start + 1, int(most[stop - 1]), self.columns):
-                right = min(left + self.columns, int(most[stop - 1]))
-                if self._one_group(listed[start:stop] + listed[left:right]):
-                    continue
-                n, m = sizes[start:stop, None], sizes[None, left:right]
-                at, to = np.arange(start, stop)[:, None], np.arange(left, right)[None, :]
-                possible = (to > at) & (to < most[start:stop, None]) & (np.minimum(after[start:stop, None], after[None, left:right]) + 1 >= kind.need(n, m))
-                if before is not None:
-                    possible &= (before[start:stop, None] != before[None, left:right]) | (before[start:stop, None] == NONE)
-                if possible.any():
-                    possible &= kind.possible(np.bitwise_count(rows[:, None, :] ^ kind.heads(places[left:right])[None, :, :]), n, m)
-                    self._stars(places, sizes, start, left, possible)
-                    self._first(places, sizes, after, start, left, possible)
-                    self.found += self.groups.link(
-                        listed[start:stop], listed[left:right], possible,
-                        lambda i, j, a=start, b=left: self._alike(listed[a + i], int(sizes[a + i]), listed[b + j], int(sizes[b + j])),
-                    )
-
-    def _first(self, places: np.ndarray, sizes: np.ndarray, after: np.ndarray, start: int, left: int, possible: np.ndarray) -> None:
-        """Leave only pairs to compare that aren't in one group and meet here first."""
-        of = {p: self.groups.root(p) for p in {*places[start : start + len(possible)].tolist(), *places[left : left + possible.shape[1]].tolist()}}
-        rows, columns = (np.array([of[p] for p in places[k : k + n].tolist()]) for k, n in ((start, possible.shape[0]), (left, possible.shape[1])))
-        possible &= rows[:, None] != columns[None, :]
+        possible &= kind.possible(np.bitwise_count(heads[:, None, :] ^ kind.heads(places[columns])[None, :, :]), n, m)
         i, j = np.nonzero(possible)
         for k in range(0, len(i), PAIRS):
-            a, b = i[k : k + PAIRS] + start, j[k : k + PAIRS] + left
-            possible[a - start, b - left] = self.kind.first(places[a], places[b], sizes[a], sizes[b], after[a], after[b])
-
-    def _stars(self, places: np.ndarray, sizes: np.ndarray, start: int, left: int, possible: np.ndarray) -> None:
-        """Join what one look shows to be linked, row by row, unless it is in the row's group by then."""
-        rows, columns = places[start : start + possible.shape[0]], places[left : left + possible.shape[1]]
-        of_row, of_column = self.groups.roots(rows.tolist()), self.groups.roots(columns.tolist())
-        apart = possible & (of_row[:, None] != of_column[None, :])
-        for i in np.flatnonzero(apart.any(axis=1)).tolist():
-            ends = np.flatnonzero(apart[i] & (of_column != of_row[i]))
-            if len(ends):
-                one = np.full(len(ends), i)
-                ends = ends[self.kind.surely(rows[one], columns[ends], sizes[start + one], sizes[left + ends])]
-            if len(ends):
-                old = np.unique(np.r_[of_row[i], of_column[ends]])
-                self._join(rows[np.full(len(ends), i)], columns[ends])
-                for roots in (of_row, of_column):
-                    roots[np.isin(roots, old)] = old[0]
+            x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+            differ = np.bitwise_count(wide[rows[x]] ^ wide[columns[y]]).sum(axis=1, dtype=np.int64)
+            possible[x, y] = kind.within(differ, n[x, y], m[x, y])
+
+        def join(i: int, ends: np.ndarray) -> None:
+            self._join(places[np.full(len(ends), rows[i])], places[columns[ends]])
+            old = np.unique(np.r_[of_row[i], of_column[ends]])
+            for roots in (of_row, of_column):
+                roots[np.isin(roots, old)] = old[0]
+
+        for i in np.flatnonzero(possible.any(axis=1)).tolist():
+            ends = np.flatnonzero(possible[i] & (of_column != of_row[i]))
+            if not len(ends):
+                continue
+            a, b = np.minimum(rows[i], columns[ends]), np.maximum(rows[i], columns[ends])
+            linked = kind.surely(places[a], places[b], sizes[a], sizes[b])
+            if linked.any():
+                join(i, ends[linked])
+            rest = of_column[ends] != of_row[i]
+            # Whether they have met before doesn't matter: one link joins a row to a group, while each of its pairs would have to be looked up.
+            rest[rest] = kind.maybe(places[a[rest]], places[b[rest]], sizes[a[rest]], sizes[b[rest]])
+            for j, x, y in zip(ends[rest].tolist(), a[rest].tolist(), b[rest].tolist(), strict=True):
+                if of_column[j] != of_row[i] and self._alike(int(places[x]), int(sizes[x]), int(places[y]), int(sizes[y])):
+                    join(i, np.array([j]))
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> None:
         """Pairs of places, with their sizes and what follows the key. A pair may be there for several keys."""
-        keep = self.kind.first(a, b, n, m, after_a, after_b)
-        a, b, n, m = a[keep], b[keep], n[keep], m[keep]
-        _, once = np.unique(mix(a.view(np.uint64)) * np.uint64(3) + b.view(np.uint64), return_index=True)
-        once.sort()
-        a, b, n, m = a[once], b[once], n[once], m[once]
-        some, where = np.unique(np.r_[a, b], return_inverse=True)
+        # Of a pair's keys here, the one that comes first in the order of all sets.
+        early = np.argsort(-after_a, kind="stable")
+        _, once = np.unique((mix(a.view(np.uint64)) * np.uint64(3) + b.view(np.uint64))[early], return_index=True)
+        once = np.sort(early[once])
+        some, where = np.unique(np.r_[a[once], b[once]], return_inverse=True)
         heads = self.kind.heads(some)
-        keep = self.kind.possible(np.bitwise_count(heads[where[: len(a)]] ^ heads[where[len(a) :]]), n, m)
-        a, b, n, m = a[keep], b[keep], n[keep], m[keep]
-        linked = self.kind.surely(a, b, n, m)
-        self._join(a[linked], b[linked])
-        rest = ~linked
+        once = once[self.kind.possible(np.bitwise_count(heads[where[: len(once)]] ^ heads[where[len(once) :]]), n[once], m[once])]
+        once = once[self.groups.roots(a[once].tolist()) != self.groups.roots(b[once].tolist())]
+        once = once[self.kind.maybe(a[once], b[once], n[once], m[once])]
+        once = once[self.kind.first(a[once], b[once], n[once], m[once], after_a[once], after_b[once])]
+        linked = self.kind.surely(a[once], b[once], n[once], m[once])
+        self._join(a[once[linked]], b[once[linked]])
+        rest = once[~linked]
         for one, x, other, y in zip(a[rest].tolist(), n[rest].tolist(), b[rest].tolist(), m[rest].tolist(), strict=True):
             if self.groups.root(one) != self.groups.root(other) and self._alike(one, x, other, y):
-                self.groups.join(one, other)
-                self.found.append((one, other))
+                self._join(np.array([one]), np.array([other]))
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.found += [pair for pair in zip(a.tolist(), b.tolist(), strict=True) if self.groups.join(*pair)]
+        new = [pair for pair in zip(a.tolist(), b.tolist(), strict=True) if self.groups.join(*pair)]
+        self.found += new
+        self.joined += len(new)
 
     def _flush(self, least: int) -> None:
         """Compare the pairs that are held, if there are `least`."""

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -6,8 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pvspark.llm import lines
+from pvspark.llm import lines, meeting
 from pvspark.llm.graph import Groups
+from pvspark.llm.mapped import Writer
+from pvspark.llm.meeting import Meeting
 from pvspark.llm.words import MARKS, hashes
 from tests.llm.common import SF, documents, edge_rows
 
@@ -157,3 +160,91 @@ def test_odd_texts(spark):
     assert {r.doc_id for r in left.collect()} >= {1, 3, 4, 5, 6, 7, 9, 10}
     assert lines.duplicate_lines(docs.filter("false")).count() == 0 and lines.deduplicate_lines(docs.filter("false")).count() == 0
     assert lines.duplicate_lines(docs.filter("doc_id IN (3, 4, 5)")).count() == 3
+
+
+class Counting(lines.Lines):
+    """Sets of one size in groups of alike ones; counts how many pairs are looked at closely. None of them meet first at the key."""
+
+    def __init__(self, group):
+        self.group, self.looked = group, 0
+
+    def need(self, n, m):
+        return np.zeros(np.broadcast(n, m).shape, np.int64)
+
+    def heads(self, places):
+        return np.zeros((len(places), lines.MARK + 1), np.uint64)
+
+    def wide(self, places, sizes):
+        return np.zeros((len(places), 1), np.uint64)
+
+    def surely(self, a, b, n, m):
+        return np.zeros(len(a), bool)
+
+    def maybe(self, a, b, n, m):
+        self.looked += len(a)
+        return self.group[a] == self.group[b]
+
+    def first(self, a, b, n, m, after_a, after_b):
+        self.looked += len(a)
+        return np.zeros(len(a), bool)
+
+    def alike(self, a, n, b, m):
+        self.looked += 1
+        return bool(self.group[a] == self.group[b])
+
+
+def test_a_key_of_many_alike_lines_takes_no_look_at_all_pairs():
+    count = 2000
+    group = np.r_[np.zeros(count - 3, np.int64), [1, 1, 2]]
+    kind = Counting(np.random.default_rng(5).permutation(group))
+    batch = pa.RecordBatch.from_pydict({
+        "key": pa.array(np.zeros(count, np.int64)), "place": pa.array(np.arange(count)),
+        "n": pa.array(np.full(count, 50, np.int32)), "after": pa.array(np.full(count, 50, np.int32)),
+    })
+    groups = Groups()
+    for found in Meeting(kind, 64, 1024).links(iter([batch]), "key"):
+        for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True):
+            groups.join(a, b)
+    roots = groups.roots(list(range(count)))
+    assert all(len(set(roots[kind.group == g].tolist())) == 1 for g in range(3)) and len(set(roots.tolist())) == 3
+    assert kind.looked < 12 * count
+
+
+def test_maybe_counts_the_words_that_both_lines_hold(tmp_path):
+    rng = np.random.default_rng(3)
+    writer, texts, places = Writer(str(tmp_path), numbered=True), [], []
+    for _ in range(60):
+        old = texts[rng.integers(len(texts))] if texts and rng.random() < 0.8 else rng.integers(0, 12, rng.integers(4, 40)).astype(np.uint32)
+        new = old.copy()
+        new[rng.integers(0, len(new), rng.integers(0, 9))] = rng.integers(0, 1 << 32, dtype=np.uint32)
+        texts.append(rng.permutation(new))
+        places.append(writer.place(np.concatenate([np.zeros(lines.HEAD, np.uint32), texts[-1]])))
+    writer.close()
+    size = np.array([len(t) for t in texts])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    a, b = a[size[a] <= size[b]], b[size[a] <= size[b]]
+    kind = lines.Lines(str(tmp_path))
+    got = kind.maybe(np.array(places)[a], np.array(places)[b], size[a], size[b])
+    bags = [Counter(t.tolist()) for t in texts]
+    want = [(bags[i] & bags[j]).total() >= size[j] - size[j] // 5 for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    differ = np.bitwise_count(kind.wide(np.array(places)[a], size[a]) ^ kind.wide(np.array(places)[b], size[b])).sum(axis=1, dtype=np.int64)
+    assert kind.within(differ, size[a], size[b])[got].all() and not kind.within(differ, size[a], size[b]).all()
+
+
+def test_packing_holds_little_more_than_the_rows(monkeypatch):
+    count = 100_000
+    monkeypatch.setattr(meeting, "HELD", count)
+
+    def rows():
+        rng = np.random.default_rng(1)
+        for _ in range(20):
+            yield tuple(rng.integers(0, 1 << meeting.BITS, count // 20) for _ in range(5))
+
+    some = list(meeting.packed(iter([tuple(np.arange(5) for _ in range(5))]), 3))
+    assert some[0].num_rows
+    tracemalloc.start()
+    total = sum(sum(b.column("rows").to_pylist()) for b in meeting.packed(rows(), 1000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == count and most < 100 * count  # a row has 32 bytes
