@@ -5,8 +5,8 @@ when at most a fifth of the longer one's words must be changed, added or removed
 neighbouring words: d edits leave all but 2 d of the n - 1 pairs, so by the pigeonhole principle linked lines share one of the first pairs
 of each, in one order for all lines, as many as one of them must be shared by. Pairs that are frequent over all lines (counted in a fixed
 number of counters) come last in it, which changes no result. Lines that meet at a pair are compared if what follows it is long
-enough in both, which it is at the first pair that linked lines share. Lines whose 64-bit SimHashes differ in at most NEAR bits go to the edit distance straight
-away; the others only if the parities of their words allow so few edits, which loses no link. Lines that a task has linked already,
+enough in both, which it is at the first pair that linked lines share. Lines whose 64-bit SimHashes differ in at most NEAR bits are candidates; the
+others only if the parities of their words allow so few edits, which loses no link. Candidates that hold too few common words, wherever they stand, aren't linked. Lines that a task has linked already,
 directly or not, are not compared again. The words themselves lie in mapped files, written once.
 
 Of a group of linked lines the first occurrence, by doc_id (null last), text hash and line number, stays. Lines without a word are left alone. Null and
