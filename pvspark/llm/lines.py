@@ -45,6 +45,9 @@ _HASH = np.uint64(44)
 _LINES = 1 << 14
 #: Words of lines that are compared at once.
 _WORDS = 1 << 20
+#: Shifts beside those of both ends that `few_edits` tries, and places of all shifts that it looks at together.
+SIDE = 2
+_PLACES = 1 << 19
 
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
@@ -175,6 +178,42 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return distance
 
 
+def few_edits(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Pairs whose edit distance is at most `most`, if an alignment shows it that shifts words by -SIDE to m - n + SIDE places. Of others nothing is known.
+
+    The words of the pairs lie behind one another, n in `a` and m >= n in `b`. For all pairs and shifts at once, `reach` tells how many words of `a` are
+    dealt with after so many edits; equal words that follow cost nothing.
+    """
+    pair, count, width = np.arange(len(n)), int((m - n).max()) + 1 + 2 * SIDE, int(n.max()) + 1
+    # Numbers that equal nothing lie beside the words.
+    left, right = np.full((len(n), width), -1, np.int64), np.full((len(n), width + count), -2, np.int64)
+    left[np.arange(width) < n[:, None]] = a
+    place = np.arange(width + count) - SIDE
+    right[(place >= 0) & (place < m[:, None])] = b
+    # From each place on the first one at which words differ.
+    place, until = np.arange(width, dtype=np.int32), np.empty((count, len(n), width), np.int32)
+    for k in range(count):
+        until[k] = np.where(left != right[:, k : k + width], place, np.int32(width))
+    until = np.minimum.accumulate(until[:, :, ::-1], axis=2)[:, :, ::-1]
+    shift = np.arange(count)[:, None]
+    end = np.minimum(n, m - shift + SIDE)
+    reach = np.full((count, len(n)), -width - count)
+    reach[SIDE] = 0
+    out = np.zeros(len(n), bool)
+    for edits in range(int(most.max()) + 1):
+        reach = np.where(reach < 0, reach, until[shift, pair, np.maximum(reach, 0)])
+        out |= (reach[m - n + SIDE, pair] == n) & (edits <= most)
+        if out.all():
+            break
+        more = reach + 1
+        more[1:] = np.maximum(more[1:], reach[:-1])
+        more[:-1] = np.maximum(more[:-1], reach[1:] + 1)
+        # Shifts that weren't reached stay so.
+        reach = np.where(more < end, more, end)
+        reach[more < 0] = -width - count
+    return out
+
+
 def _read(folder: str):
     """A row per line with words, and one per document (line_no -1, n lines); words of lines that are new to the task go to its file."""
 
@@ -304,6 +343,20 @@ class Lines:
             start = stop
         return out
 
+    def close(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Lines that `few_edits` shows to be linked; very long ones are left to the edit distance."""
+        out = np.zeros(len(a), bool)
+        order, some = np.lexsort((n, m - n)), []
+        size, shifts, wide = (n + 1).tolist(), (m - n + 1 + 2 * SIDE).tolist(), 0
+        for k in [*order[((n + 1) * (m - n + 1 + 2 * SIDE))[order] <= _PLACES].tolist(), None]:
+            wide = 0 if k is None else max(wide, size[k])
+            if some and (k is None or (len(some) + 1) * wide * shifts[k] > _PLACES):
+                words = [self.files.ragged(places[some], HEAD, sizes[some]) for places, sizes in ((a, n), (b, m))]
+                out[some] = few_edits(*words, n[some], m[some], m[some] * (100 - PERCENT) // 100)
+                some, wide = [], 0 if k is None else size[k]
+            some.append(k)
+        return out
+
     def alike(self, a: int, n: int, b: int, m: int) -> bool:
         most = max(n, m) * (100 - PERCENT) // 100
         return edit_distance(self.words(a, n), self.words(b, m), most) <= most
@@ -344,7 +397,8 @@ def _prefixes(folder: str, rank: np.ndarray, count: int):
 
 def _links(folder: str, rank: np.ndarray, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from Meeting(Lines(folder, rank), tile, 16 * tile).links(unpacked(batches), "key")
+        lines = Lines(folder, rank)
+        yield from Meeting(lines, tile, 16 * tile, lines.close).links(unpacked(batches), "key")
 
     return task(run)
 

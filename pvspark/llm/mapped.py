@@ -88,9 +88,9 @@ class Reader:
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             rows = order[a:b]
             n = sizes[rows]
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            inside, before = np.arange(int(n.sum())), np.cumsum(n) - n
             at = (places[rows] & ((1 << POSITION) - 1)) + skip
-            out[np.repeat(ends[rows] - n, n) + inside] = self.file(str(int(files[a])))[np.repeat(at, n) + inside]
+            out[np.repeat(ends[rows] - n - before, n) + inside] = self.file(str(int(files[a])))[np.repeat(at - before, n) + inside]
         return out
 
     def at(self, place: int, skip: int, n: int) -> np.ndarray:

@@ -11,7 +11,7 @@ rows as there are buckets, and bytes of one kind lie together, so that they comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import Protocol
 
@@ -124,7 +124,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What `packed` has packed, one batch per bucket, sorted by key, size and place. Rows of a bucket come one after another."""
+    """What `packed` has packed, one batch per bucket, sorted by key, size and place, without keys of a single row. Rows of a bucket come one after another."""
     for batch in runs(batches, "bucket"):
         bucket = batch.column("bucket").to_numpy()
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
@@ -138,15 +138,31 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     columns[k].append(np.ascontiguousarray(view[at : at + size].reshape(-1, counts[i]).T).view(kind).reshape(-1))
                     at += size
             whole = {k: np.concatenate(x) for k, x in columns.items()}
-            order = np.lexsort((whole["place"], whole["n"], whole["key"]))
+            # Sorted runs one after another, as each task has sorted its rows.
+            order = np.argsort(whole["key"], kind="stable")
+            same = np.diff(whole["key"][order]) == 0
+            order = order[np.r_[False, same] | np.r_[same, False]]
+            order = order[np.lexsort((whole["place"][order], whole["n"][order], whole["key"][order]))]
             yield pa.RecordBatch.from_pydict({k: pa.array(x[order]) for k, x in whole.items()})
 
 
+def _nth(keys: np.ndarray) -> np.ndarray:
+    """How many equal keys come before each one."""
+    order = np.argsort(keys, kind="stable")
+    edge = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]][: len(keys)])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(edge, np.diff(np.r_[edge, len(keys)]))
+    return out
+
+
 class Meeting:
-    """Groups of one task. Keys with up to `tile` rows are compared all at once, others `tile` rows with `columns` others at a time."""
+    """Groups of one task. Keys with up to `tile` rows are compared all at once, others `tile` rows with `columns` others at a time.
 
-    def __init__(self, kind: Kind, tile: int, columns: int) -> None:
-        self.kind, self.tile, self.columns = kind, tile, columns
+    `close` is like `Kind.surely` and is asked about what is left, before `Kind.alike` looks at pair by pair.
+    """
+
+    def __init__(self, kind: Kind, tile: int, columns: int, close: Callable[..., np.ndarray] | None = None) -> None:
+        self.kind, self.tile, self.columns, self.close = kind, tile, columns, close
         self.groups, self.unlike, self.found, self.joined, self.held, self.many = Groups(), set(), [], 0, [], 0
 
     def _alike(self, a: int, n: int, b: int, m: int) -> bool:
@@ -201,31 +217,50 @@ class Meeting:
             return
         possible &= kind.possible(np.bitwise_count(heads[:, None, :] ^ kind.heads(places[columns])[None, :, :]), n, m)
         i, j = np.nonzero(possible)
+        differ = np.empty(len(i), np.int64)
         for k in range(0, len(i), PAIRS):
             x, y = i[k : k + PAIRS], j[k : k + PAIRS]
-            differ = np.bitwise_count(wide[rows[x]] ^ wide[columns[y]]).sum(axis=1, dtype=np.int64)
-            possible[x, y] = kind.within(differ, n[x, y], m[x, y])
-
-        def join(i: int, ends: np.ndarray) -> None:
-            self._join(places[np.full(len(ends), rows[i])], places[columns[ends]])
-            old = np.unique(np.r_[of_row[i], of_column[ends]])
-            for roots in (of_row, of_column):
-                roots[np.isin(roots, old)] = old[0]
-
-        for i in np.flatnonzero(possible.any(axis=1)).tolist():
-            ends = np.flatnonzero(possible[i] & (of_column != of_row[i]))
-            if not len(ends):
-                continue
-            a, b = np.minimum(rows[i], columns[ends]), np.maximum(rows[i], columns[ends])
-            linked = kind.surely(places[a], places[b], sizes[a], sizes[b])
-            if linked.any():
-                join(i, ends[linked])
-            rest = of_column[ends] != of_row[i]
-            # Whether they have met before doesn't matter: one link joins a row to a group, while each of its pairs would have to be looked up.
-            rest[rest] = kind.maybe(places[a[rest]], places[b[rest]], sizes[a[rest]], sizes[b[rest]])
-            for j, x, y in zip(ends[rest].tolist(), a[rest].tolist(), b[rest].tolist(), strict=True):
-                if of_column[j] != of_row[i] and self._alike(int(places[x]), int(sizes[x]), int(places[y]), int(sizes[y])):
-                    join(i, np.array([j]))
+            differ[k : k + PAIRS] = np.bitwise_count(wide[rows[x]] ^ wide[columns[y]]).sum(axis=1, dtype=np.int64)
+        near = kind.within(differ, n[i, j], m[i, j])
+        # Those that look most alike come first, and at first one pair for each row: in a group of alike rows most others then needn't be looked at.
+        order = np.argsort(differ[near], kind="stable")
+        i, j, wave = i[near][order], j[near][order], 0
+        while len(i):
+            apart = of_row[i] != of_column[j]
+            i, j = i[apart], j[apart]
+            x, y = of_row[i], of_column[j]
+            # One pair of any two groups, later on more, and for each group ever more.
+            some = np.flatnonzero(_nth(mix(np.minimum(x, y).view(np.uint64)) * np.uint64(3) + np.maximum(x, y).view(np.uint64)) < 4 ** max(wave - 4, 0))
+            _, of, count = np.unique(of_row, return_inverse=True, return_counts=True)
+            some = some[_nth(x[some]) < 4**wave * count[of[i[some]]]]
+            a, b = np.minimum(rows[i[some]], columns[j[some]]), np.maximum(rows[i[some]], columns[j[some]])
+            for k in range(0, len(some), PAIRS):
+                self._look(places[a[k : k + PAIRS]], places[b[k : k + PAIRS]], sizes[a[k : k + PAIRS]], sizes[b[k : k + PAIRS]])
+            i, j, wave = np.delete(i, some), np.delete(j, some), wave + 1
+            of_row, of_column = self.groups.roots(places[rows].tolist()), self.groups.roots(places[columns].tolist())
+
+    def _look(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> None:
+        """Join the pairs of places that are linked, of those that aren't in one group already."""
+        linked = self.kind.surely(a, b, n, m)
+        self._join(a[linked], b[linked])
+        rest = np.flatnonzero(~linked)
+        rest = rest[self._apart(a[rest], b[rest])]
+        # Whether they have met before doesn't matter: one link joins a row to a group, while each of its pairs would have to be looked up.
+        rest = rest[self.kind.maybe(a[rest], b[rest], n[rest], m[rest])]
+        self._rest(a[rest], b[rest], n[rest], m[rest])
+
+    def _rest(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> None:
+        """The same for pairs that `Kind.surely` and `Kind.maybe` leave open."""
+        if self.close is not None:
+            linked = self.close(a, b, n, m)
+            self._join(a[linked], b[linked])
+            a, b, n, m = (x[~linked] for x in (a, b, n, m))
+        for one, x, other, y in zip(a.tolist(), n.tolist(), b.tolist(), m.tolist(), strict=True):
+            if self.groups.root(one) != self.groups.root(other) and self._alike(one, x, other, y):
+                self._join(np.array([one]), np.array([other]))
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.groups.roots(a.tolist()) != self.groups.roots(b.tolist())
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, after_a: np.ndarray, after_b: np.ndarray) -> None:
         """Pairs of places, with their sizes and what follows the key. A pair may be there for several keys."""
@@ -236,15 +271,17 @@ class Meeting:
         some, where = np.unique(np.r_[a[once], b[once]], return_inverse=True)
         heads = self.kind.heads(some)
         once = once[self.kind.possible(np.bitwise_count(heads[where[: len(once)]] ^ heads[where[len(once) :]]), n[once], m[once])]
-        once = once[self.groups.roots(a[once].tolist()) != self.groups.roots(b[once].tolist())]
-        once = once[self.kind.maybe(a[once], b[once], n[once], m[once])]
-        once = once[self.kind.first(a[once], b[once], n[once], m[once], after_a[once], after_b[once])]
-        linked = self.kind.surely(a[once], b[once], n[once], m[once])
-        self._join(a[once[linked]], b[once[linked]])
-        rest = once[~linked]
-        for one, x, other, y in zip(a[rest].tolist(), n[rest].tolist(), b[rest].tolist(), m[rest].tolist(), strict=True):
-            if self.groups.root(one) != self.groups.root(other) and self._alike(one, x, other, y):
-                self._join(np.array([one]), np.array([other]))
+        once = once[self._apart(a[once], b[once])]
+        sure = self.kind.surely(a[once], b[once], n[once], m[once])
+        keep = sure.copy()
+        keep[~sure] = self.kind.maybe(*(x[once[~sure]] for x in (a, b, n, m)))
+        once, sure = once[keep], sure[keep]
+        new = self.kind.first(a[once], b[once], n[once], m[once], after_a[once], after_b[once])
+        once, sure = once[new], sure[new]
+        self._join(a[once[sure]], b[once[sure]])
+        rest = once[~sure]
+        rest = rest[self._apart(a[rest], b[rest])]
+        self._rest(a[rest], b[rest], n[rest], m[rest])
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         new = [pair for pair in zip(a.tolist(), b.tolist(), strict=True) if self.groups.join(*pair)]

@@ -133,6 +133,77 @@ def test_edit_distance_equals_the_table():
             assert (lines.edit_distance(a, b, most) <= most) == (want <= most)
 
 
+def near_copies(rng, count, most=90):
+    """Pairs of lines, the shorter one first, some edits apart."""
+    for _ in range(count):
+        a = rng.integers(0, rng.choice((4, 1 << 32)), rng.integers(1, most)).astype(np.uint32)
+        b = a.tolist()
+        for _ in range(rng.integers(0, max(2, len(a) // 3))):
+            at = int(rng.integers(0, len(b))) if b else 0
+            b[at : at + 1] = [[7], [*b[at : at + 1], 8], []][rng.integers(0, 3)]
+        yield sorted((a, np.array(b, np.uint32)), key=len)
+
+
+def test_few_edits_links_no_pair_beyond_the_edit_distance():
+    rng = np.random.default_rng(6)
+    pairs = list(near_copies(rng, 400))
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    most = np.where(np.arange(400) % 2, m // 5, rng.integers(0, 12, 400))
+    got = lines.few_edits(np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), n, m, most)
+    want = np.array([table_distance(a.tolist(), b.tolist()) <= k for (a, b), k in zip(pairs, most.tolist(), strict=True)])
+    assert not (got & ~want).any() and 50 < want.sum() < 350
+    assert got.sum() > 0.95 * want.sum()  # the rest takes the edit distance
+
+
+@pytest.mark.parametrize("count", [40, 400])  # below and above the rows of a tile
+def test_few_near_copies_are_looked_at_one_by_one(tmp_path, monkeypatch, count):
+    rng, looked = np.random.default_rng(7), []
+    writer, texts, places = Writer(str(tmp_path), numbered=True), [], []
+    bases = [rng.integers(0, 1 << 32, 60) for _ in range(count // 4)]
+    for k in range(count):
+        words = np.delete(bases[k % len(bases)], rng.integers(0, 60, k % 3 + 1)).astype(np.uint32)
+        words[rng.integers(0, len(words), 2)] = rng.integers(0, 1 << 32, 2)
+        texts.append(words)
+        begins = np.zeros(1, np.int64)
+        wide = words.astype(np.uint64) << np.uint64(32)
+        head = np.concatenate([lines.parities(wide, begins)[0], lines.simhashes(wide, begins).view(np.uint32)])
+        places.append(writer.place(np.concatenate([head, words])))
+    writer.close()
+    size = np.array([len(t) for t in texts])
+    order = np.lexsort((places, size))
+    batch = pa.RecordBatch.from_pydict({
+        "key": pa.array(np.zeros(count, np.int64)), "place": pa.array(np.array(places)[order]), "n": pa.array(size[order].astype(np.int32)),
+        "after": pa.array(size[order].astype(np.int32) - 2), "before": pa.array(np.full(count, meeting.NONE)),
+        "bucket": pa.array(np.zeros(count, np.int64)),
+    })
+    plain = lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda *x: looked.append(1) or plain(*x))
+    monkeypatch.setattr(lines, "unpacked", lambda batches: batches)
+    groups, number = Groups(), {p: k for k, p in enumerate(places)}
+    rank = np.zeros(16, np.uint8)
+    for found in lines._links(str(tmp_path), rank, 64)(iter([batch])):
+        for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True):
+            groups.join(number[a], number[b])
+    # `first` may leave a small key's pairs to a key before it.
+    alike = [(a, b) for a in range(count) for b in range(a % len(bases), a, len(bases)) if plain(texts[a], texts[b], 12) <= max(size[a], size[b]) // 5]
+    assert all(groups.root(k) % len(bases) == k % len(bases) for k in range(count))
+    if count > 64:
+        assert alike and all(groups.root(a) == groups.root(b) for a, b in alike)
+    assert len(looked) <= len(alike) // 20
+
+
+def test_unpacked_rows_are_those_that_share_a_key():
+    rng = np.random.default_rng(8)
+    rows = [rng.integers(0, 300, 400) << (meeting.BITS - 9), rng.integers(0, 50, 400), rng.integers(4, 9, 400), rng.integers(0, 5, 400), rng.integers(0, 9, 400)]
+    halves = [[x[:150] for x in rows], [x[150:] for x in rows]]
+    packs = [b for half in halves for b in meeting.packed(iter([half]), 3)]
+    whole = pa.Table.from_batches(packs).sort_by("bucket")
+    got = [tuple(r) for b in meeting.unpacked(iter(whole.to_batches())) for r in zip(*(b.column(k).to_pylist() for k in ("key", "place", "n", "after", "before")), strict=True)]
+    many = Counter(rows[0].tolist())
+    want = [r for r in zip(*(x.tolist() for x in rows), strict=True) if many[r[0]] > 1]
+    assert sorted(got) == sorted(want) and [(r[0], r[2], r[1]) for r in got] == sorted((r[0], r[2], r[1]) for r in want)
+
+
 def test_simhash_is_the_majority_of_bits():
     rng = np.random.default_rng(1)
     size = np.r_[rng.integers(1, 60, 50), [254, 255, 256, 700, 1, 2000]]
